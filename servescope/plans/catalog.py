@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("metrics", "integrity")
+AREAS = ("metrics", "integrity", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -122,8 +122,8 @@ def set_difference(s, d):
 
 def path_collisions(s, d):
     pages = t.table(s, d, "pages").selectExpr(
-        "CASE WHEN page_id % 3 = 0 THEN upper(regexp_replace(url, '[0-9?#].*$', '')) "
-        "ELSE regexp_replace(url, '[0-9?#].*$', '') END AS path")
+        "regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[0-9?#].*$', '') AS tail", "page_id"
+    ).selectExpr("CASE WHEN page_id % 3 = 0 THEN upper(tail) ELSE tail END AS path")
     return ig.path_collisions(pages, [])
 
 
@@ -257,8 +257,8 @@ ORACLES = {
         r AS (SELECT run_id, request_id FROM srv WHERE kind = 'SSE_DONE_SENT')
         SELECT *, 'LEFT_ONLY' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r)
         UNION ALL SELECT *, 'RIGHT_ONLY' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)"""),
-    "path_collisions": """WITH p AS (SELECT CASE WHEN page_id % 3 = 0
-            THEN upper(regexp_replace(url, '[0-9?#].*$', '')) ELSE regexp_replace(url, '[0-9?#].*$', '') END AS path FROM pages)
+    "path_collisions": """WITH p AS (SELECT CASE WHEN page_id % 3 = 0 THEN upper(tail) ELSE tail END AS path FROM (
+          SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[0-9?#].*$', '') AS tail FROM pages))
         SELECT lower(path) AS folded, count(DISTINCT path) AS spellings, min(path) AS first_spelling
         FROM p GROUP BY lower(path) HAVING count(DISTINCT path) > 1""",
     "case_order": sql("req", """SELECT user_id || '-' || (blk // 64) AS workload, count(*) AS cases,
