@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("metrics", "integrity", "quality")
+AREAS = ("metrics", "integrity", "quality", "comparison")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

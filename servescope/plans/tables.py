@@ -27,7 +27,7 @@ def clocked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_events(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> DataFrame:
     """Each user's events in blocks of eight; a block of four or more is one request."""
     ranked = by_offset(["user_id"], "off_ns", "event_id").rank(
         clocked_events(spark, sf_dir), "rn"
@@ -44,7 +44,7 @@ def block_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr("CASE event_type WHEN 'purchase' THEN 2L WHEN 'error' THEN 0L ELSE 1L END"),
         )
         .withColumn("token_bearing", F.expr("pos > 0 AND pos < n - 1 AND toks > 0"))
-        .withColumn("run_id", F.expr("user_id % 4"))
+        .withColumn("run_id", F.expr(run))
         .withColumn("request_id", F.concat_ws("-", "user_id", "blk"))
         .drop("rn", "rn0")
     )
@@ -88,14 +88,14 @@ def requests_from(blocks: DataFrame) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests_from(block_events(spark, sf_dir))
+def requests(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> DataFrame:
+    return requests_from(block_events(spark, sf_dir, run))
 
 
-def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_events(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> DataFrame:
     """Token-bearing events; a two-token event has own token stamps on even event ids only."""
     return (
-        block_events(spark, sf_dir)
+        block_events(spark, sf_dir, run)
         .where("token_bearing")
         .selectExpr(
             "run_id",
