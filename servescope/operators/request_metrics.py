@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUCCESS = "SUCCESS"
@@ -79,22 +79,30 @@ def tpot_v3_reason(count: str = "output_tokens", largest: str = "max_event_token
     )
 
 
-def token_observations(
-    requests: DataFrame, token_events: DataFrame, count: str = "output_value"
-) -> DataFrame:
-    """Per successful request: its token clock readings (sorted array) or why there are none."""
-    per_request = token_events.groupBy("run_id", "request_id").agg(
+def with_stream_events(requests: DataFrame, token_events: DataFrame) -> DataFrame:
+    """Nest a flat token-event table into its requests as the array ``stream_events``.
+
+    The events of one request are bounded by its output limit, so they fit one row.
+    """
+    nested = token_events.groupBy("run_id", "request_id").agg(
         F.sort_array(
             F.collect_list(F.struct("chunk_index", "event_offset_ns", "tokens_in_chunk",
                                     "per_token_offsets_ns"))
-        ).alias("events")
+        ).alias("stream_events")
     )
-    joined = requests.join(per_request, ["run_id", "request_id"], "left")
+    return requests.join(nested, ["run_id", "request_id"], "left")
+
+
+def token_observations(requests: DataFrame, count: str = "output_value") -> DataFrame:
+    """Per request: its token clock readings (``observations_ns``) or why there are none.
+
+    Row-wise over the nested ``stream_events``; no shuffle.
+    """
     own = "coalesce(e.per_token_offsets_ns, array(e.event_offset_ns))"
-    spread = joined.selectExpr(
+    spread = requests.selectExpr(
         "*",
-        f"flatten(transform(coalesce(events, array()), e -> {own})) AS stamps",
-        """exists(coalesce(events, array()),
+        f"flatten(transform(coalesce(stream_events, array()), e -> {own})) AS stamps",
+        """exists(coalesce(stream_events, array()),
              e -> e.per_token_offsets_ns IS NULL AND e.tokens_in_chunk <> 1) AS hidden""",
     )
     ordered = (
@@ -115,7 +123,7 @@ def token_observations(
             "observations_ns",
             F.when(F.col("observation_reason").isNull(), F.col("stamps")),
         )
-        .drop("events", "stamps", "hidden")
+        .drop("stamps", "hidden")
     )
 
 
@@ -129,8 +137,8 @@ def with_gaps(observed: DataFrame, stamps: str = "observations_ns") -> DataFrame
     return observed.withColumn("gaps_ns", F.expr(gaps))
 
 
-def itl_gaps_v1(requests: DataFrame, token_events: DataFrame) -> DataFrame:
-    observed = with_gaps(token_observations(requests, token_events))
+def itl_gaps_v1(requests: DataFrame) -> DataFrame:
+    observed = with_gaps(token_observations(requests))
     reason = F.coalesce(
         F.col("observation_reason"),
         F.when(F.size("observations_ns") < 2, "INSUFFICIENT_OUTPUT_TOKENS"),
@@ -138,48 +146,50 @@ def itl_gaps_v1(requests: DataFrame, token_events: DataFrame) -> DataFrame:
     return observed.withColumn("itl_reason", reason)
 
 
-def itl_gaps_v2(requests: DataFrame, token_events: DataFrame) -> DataFrame:
-    """One row per gap; only where every event carried one token and the counts agree."""
-    eligible = requests.where(
+def gaps_v2(requests: DataFrame) -> DataFrame:
+    """``gaps_ns`` where every event carried one token and the counts agree, else null."""
+    eligible = (
         (F.col("terminal_class") == SUCCESS)
         & (F.col("output_tokens") >= 2)
-        & (F.col("max_event_tokens") == 1)
-        & (F.col("token_events") == F.col("output_tokens"))
-    ).select("run_id", "request_id", "phase")
-    order = Window.partitionBy("run_id", "request_id").orderBy("event_offset_ns", "chunk_index")
+        & (F.size("stream_events") == F.col("output_tokens"))
+        & F.forall("stream_events", lambda e: e["tokens_in_chunk"] == 1)
+    )
+    clocks = F.when(eligible, F.transform("stream_events", lambda e: e["event_offset_ns"]))
+    return with_gaps(requests.withColumn("__clocks", clocks), "__clocks").drop("__clocks")
+
+
+def itl_gaps_v2(requests: DataFrame) -> DataFrame:
+    """One row per gap, named by the event that closes it."""
+    return gaps_v2(requests).where("gaps_ns IS NOT NULL").select(
+        "run_id", "request_id",
+        F.explode(
+            F.arrays_zip(
+                F.expr("slice(stream_events.chunk_index, 2, size(gaps_ns))").alias("chunk_index"),
+                F.col("gaps_ns").alias("gap_ns"),
+            )
+        ).alias("g"),
+    ).select("run_id", "request_id", "g.chunk_index", "g.gap_ns")
+
+
+def output_gaps_v3(requests: DataFrame) -> DataFrame:
+    """Mean gap, or why there is none; the event gaps themselves are always kept."""
+    clocked = requests.where(F.size("stream_events") > 0).withColumn(
+        "__clocks", F.transform("stream_events", lambda e: e["event_offset_ns"])
+    )
+    stepped = with_gaps(clocked, "__clocks").withColumnRenamed("gaps_ns", "stream_output_gap_ns")
+    largest = F.array_max(F.transform("stream_events", lambda e: e["tokens_in_chunk"]))
+    reason = F.when(largest > 1, "GROUPED_TOKEN_EVENT").when(
+        F.col("stream_output_gap_ns").isNull(), "INSUFFICIENT_OUTPUT_TOKENS"
+    )
+    total = F.aggregate("stream_output_gap_ns", F.lit(0).cast("long"), lambda a, g: a + g)
     return (
-        token_events.join(eligible, ["run_id", "request_id"])
-        .withColumn("gap_ns", F.col("event_offset_ns") - F.lag("event_offset_ns").over(order))
-        .where("gap_ns IS NOT NULL")
-        .select("run_id", "request_id", "phase", "chunk_index", "gap_ns")
-    )
-
-
-def output_gaps_v3(token_events: DataFrame) -> DataFrame:
-    """Mean gap, or ``GROUPED_TOKEN_EVENT``; the event gaps themselves are always kept."""
-    order = Window.partitionBy("run_id", "request_id").orderBy("event_offset_ns", "chunk_index")
-    stepped = token_events.withColumn(
-        "gap_ns", F.col("event_offset_ns") - F.lag("event_offset_ns").over(order)
-    )
-    grouped = stepped.groupBy("run_id", "request_id").agg(
-        F.max("tokens_in_chunk").alias("largest"),
-        F.count("gap_ns").alias("gap_count"),
-        F.sum("gap_ns").alias("gap_total_ns"),
-        F.transform(
-            F.sort_array(
-                F.collect_list(
-                    F.when(F.col("gap_ns").isNotNull(), F.struct("chunk_index", "gap_ns"))
-                )
-            ),
-            lambda g: g["gap_ns"],
-        ).alias("stream_output_gap_ns"),
-    )
-    reason = F.when(F.col("largest") > 1, "GROUPED_TOKEN_EVENT").when(
-        F.col("gap_count") == 0, "INSUFFICIENT_OUTPUT_TOKENS"
-    )
-    return grouped.withColumn("itl_reason", reason).withColumn(
-        "itl_mean_ns",
-        F.when(reason.isNull(), F.try_divide(F.col("gap_total_ns").cast("double"), F.col("gap_count"))),
+        stepped.withColumn("itl_reason", reason)
+        .withColumn(
+            "itl_mean_ns",
+            F.when(reason.isNull(),
+                   F.try_divide(total.cast("double"), F.size("stream_output_gap_ns"))),
+        )
+        .drop("__clocks")
     )
 
 

@@ -38,41 +38,63 @@ def _count(condition: str) -> Column:
     return F.count_if(F.expr(condition))
 
 
-def counts_v1(requests: DataFrame) -> DataFrame:
-    """Failed means every non-success; timeouts and cancellations are subsets of it."""
+def _counts(column: str, named: dict[str, str]) -> list[Column]:
     m = "phase = 'MEASURED'"
-    return requests.groupBy("run_id").agg(
+    return [
         _count(m).alias("attempted"),
-        _count(f"{m} AND outcome = 'SUCCESS'").alias("successful"),
-        _count(f"{m} AND outcome <> 'SUCCESS'").alias("failed"),
-        _count(f"{m} AND outcome = 'TIMEOUT'").alias("timed_out"),
-        _count(f"{m} AND outcome = 'CANCELLED'").alias("cancelled"),
-        _count(f"{m} AND outcome IN ('PROTOCOL_ERROR', 'MALFORMED_STREAM')").alias("protocol_errors"),
+        *[_count(f"{m} AND {column} {test}").alias(name) for name, test in named.items()],
         _count("phase = 'WARMUP'").alias("warmup"),
+    ]
+
+
+def _counts_v1() -> list[Column]:
+    return _counts(
+        "outcome",
+        {
+            "successful": "= 'SUCCESS'",
+            "failed": "<> 'SUCCESS'",
+            "timed_out": "= 'TIMEOUT'",
+            "cancelled": "= 'CANCELLED'",
+            "protocol_errors": "IN ('PROTOCOL_ERROR', 'MALFORMED_STREAM')",
+        },
     )
 
 
+def _counts_v2() -> list[Column]:
+    return _counts(
+        "terminal_class",
+        {
+            "successful": "= 'SUCCESS'",
+            "failed": "= 'FAILED'",
+            "timed_out": "= 'TIMEOUT'",
+            "cancelled": "= 'CANCELLED'",
+        },
+    )
+
+
+def counts_v1(requests: DataFrame) -> DataFrame:
+    """Failed means every non-success; timeouts and cancellations are subsets of it."""
+    return requests.groupBy("run_id").agg(*_counts_v1())
+
+
 def counts_v2(requests: DataFrame) -> DataFrame:
     """Failed, timed out and cancelled are disjoint."""
-    m = "phase = 'MEASURED'"
-    return requests.groupBy("run_id").agg(
-        _count(m).alias("attempted"),
-        _count(f"{m} AND terminal_class = 'SUCCESS'").alias("successful"),
-        _count(f"{m} AND terminal_class = 'FAILED'").alias("failed"),
-        _count(f"{m} AND terminal_class = 'TIMEOUT'").alias("timed_out"),
-        _count(f"{m} AND terminal_class = 'CANCELLED'").alias("cancelled"),
-        _count("phase = 'WARMUP'").alias("warmup"),
-    )
+    return requests.groupBy("run_id").agg(*_counts_v2())
+
+
+def _window() -> list[Column]:
+    m = F.col("phase") == "MEASURED"
+    start, end = F.min(F.when(m, F.col("dispatch_ns"))), F.max(F.when(m, F.col("terminal_ns")))
+    return [
+        start.alias("window_start_ns"),
+        end.alias("window_end_ns"),
+        F.when(end - start > 0, end - start).alias("window_ns"),
+    ]
 
 
 def measurement_window(requests: DataFrame) -> DataFrame:
     """Last terminal minus first dispatch of the measured requests; null unless positive."""
-    spanned = measured(requests).groupBy("run_id").agg(
-        F.min("dispatch_ns").alias("window_start_ns"),
-        F.max("terminal_ns").alias("window_end_ns"),
-    )
-    width = F.col("window_end_ns") - F.col("window_start_ns")
-    return spanned.withColumn("window_ns", F.when(width > 0, width))
+    return measured(requests).groupBy("run_id").agg(*_window())
 
 
 def _seconds() -> Column:
@@ -86,8 +108,8 @@ def per_second(count: str | Column) -> Column:
 
 def request_rates(requests: DataFrame) -> DataFrame:
     return (
-        counts_v2(requests)
-        .join(measurement_window(requests), "run_id")
+        requests.groupBy("run_id")
+        .agg(*_counts_v2(), *_window())
         .select(
             "run_id",
             F.round(per_second("attempted"), 9).alias("offered_request_rate"),
@@ -97,33 +119,28 @@ def request_rates(requests: DataFrame) -> DataFrame:
     )
 
 
-def token_totals(requests: DataFrame) -> DataFrame:
-    """Token sums of the successes; the v1 sums are null once one count is unknown."""
-    ok = "outcome = 'SUCCESS'"
-    return measured(requests).groupBy("run_id").agg(
-        F.when(
-            _count(f"{ok} AND output_value IS NULL") == 0,
-            F.coalesce(F.sum(F.expr(f"CASE WHEN {ok} THEN output_value END")), F.lit(0)),
-        ).alias("output_v1"),
+def _tokens() -> list[Column]:
+    """Token sums of the measured successes; the v1 sums are null once one count is unknown."""
+    ok = "phase = 'MEASURED' AND outcome = 'SUCCESS'"
+
+    def total(tokens: str) -> Column:
+        return F.coalesce(F.sum(F.expr(f"CASE WHEN {ok} THEN {tokens} END")), F.lit(0))
+
+    return [
+        F.when(_count(f"{ok} AND output_value IS NULL") == 0, total("output_value")).alias("output_v1"),
         F.when(
             _count(f"{ok} AND (output_value IS NULL OR input_value IS NULL)") == 0,
-            F.coalesce(
-                F.sum(F.expr(f"CASE WHEN {ok} THEN output_value + input_value END")), F.lit(0)
-            ),
+            total("output_value + input_value"),
         ).alias("total_v1"),
-        F.coalesce(F.sum(F.expr(f"CASE WHEN {ok} THEN output_tokens END")), F.lit(0)).alias(
-            "output_v2"
-        ),
-        F.coalesce(
-            F.sum(F.expr(f"CASE WHEN {ok} THEN output_tokens + input_tokens END")), F.lit(0)
-        ).alias("total_v2"),
-    )
+        total("output_tokens").alias("output_v2"),
+        total("output_tokens + input_tokens").alias("total_v2"),
+    ]
 
 
 def token_throughput(requests: DataFrame) -> DataFrame:
     return (
-        token_totals(requests)
-        .join(measurement_window(requests), "run_id")
+        requests.groupBy("run_id")
+        .agg(*_tokens(), *_window())
         .select(
             "run_id",
             *[
@@ -134,14 +151,13 @@ def token_throughput(requests: DataFrame) -> DataFrame:
     )
 
 
+def _good(satisfied: Column) -> Column:
+    return F.count_if((F.col("phase") == "MEASURED") & satisfied).alias("slo_satisfying")
+
+
 def goodput(requests: DataFrame, satisfied: Column) -> DataFrame:
-    good = (
-        measured(requests)
-        .withColumn("__good", satisfied)
-        .groupBy("run_id")
-        .agg(F.count_if(F.col("__good")).alias("slo_satisfying"))
-    )
-    return good.join(measurement_window(requests), "run_id").select(
+    grouped = requests.groupBy("run_id").agg(_good(satisfied), *_window())
+    return grouped.select(
         "run_id", "slo_satisfying", F.round(per_second("slo_satisfying"), 9).alias("goodput")
     )
 
@@ -157,87 +173,86 @@ def rate_value(numerator: str, denominator: str) -> Column:
 
 
 def failure_rates(requests: DataFrame) -> DataFrame:
-    v1 = counts_v1(requests).select(
+    """Version 1 counts every non-success and gives 0.0 for no attempts; version 2 keeps both parts."""
+    m = "phase = 'MEASURED'"
+    counted = requests.groupBy("run_id").agg(
+        *_counts_v2(), _count(f"{m} AND outcome <> 'SUCCESS'").alias("__failed_v1")
+    )
+    return counted.select(
         "run_id",
-        F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("attempted")), F.lit(0.0))
+        F.coalesce(F.try_divide(F.col("__failed_v1").cast("double"), F.col("attempted")), F.lit(0.0))
         .alias("failure_rate_v1"),
         F.coalesce(F.try_divide(F.col("timed_out").cast("double"), F.col("attempted")), F.lit(0.0))
         .alias("timeout_rate_v1"),
-    )
-    v2 = counts_v2(requests).select(
-        "run_id",
         rate_value("failed", "attempted").alias("failure_rate"),
         rate_value("timed_out", "attempted").alias("timeout_rate"),
     )
-    return v1.join(v2, "run_id")
 
 
-def samples_v2(requests: DataFrame, token_events: DataFrame) -> DataFrame:
-    """Long (run, metric, value) samples of the measured successes."""
-    m = measured(requests)
-    rows = m.select(
-        "run_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("metric"), column.cast("double").alias("value"))
-                    for name, column in (
-                        ("END_TO_END_SUCCESS_NS", rm.end_to_end()),
-                        ("TTFT_NS", rm.ttft()),
-                        ("TPOT_NS", rm.tpot_v2()),
-                        ("OBSERVED_TOKEN_SPAN_PER_INTERVAL_NS", rm.observed_span()),
-                    )
-                ]
-            )
-        ).alias("s"),
-    ).select("run_id", "s.metric", "s.value")
-    gaps = rm.itl_gaps_v2(m, token_events).select(
-        "run_id", F.lit("ITL_NS").alias("metric"), F.col("gap_ns").cast("double").alias("value")
+def _samples(rows: DataFrame, single: dict[str, Column], gaps: str) -> DataFrame:
+    """Row metrics and gaps of each request as long (run, metric, value) samples; no shuffle."""
+    entries = [
+        F.struct(F.lit(name).alias("metric"), F.array(column.cast("double")).alias("values"))
+        for name, column in single.items()
+    ]
+    entries.append(
+        F.struct(
+            F.lit("ITL_NS").alias("metric"), F.col(gaps).cast("array<double>").alias("values")
+        )
+    )
+    spread = rows.select("run_id", F.explode(F.array(*entries)).alias("s"))
+    return spread.select("run_id", "s.metric", F.explode("s.values").alias("value")).where(
+        "value IS NOT NULL"
     )
-    return rows.where("value IS NOT NULL").unionByName(gaps)
 
 
-def samples_v1(requests: DataFrame, token_events: DataFrame) -> DataFrame:
-    observed = rm.with_gaps(rm.token_observations(measured(requests), token_events))
-    rows = observed.select(
-        "run_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("metric"), F.array(column.cast("double")).alias("values")
-                    )
-                    for name, column in (
-                        ("TTFT_NS", rm.ttft("outcome")),
-                        ("END_TO_END_SUCCESS_NS", rm.end_to_end("outcome")),
-                        ("TPOT_NS", rm.tpot_v1()),
-                    )
-                ],
-                F.struct(
-                    F.lit("ITL_NS").alias("metric"),
-                    F.col("gaps_ns").cast("array<double>").alias("values"),
-                ),
-            )
-        ).alias("s"),
+def samples_v2(requests: DataFrame) -> DataFrame:
+    """Samples of the measured successes; the metrics are null on every other request."""
+    return _samples(
+        rm.gaps_v2(measured(requests)),
+        {
+            "END_TO_END_SUCCESS_NS": rm.end_to_end(),
+            "TTFT_NS": rm.ttft(),
+            "TPOT_NS": rm.tpot_v2(),
+            "OBSERVED_TOKEN_SPAN_PER_INTERVAL_NS": rm.observed_span(),
+        },
+        "gaps_ns",
     )
-    return rows.select("run_id", "s.metric", F.explode("s.values").alias("value")).where(
-        "value IS NOT NULL"
+
+
+def samples_v1(requests: DataFrame) -> DataFrame:
+    return _samples(
+        rm.itl_gaps_v1(measured(requests)),
+        {
+            "TTFT_NS": rm.ttft("outcome"),
+            "END_TO_END_SUCCESS_NS": rm.end_to_end("outcome"),
+            "TPOT_NS": rm.tpot_v1(),
+        },
+        "gaps_ns",
     )
 
 
 def distributions(
-    runs: DataFrame, samples: DataFrame, denominators: dict[str, str], digits: int | None = None
+    runs: DataFrame | None,
+    samples: DataFrame,
+    denominators: dict[str, str],
+    digits: int | None = None,
 ) -> DataFrame:
-    """One row per run and metric; a metric without samples keeps its row and says why."""
+    """One row per run and metric; a metric without samples keeps its row and says why.
+
+    ``runs`` lists the runs that must appear; without it only metrics with samples come out.
+    """
+    found = exact_percentiles(samples, ["run_id", "metric"], "value")
+    if digits is not None:
+        for name in ("p50", "p95", "p99"):
+            found = found.withColumn(name, F.round(name, digits))
+    if runs is None:
+        return found
     names = F.map_from_arrays(
         F.array(*[F.lit(k) for k in denominators]),
         F.array(*[F.lit(v) for v in denominators.values()]),
     )
     grid = runs.select("run_id", F.explode(names).alias("metric", "denominator"))
-    found = exact_percentiles(samples, ["run_id", "metric"], "value")
-    if digits is not None:
-        for name in ("p50", "p95", "p99"):
-            found = found.withColumn(name, F.round(name, digits))
     return (
         grid.join(found, ["run_id", "metric"], "left")
         .withColumn("sample_count", F.coalesce("sample_count", F.lit(0)))
@@ -257,20 +272,18 @@ def _wide(found: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def run_summary_v2(
     requests: DataFrame,
-    token_events: DataFrame,
     *,
     requested_concurrency: int = 2,
     digits: int | None = 6,
+    satisfied: Column | None = None,
 ) -> DataFrame:
-    counts = counts_v2(requests)
-    totals = token_totals(requests).select("run_id", "output_v2", "total_v2")
-    good = measured(requests).groupBy("run_id").agg(
-        F.count_if(F.col("slo_satisfied")).alias("slo_satisfying")
+    """Counts, window, totals and goodput in one aggregate; percentiles and peak beside it."""
+    base = requests.groupBy("run_id").agg(
+        *_counts_v2(), *_window(), *_tokens(),
+        _good(F.col("slo_satisfied") if satisfied is None else satisfied),
     )
     wide = _wide(
-        distributions(
-            counts.select("run_id"), samples_v2(requests, token_events), DENOMINATORS_V2, digits
-        ),
+        distributions(None, samples_v2(requests), DENOMINATORS_V2, digits),
         {
             "END_TO_END_SUCCESS_NS": "end_to_end",
             "TTFT_NS": "ttft",
@@ -280,12 +293,9 @@ def run_summary_v2(
         },
     )
     peak = concurrency_by_interval(requests).select("run_id", "max_concurrency")
-    return (
-        counts.join(measurement_window(requests).select("run_id", "window_ns"), "run_id")
-        .join(totals, "run_id")
-        .join(good, "run_id")
-        .join(peak, "run_id", "left")
-        .join(wide, "run_id")
+    summary = (
+        base.join(peak, "run_id", "left")
+        .join(wide, "run_id", "left")
         .withColumn("requested_concurrency", F.lit(requested_concurrency).cast("long"))
         .withColumn("offered_request_rate", F.round(per_second("attempted"), 9))
         .withColumn("terminal_request_rate", F.round(per_second("attempted"), 9))
@@ -295,32 +305,31 @@ def run_summary_v2(
         .withColumn("goodput", F.round(per_second("slo_satisfying"), 9))
         .withColumn("failure_rate", F.expr("try_divide(CAST(failed AS DOUBLE), attempted)"))
         .withColumn("timeout_rate", F.expr("try_divide(CAST(timed_out AS DOUBLE), attempted)"))
-        .drop("output_v2", "total_v2")
+        .where("attempted > 0")
+        .drop("output_v1", "total_v1", "output_v2", "total_v2", "window_start_ns", "window_end_ns")
     )
+    return _zero_counts(summary)
 
 
-def run_summary_v1(
-    requests: DataFrame, token_events: DataFrame, satisfied: Column | None = None
-) -> DataFrame:
+def _zero_counts(summary: DataFrame) -> DataFrame:
+    """A metric without samples counts zero; its percentiles stay null."""
+    counts = [f"{m}_count" for m in ("ttft", "end_to_end", "tpot", "itl", "token_span")]
+    return summary.fillna(0, [c for c in counts if c in summary.columns])
+
+
+def run_summary_v1(requests: DataFrame, satisfied: Column | None = None) -> DataFrame:
     """Version 1 does not round; ``satisfied`` defaults to the stored flag."""
-    counts = counts_v1(requests)
-    totals = token_totals(requests).select("run_id", "output_v1", "total_v1")
-    good = (
-        measured(requests)
-        .withColumn("__good", F.col("slo_satisfied") if satisfied is None else satisfied)
-        .groupBy("run_id")
-        .agg(F.count_if(F.col("__good")).alias("slo_satisfying"))
+    base = requests.groupBy("run_id").agg(
+        *_counts_v1(), *_window(), *_tokens(),
+        _good(F.col("slo_satisfied") if satisfied is None else satisfied),
     )
     wide = _wide(
-        distributions(counts.select("run_id"), samples_v1(requests, token_events), DENOMINATORS_V1),
+        distributions(None, samples_v1(requests), DENOMINATORS_V1),
         {"TTFT_NS": "ttft", "END_TO_END_SUCCESS_NS": "end_to_end", "TPOT_NS": "tpot",
          "ITL_NS": "itl"},
     )
-    return (
-        counts.join(measurement_window(requests).select("run_id", "window_ns"), "run_id")
-        .join(totals, "run_id")
-        .join(good, "run_id")
-        .join(wide, "run_id")
+    summary = (
+        base.join(wide, "run_id", "left")
         .withColumn("offered_request_rate", per_second("attempted"))
         .withColumn("successful_request_throughput", per_second("successful"))
         .withColumn("output_token_throughput", per_second("output_v1"))
@@ -334,5 +343,7 @@ def run_summary_v1(
             "timeout_rate",
             F.expr("coalesce(try_divide(CAST(timed_out AS DOUBLE), attempted), 0D)"),
         )
-        .drop("output_v1", "total_v1")
+        .where("attempted > 0")
+        .drop("output_v1", "total_v1", "output_v2", "total_v2", "window_start_ns", "window_end_ns")
     )
+    return _zero_counts(summary)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("metrics", "integrity", "quality", "comparison")
+AREAS = ("metrics", "integrity", "quality", "comparison", "telemetry", "replay")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

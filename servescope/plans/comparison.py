@@ -11,6 +11,7 @@ from servescope.operators import run_summary as rs
 from servescope.operators.sliced import by_offset
 from servescope.plans import tables as t
 from servescope.plans.metrics import _COUNTS1, _M, _SAMPLES1, _SEC, _WINDOW, OK, _wide
+from servescope.session import cut
 from servescope.plans.oracle import by_user, percentile_sql, sql
 
 USER = "user_id"
@@ -46,7 +47,7 @@ def run_compatibility(s, d):
 
 
 def _summaries(s, d):
-    return rs.run_summary_v1(t.requests(s, d, USER), t.token_events(s, d, USER))
+    return rs.run_summary_v1(cut(t.requests(s, d, USER)))
 
 
 def _report(s, d, summaries):
@@ -61,16 +62,16 @@ def sample_minimum(s, d):
 
 
 def comparison_report(s, d):
-    return _report(s, d, _summaries(s, d))
+    return _report(s, d, cut(_summaries(s, d)))
 
 
 def metric_deltas(s, d):
-    summaries = _summaries(s, d)
+    summaries = cut(_summaries(s, d))
     return cp.metric_deltas(summaries, _report(s, d, summaries))
 
 
 def semantic_checks(s, d):
-    requests = t.requests(s, d, USER).withColumn("request_index", F.expr("blk % 2")).where("blk < 2").withColumn(
+    requests = t.requests(s, d, USER).withColumn("request_index", F.col("blk")).withColumn(
         "failure_kind", F.expr("CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END"))
     known = rs.counts_v2(requests).withColumn("semantic_fingerprint", F.expr("run_id % 5")).withColumn(
         "workload_sha256", F.expr("run_id % 3")).withColumn("runtime", F.expr("run_id % 4"))
@@ -78,13 +79,13 @@ def semantic_checks(s, d):
 
 
 def restart_records(s, d):
-    """Case = three users; each user is one repetition of it; evidence = the user's first block."""
-    first = t.block_events(s, d).where("blk = 0").groupBy("user_id").agg(
+    """Case = the same block of three neighbouring users; each user is one repetition of it."""
+    first = t.block_events(s, d).groupBy("user_id", "blk").agg(
         F.max("n").alias("n"),
         F.max(F.expr("CASE WHEN pos = n - 1 THEN event_type END")).alias("last_type"),
         F.sort_array(F.collect_list(F.struct("pos", "toks", "event_type"))).alias("e"))
     return first.selectExpr(
-        "user_id div 3 AS case_id", "user_id % 3 + 1 AS repetition_index", "user_id", "n",
+        "user_id div 3 * 1000000 + blk AS case_id", "user_id % 3 + 1 AS repetition_index", "user_id", "n",
         "array(n) AS sent_prompt", "array(n + CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END) AS returned_prompt",
         "transform(slice(e, 2, 1), x -> x.toks) AS output_ids",
         "CASE WHEN last_type = 'error' THEN 'error' ELSE 'length' END AS finish_reason",
@@ -98,8 +99,8 @@ def restart_compare(s, d):
 
 
 def experiment_state(s, d):
-    expected = t.clocked_events(s, d).selectExpr("user_id div 3 AS case_id").distinct().selectExpr(
-        "case_id div 4 AS experiment", "case_id")
+    expected = t.requests(s, d).selectExpr("user_id div 3 * 1000000 + blk AS case_id").distinct().selectExpr(
+        "case_id div 1000000 AS experiment", "case_id")
     return cp.experiment_state(restart_compare(s, d), expected)
 
 
@@ -114,8 +115,9 @@ def semantic_detached(s, d):
 
 
 def _server_metrics(s, d):
-    gaps = rm.output_gaps_v3(t.token_events(s, d)).select("request_id", "itl_mean_ns")
-    return t.requests(s, d).join(gaps, "request_id", "left").withColumn("tpot_v3_ns", rm.tpot_v3()).selectExpr(
+    requests = t.requests(s, d)
+    gaps = rm.output_gaps_v3(requests).select("request_id", "itl_mean_ns")
+    return requests.join(gaps, "request_id", "left").withColumn("tpot_v3_ns", rm.tpot_v3()).selectExpr(
         "request_id", "repetition", "CASE WHEN user_id % 7 <> 0 THEN first_token_ns - dispatch_ns END AS server_ttft",
         "CASE WHEN output_tokens > 0 THEN terminal_ns - first_token_ns END AS server_generation_time",
         "dispatch_ns AS server_queue_time",
@@ -140,8 +142,8 @@ def restart_descriptive(s, d):
 
 def memory_stability(s, d):
     ranked = by_offset(["user_id"], "off_ns", "event_id").rank(t.clocked_events(s, d), "rn")
-    samples = ranked.where("rn <= 5 AND NOT (user_id % 10 = 3 AND rn = 5)").selectExpr(
-        "user_id AS run_id", "off_ns AS observation_ns",
+    samples = ranked.where("NOT (user_id % 10 = 3 AND rn % 7 = 5)").selectExpr(
+        "user_id * 1000000 + (rn - 1) div 5 AS run_id", "off_ns AS observation_ns",
         "CAST(round(value * 1000000) AS BIGINT) AS allocated_bytes")
     return av.memory_stability(samples)
 
@@ -218,11 +220,11 @@ _LONG = "SELECT run_id, unnest([" + ", ".join(
     for n in [*cp.SCALARS, *[f"{m}_{p}" for m in cp.METRICS for p in ("p50", "p95", "p99")]]
 ) + "]) AS x FROM summ"
 
-_RESTARTS = """rec AS (SELECT user_id, user_id // 3 AS case_id, user_id % 3 + 1 AS rep, max(n) AS n,
+_RESTARTS = """rec AS (SELECT user_id, user_id // 3 * 1000000 + blk AS case_id, user_id % 3 + 1 AS rep, max(n) AS n,
       max(toks) FILTER (WHERE pos = 1) AS t1, max(event_type) FILTER (WHERE pos = 1) = 'purchase' AS p1,
       CASE WHEN max(event_type) FILTER (WHERE pos = n - 1) = 'error' THEN 'error' ELSE 'length' END AS fin,
       n + CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END AS ret
-    FROM be WHERE blk = 0 GROUP BY user_id, n)"""
+    FROM be GROUP BY user_id, blk, n)"""
 
 _DIFF = ", ".join(
     f"CASE WHEN r{i}.{c} IS DISTINCT FROM r1.{c} THEN 'restart-{i}:{f}' END"
@@ -260,7 +262,7 @@ ORACLES = {
           count(*) {_M} AND {OK}) AS ok, count(*) {_M} AND terminal_class = 'FAILED') AS failed,
           count(*) {_M} AND terminal_class = 'TIMEOUT') AS timed_out,
           string_agg(case_id || phase || terminal_class, ',' ORDER BY blk) AS taxonomy
-          FROM req WHERE blk < 2 GROUP BY run_id)
+          FROM req GROUP BY run_id)
         SELECT baseline, candidate, x.c AS "check", x.p AS passed FROM (SELECT baseline, candidate, unnest([
           {{'c': 'input-identities-match', 'p': baseline % 3 = candidate % 3}},
           {{'c': 'compatibility-fields-match', 'p': baseline % 4 = candidate % 4}},
@@ -273,7 +275,7 @@ ORACLES = {
         FROM pairs JOIN c l ON l.run_id = baseline JOIN c r ON r.run_id = candidate)""")),
     "restart_compare": sql("be", f"WITH {_COMPARED} SELECT * FROM compared"),
     "experiment_state": sql("be", f"""WITH {_COMPARED}
-        SELECT e.case_id // 4 AS experiment, count(*) AS expected_cases,
+        SELECT e.case_id // 1000000 AS experiment, count(*) AS expected_cases,
           count(*) FILTER (WHERE state IN ('COMMITTED', 'INVALID_SEMANTIC_NONREPRODUCTION')) AS compared_cases,
           count(*) FILTER (WHERE state = 'INVALID_SEMANTIC_NONREPRODUCTION') AS invalid_cases,
           coalesce(string_agg(CAST(e.case_id AS VARCHAR), ',' ORDER BY e.case_id)
@@ -281,8 +283,8 @@ ORACLES = {
           CASE WHEN count(*) FILTER (WHERE state IN ('COMMITTED', 'INVALID_SEMANTIC_NONREPRODUCTION')) < count(*) THEN 'INCOMPLETE'
                WHEN count(*) FILTER (WHERE state = 'INVALID_SEMANTIC_NONREPRODUCTION') > 0
                  THEN 'INVALID_SEMANTIC_NONREPRODUCTION' ELSE 'COMMITTED' END AS state
-        FROM (SELECT DISTINCT user_id // 3 AS case_id FROM events) e LEFT JOIN compared c ON c.case_id = e.case_id
-        GROUP BY e.case_id // 4"""),
+        FROM (SELECT DISTINCT user_id // 3 * 1000000 + blk AS case_id FROM be) e LEFT JOIN compared c ON c.case_id = e.case_id
+        GROUP BY e.case_id // 1000000"""),
     "semantic_detached": sql("be", f"""WITH {_RESTARTS} SELECT rep AS repetition_index, case_id,
         CASE WHEN user_id % 19 = 0 THEN 'NO_EVIDENCE' WHEN user_id % 11 = 0 AND user_id % 13 = 0
                THEN 'finish_reason,completion_tokens'
@@ -296,9 +298,9 @@ ORACLES = {
         SELECT 'ttft' AS metric, repetition, first_token_ns - dispatch_ns AS v FROM req WHERE {OK} AND phase = 'MEASURED'
         UNION ALL SELECT 'end_to_end', repetition, terminal_ns - dispatch_ns FROM req WHERE {OK} AND phase = 'MEASURED')
         SELECT metric, repetition, sample_count, p50, p95 FROM ({percentile_sql('s', 'metric, repetition', 'v')})"""),
-    "memory_stability": sql("ev", """WITH s AS (SELECT user_id AS run_id, off_ns, CAST(round(value * 1000000) AS BIGINT) AS b,
-          off_ns - lag(off_ns) OVER (PARTITION BY user_id ORDER BY off_ns) AS gap
-          FROM ev WHERE rn0 < 5 AND NOT (user_id % 10 = 3 AND rn0 = 4))
+    "memory_stability": sql("ev", """WITH s AS (SELECT *, off_ns - lag(off_ns) OVER (PARTITION BY run_id ORDER BY off_ns) AS gap FROM (
+          SELECT user_id * 1000000 + rn0 // 5 AS run_id, off_ns, CAST(round(value * 1000000) AS BIGINT) AS b
+          FROM ev WHERE NOT (user_id % 10 = 3 AND (rn0 + 1) % 7 = 5)))
         SELECT run_id, count(*) AS samples, min(gap) AS smallest_gap_ns, arg_min(b, off_ns) AS first_bytes,
           max(b) - min(b) AS range_bytes, greatest((arg_min(b, off_ns) + 99) // 100, 67108864) AS tolerance_bytes,
           count(*) = 5 AND coalesce(min(gap) >= 200000000, false)

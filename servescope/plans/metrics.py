@@ -8,6 +8,7 @@ from servescope.operators import request_metrics as rm
 from servescope.operators import run_summary as rs
 from servescope.plans import tables as t
 from servescope.plans.oracle import percentile_sql, sql
+from servescope.session import cut
 
 OK = "terminal_class = 'SUCCESS'"
 
@@ -20,7 +21,7 @@ def _req(column, *names):
 
 
 def token_observations(spark, sf):
-    observed = rm.token_observations(t.requests(spark, sf), t.token_events(spark, sf))
+    observed = rm.token_observations(t.requests(spark, sf))
     return observed.select(
         "request_id",
         F.array_join(F.col("observations_ns").cast("array<string>"), ",").alias("observations"),
@@ -29,7 +30,7 @@ def token_observations(spark, sf):
 
 
 def unavailable_reasons(spark, sf):
-    gaps = rm.itl_gaps_v1(t.requests(spark, sf), t.token_events(spark, sf))
+    gaps = rm.itl_gaps_v1(t.requests(spark, sf))
     return (
         gaps.select(
             "run_id",
@@ -56,7 +57,7 @@ SLO_V1 = {
 
 
 def slo_v1(spark, sf):
-    gaps = rm.itl_gaps_v1(t.requests(spark, sf), t.token_events(spark, sf))
+    gaps = rm.itl_gaps_v1(t.requests(spark, sf))
     ready = rm.with_metrics(gaps).withColumn("max_gap_ns", F.array_max("gaps_ns"))
     return ready.select(
         "request_id",
@@ -97,9 +98,9 @@ def latency_percentiles(spark, sf):
 
 
 def distributions(spark, sf):
-    requests, tokens = t.requests(spark, sf), t.token_events(spark, sf)
+    requests = cut(t.requests(spark, sf))
     found = rs.distributions(
-        requests.select("run_id").distinct(), rs.samples_v2(requests, tokens), rs.DENOMINATORS_V2
+        requests.select("run_id").distinct(), rs.samples_v2(requests), rs.DENOMINATORS_V2
     )
     return found.select(
         "run_id", "metric", "denominator", "sample_count", "p50", "p95", "p99", "unavailable_reason"
@@ -107,11 +108,11 @@ def distributions(spark, sf):
 
 
 def run_summary_v1(spark, sf):
-    return rs.run_summary_v1(t.requests(spark, sf), t.token_events(spark, sf))
+    return rs.run_summary_v1(cut(t.requests(spark, sf)))
 
 
 def run_summary_v2(spark, sf):
-    return rs.run_summary_v2(t.requests(spark, sf), t.token_events(spark, sf), digits=None)
+    return rs.run_summary_v2(cut(t.requests(spark, sf)), digits=None)
 
 
 def failure_rates(spark, sf):
@@ -134,10 +135,10 @@ QUERIES = {
     "token_span": _req(lambda: {"span_ns": rm.observed_span()}),
     "tpot_v3": _req(lambda: {"tpot_ns": rm.tpot_v3(), "reason": rm.tpot_v3_reason()}),
     "token_observations": token_observations,
-    "itl_gaps": lambda s, d: rm.itl_gaps_v2(t.requests(s, d), t.token_events(s, d)).drop("phase"),
-    "itl_mean_v3": lambda s, d: rm.output_gaps_v3(t.token_events(s, d)).select(
+    "itl_gaps": lambda s, d: rm.itl_gaps_v2(t.requests(s, d)),
+    "itl_mean_v3": lambda s, d: rm.output_gaps_v3(t.requests(s, d)).select(
         "request_id", "itl_mean_ns", "itl_reason",
-        F.array_join(F.col("stream_output_gap_ns").cast("array<string>"), ",").alias("gaps"),
+        F.array_join(F.coalesce(F.col("stream_output_gap_ns"), F.array()).cast("array<string>"), ",").alias("gaps"),
     ),
     "unavailable_reasons": unavailable_reasons,
     "slo_v1": slo_v1,

@@ -15,6 +15,11 @@ TPOT_SLO_NS = 40_000_000_000_000
 ITL_SLO_NS = 86_400_000_000_000
 
 
+# One token-bearing event; a two-token event has own token stamps on even event ids only.
+STREAM_EVENT = """named_struct('chunk_index', pos, 'event_offset_ns', off_ns, 'tokens_in_chunk', toks,
+    'per_token_offsets_ns', CASE WHEN toks = 2 AND event_id % 2 = 0 THEN array(off_ns - 1000, off_ns) END)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +69,9 @@ def requests_from(blocks: DataFrame) -> DataFrame:
             "max_event_tokens"
         ),
         F.max(F.expr("CASE WHEN pos = n - 1 THEN event_type END")).alias("last_type"),
+        F.sort_array(F.collect_list(F.expr(f"CASE WHEN token_bearing THEN {STREAM_EVENT} END"))).alias(
+            "stream_events"
+        ),
     )
     return grouped.selectExpr(
         "*",
@@ -92,23 +100,6 @@ def requests(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> Data
     return requests_from(block_events(spark, sf_dir, run))
 
 
-def token_events(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> DataFrame:
-    """Token-bearing events; a two-token event has own token stamps on even event ids only."""
-    return (
-        block_events(spark, sf_dir, run)
-        .where("token_bearing")
-        .selectExpr(
-            "run_id",
-            "request_id",
-            "pos AS chunk_index",
-            "off_ns AS event_offset_ns",
-            "toks AS tokens_in_chunk",
-            """CASE WHEN toks = 2 AND event_id % 2 = 0
-                    THEN array(off_ns - 1000, off_ns) END AS per_token_offsets_ns""",
-        )
-    )
-
-
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client-side evidence events of every request; some payloads are broken on purpose.
 
