@@ -28,13 +28,14 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
     given = F.col("raw_bytes_base64")
     raw = F.try_to_binary(given, F.lit("base64"))
     again = F.regexp_replace(F.base64(raw), "[\r\n]", "")
+    alphabet = given.rlike("^[A-Za-z0-9+/]*={0,2}$") & ~F.contains(given, F.lit("\n"))
     reason = (
-        F.when(raw.isNull(), "NOT_BASE64")
+        F.when(raw.isNull() | ~alphabet, "NOT_BASE64")
         .when(again != given, "NOT_CANONICAL")
         .when(F.octet_length(raw) != F.col("raw_byte_count"), "SIZE_DIFFERS")
         .when(F.sha2(raw, 256) != F.col("raw_bytes_sha256"), "HASH_DIFFERS")
     )
-    return chunks.withColumn("bytes", raw).withColumn("integrity", reason)
+    return chunks.withColumn("bytes", F.when(alphabet, raw)).withColumn("integrity", reason)
 
 
 def _segments(chunks: DataFrame, key: str, width: int) -> DataFrame:
