@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("metrics", "integrity", "quality", "comparison", "telemetry", "replay", "evidence")
+AREAS = ("metrics", "integrity", "quality", "comparison", "telemetry", "replay", "evidence", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
