@@ -1,9 +1,10 @@
-"""Exact type-7 percentiles that never gather a group in one task.
+"""Exact type-7 percentiles; a group of any size never ends up in one task.
 
-Pass one counts the samples per (group, bucket), where a bucket is 1/65,536 of an octave, and so
-finds the buckets that hold the wanted ranks. Pass two looks only at the samples of these (at
-most two per percentile) buckets, folded to distinct values with their counts. Both the bucket
-histogram of a group and the distinct values of one bucket are small whatever the group's size.
+Ordinary groups are sorted in one aggregate. A group with more than ``HOT_SAMPLES`` samples takes
+two passes: the first counts its samples per bucket (1/65,536 of an octave) and so finds the
+buckets that hold the wanted ranks; the second looks only at the samples of these buckets (at most
+two per percentile), folded to distinct values with their counts. Both the histogram of a group and
+the distinct values of one bucket stay small whatever the group's size.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from servescope.operators.sliced import hot_keys
+
 P50_P95_P99 = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 _STEPS = 65_536
+HOT_SAMPLES = 1_048_576
 
 
 def _bucket(value: Column) -> Column:
@@ -32,16 +36,44 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     percentiles: Mapping[str, float] = P50_P95_P99,
+    hot_samples: int = HOT_SAMPLES,
 ) -> DataFrame:
     """Per key: ``sample_count`` and one column per percentile. Null samples are not counted."""
     keys = list(keys)
-    named = [*keys, "__b"]
-    rows = (
-        samples.select(*keys, F.col(value).cast("double").alias("__v"))
-        .where(F.col("__v").isNotNull())
-        .withColumn("__b", _bucket(F.col("__v")))
+    rows = samples.select(*keys, F.col(value).cast("double").alias("__v")).where(
+        F.col("__v").isNotNull()
+    )
+    hot = hot_keys(rows, keys, hot_samples)
+    cold = _sorted_groups(rows.join(hot, keys, "left_anti"), keys, percentiles)
+    return cold.unionByName(_two_passes(rows.join(hot, keys, "left_semi"), keys, percentiles))
+
+
+def _sorted_groups(rows: DataFrame, keys: list[str], percentiles: Mapping[str, float]) -> DataFrame:
+    """One aggregate over groups of a bounded size."""
+    sorted_values = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__a"))
+    last = F.size("__a") - 1
+
+    def at(rank: Column) -> Column:
+        return F.get("__a", rank.cast("int"))
+
+    return sorted_values.select(
+        *keys,
+        F.size("__a").cast("long").alias("sample_count"),
+        *[
+            (
+                at(F.floor(last * F.lit(p)))
+                + (last * F.lit(p) - F.floor(last * F.lit(p)))
+                * (at(F.ceil(last * F.lit(p))) - at(F.floor(last * F.lit(p))))
+            ).alias(name)
+            for name, p in percentiles.items()
+        ],
     )
 
+
+def _two_passes(rows: DataFrame, keys: list[str], percentiles: Mapping[str, float]) -> DataFrame:
+    named = [*keys, "__b"]
+    rows = rows.withColumn("__b", _bucket(F.col("__v")))
+
     def lower(p: float) -> Column:
         return F.floor((F.col("__n") - 1) * F.lit(p))
 

@@ -1,10 +1,11 @@
 """Ordered computations over keys of any size.
 
 A window over ``run_id`` alone puts a whole run into one task, and one run may hold a third of
-all rows. Here the order is cut into slices (a monotone expression such as an hour of the clock
-or 65,536 sequence numbers). The rows are shuffled by (key, slice); what a slice needs from the
-slices before it is a single value per slice, computed with map-side aggregation, carried along
-the few slices of the key, and joined back on the same (key, slice) partitioning.
+all rows. Here a hot key's order is cut into slices (a monotone expression such as an hour of the
+clock or 65,536 sequence numbers), so that its rows spread over tasks by (key, slice). What a
+slice needs from the slices before it is one small value, computed with map-side aggregation for
+the hot keys only, carried along their slices and joined back on the same (key, slice)
+partitioning. Every other key is one slice and costs one shuffle.
 """
 
 from __future__ import annotations
@@ -16,17 +17,30 @@ from pyspark.sql import functions as F
 
 DENSE_SLICE = 65_536
 HOUR_NS = 3_600_000_000_000
+HOT_ROWS = 4_194_304
+_UPTO = (Window.unboundedPreceding, Window.currentRow)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Keys with more than ``rows`` rows. There are fewer than (all rows / rows) of them, so the
+    list is small enough to broadcast whatever the table's size: 250,000 for 10^12 rows."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return F.broadcast(counted.where(F.col("__rows") > rows).select(*keys))
 
 
 class SlicedOrder:
-    def __init__(self, keys: Sequence[str], order: Sequence[str], slice_by: Column):
+    def __init__(
+        self, keys: Sequence[str], order: Sequence[str], slice_by: Column, hot_rows: int = HOT_ROWS
+    ):
         self.keys = list(keys)
         self.order = list(order)
         self.slice_by = slice_by
+        self.hot_rows = hot_rows
 
     def _carry(
         self,
         df: DataFrame,
+        value: Column | None,
         local: Callable[[WindowSpec], Column],
         summary: Column,
         carried: Callable[[WindowSpec], Column],
@@ -34,7 +48,12 @@ class SlicedOrder:
         out: str,
     ) -> DataFrame:
         on = [*self.keys, "__slice"]
-        sliced = df.withColumn("__slice", self.slice_by)
+        hot = hot_keys(df.select(*self.keys), self.keys, self.hot_rows).withColumn("__hot", F.lit(True))
+        sliced = df.join(F.broadcast(hot), self.keys, "left").select(
+            *[F.col(c) for c in df.columns],
+            F.when(F.col("__hot"), self.slice_by).alias("__slice"),
+            *([] if value is None else [value.alias("__value")]),
+        )
         inside = Window.partitionBy(*on).orderBy(*self.order)
         before = (
             Window.partitionBy(*self.keys)
@@ -42,33 +61,37 @@ class SlicedOrder:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         carries = (
-            sliced.groupBy(*on)
+            sliced.where(F.col("__slice").isNotNull())
+            .groupBy(*on)
             .agg(summary.alias("__summary"))
             .select(*on, carried(before).alias("__carry"))
         )
         return (
             sliced.withColumn("__local", local(inside))
-            .join(carries, on)
-            .withColumn(out, combine(F.col("__local"), F.col("__carry")))
-            .drop("__slice", "__local", "__carry")
+            .join(carries, on, "left")
+            .select(
+                *[F.col(c) for c in df.columns],
+                combine(F.col("__local"), F.col("__carry")).alias(out),
+            )
         )
 
     def running_sum(self, df: DataFrame, value: Column, out: str) -> DataFrame:
         """Sum of ``value`` up to and including the row."""
-        rows = (Window.unboundedPreceding, Window.currentRow)
         return self._carry(
-            df.withColumn("__value", value),
-            lambda w: F.sum("__value").over(w.rowsBetween(*rows)),
+            df,
+            value,
+            lambda w: F.sum("__value").over(w.rowsBetween(*_UPTO)),
             F.sum("__value"),
             lambda w: F.sum("__summary").over(w),
             lambda local, carry: local + F.coalesce(carry, F.lit(0)),
             out,
-        ).drop("__value")
+        )
 
     def rank(self, df: DataFrame, out: str) -> DataFrame:
         """Position in the key's order, from 1."""
         return self._carry(
             df,
+            None,
             lambda w: F.row_number().over(w).cast("long"),
             F.count(F.lit(1)),
             lambda w: F.sum("__summary").over(w),
@@ -77,35 +100,36 @@ class SlicedOrder:
         )
 
     def running_max(self, df: DataFrame, value: Column, out: str) -> DataFrame:
-        rows = (Window.unboundedPreceding, Window.currentRow)
         return self._carry(
-            df.withColumn("__value", value),
-            lambda w: F.max("__value").over(w.rowsBetween(*rows)),
+            df,
+            value,
+            lambda w: F.max("__value").over(w.rowsBetween(*_UPTO)),
             F.max("__value"),
             lambda w: F.max("__summary").over(w),
             lambda local, carry: F.greatest(local, carry),
             out,
-        ).drop("__value")
+        )
 
     def last_known(self, df: DataFrame, value: Column, out: str) -> DataFrame:
         """The latest non-null ``value`` at or before the row."""
-        rows = (Window.unboundedPreceding, Window.currentRow)
         order = F.struct(*self.order)
         return self._carry(
-            df.withColumn("__value", value),
-            lambda w: F.last("__value", ignorenulls=True).over(w.rowsBetween(*rows)),
+            df,
+            value,
+            lambda w: F.last("__value", ignorenulls=True).over(w.rowsBetween(*_UPTO)),
             F.max_by("__value", F.when(F.col("__value").isNotNull(), order)),
             lambda w: F.last("__summary", ignorenulls=True).over(w),
             lambda local, carry: F.coalesce(local, carry),
             out,
-        ).drop("__value")
+        )
 
     def previous(self, df: DataFrame, columns: Mapping[str, str | Column]) -> DataFrame:
         """Columns of the row just before, as ``{new name: column}``; null on the first row."""
         picked = F.struct(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n)
                             for n, c in columns.items()])
         joined = self._carry(
-            df.withColumn("__value", picked),
+            df,
+            picked,
             lambda w: F.lag("__value").over(w),
             F.max_by("__value", F.struct(*self.order)),
             lambda w: F.last("__summary").over(w),

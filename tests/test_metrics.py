@@ -41,12 +41,15 @@ def test_percentiles_of_four(spark):
     assert row.p95 == pytest.approx(3.85) and row.p99 == pytest.approx(3.97)
 
 
-def test_percentiles_match_sorted_order_with_a_hot_group(spark):
+@pytest.mark.parametrize("hot_samples", [0, 1000, 10**9])
+def test_percentiles_match_sorted_order_with_a_hot_group(spark, hot_samples):
     rng = random.Random(5)
     rows = [(0, rng.lognormvariate(3, 2)) for _ in range(4000)] + [(0, 7.5)] * 900
     rows += [(g, rng.choice([-3.0, 0.0, 1e-9, 2.0, 1e15])) for g in (1, 2, 3) for _ in range(rng.randint(1, 40))]
     rows += [(4, -float(i)) for i in range(25)]
-    got = {r.g: r for r in exact_percentiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v").collect()}
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", hot_samples=hot_samples).collect()}
+    assert len(got) == 5
     for group in range(5):
         values = sorted(v for g, v in rows if g == group)
         for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):

@@ -24,7 +24,7 @@ def rows(spark):
 
 
 def order():
-    return SlicedOrder(["k"], ["at", "id"], F.expr("at div 7"))
+    return SlicedOrder(["k"], ["at", "id"], F.expr("at div 7"), hot_rows=100)
 
 
 def window():
