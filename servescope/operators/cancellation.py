@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from servescope.operators.sliced import by_offset
-from servescope.operators.telemetry import cadence_verdict, scrape_cadence, scrape_chronology
+from servescope.operators.sliced import SlicedOrder
+from servescope.operators.telemetry import COOLDOWN_NS, STABLE_NS, STEP_NS
 
 COUNTERS = (
     "prompt_tokens", "generation_tokens", "preemptions", "prefix_queries", "prefix_hits",
@@ -18,16 +18,18 @@ DRAIN_LIMIT_NS = 10_000_000_000
 
 
 def probe_features(observations: DataFrame) -> DataFrame:
-    """Fold the scrapes of a probe. ``observations`` carries the counters and the two gauges.
+    """Fold the scrapes of a probe in the order they were retained: phase by phase, by ordinal.
 
     Columns: probe_id, phase, phase_rank, phase_ordinal, scheduled_ns, dispatched_ns, completed_ns,
     process_id, running, waiting and one column per counter.
     """
     phase = F.col("phase")
-    shared = ((phase == "STABLE_GENERATION") | (phase == "COOLDOWN")) & (F.col("phase_ordinal") == 0)
-    seen = by_offset(["probe_id"], "completed_ns", "phase_rank", "phase_ordinal").previous(
-        observations, {f"__{c}": c for c in (*COUNTERS, "phase_rank")}
+    order = SlicedOrder(
+        ["probe_id"], ["phase_rank", "phase_ordinal"],
+        F.expr("phase_rank * 1000000 + phase_ordinal div 65536"),
     )
+    before = (*COUNTERS, "phase", "scheduled_ns", "completed_ns")
+    seen = order.previous(observations, {f"__{c}": c for c in before})
 
     def steps(test) -> Column:
         column = F.lit(True)
@@ -39,6 +41,18 @@ def probe_features(observations: DataFrame) -> DataFrame:
     unchanged = F.coalesce(steps(lambda x: x == 0), F.lit(True))
     in_pre = (phase == "PRE_DISPATCH") & (F.col("phase_ordinal") > 0)
     settled = (F.col("phase_rank") >= 2) & ~((phase == "STABLE_GENERATION") & (F.col("phase_ordinal") == 0))
+    scheduled_gap = F.when(F.col("__phase") == phase, F.col("scheduled_ns") - F.col("__scheduled_ns"))
+    completed_gap = F.when(F.col("__phase") == phase, F.col("completed_ns") - F.col("__completed_ns"))
+    loose = phase.isin("PRE_DISPATCH", "DRAIN")
+    exact = phase.isin("STABLE_GENERATION", "COOLDOWN")
+    spaced = (
+        F.when(loose, (scheduled_gap >= STEP_NS) & (completed_gap >= STEP_NS)).when(exact, scheduled_gap == STEP_NS)
+    )
+    in_time = (
+        (F.col("scheduled_ns") <= F.col("dispatched_ns"))
+        & (F.col("dispatched_ns") <= F.col("completed_ns"))
+        & F.coalesce(F.col("__completed_ns") <= F.col("completed_ns"), F.lit(True))
+    )
 
     def edge(name: str, first: bool, column: str) -> Column:
         pick = F.min_by if first else F.max_by
@@ -51,19 +65,21 @@ def probe_features(observations: DataFrame) -> DataFrame:
         F.count_if(phase == "DRAIN").alias("drain_count"),
         F.min("process_id").alias("lowest_process"),
         F.max("process_id").alias("highest_process"),
+        F.bool_and(in_time).alias("in_time"),
+        F.coalesce(F.bool_and(spaced), F.lit(True)).alias("spaced"),
         F.bool_and((F.col("running") == 0) & (F.col("waiting") == 0)).alias("quiescent"),
         F.bool_and(never_back).alias("never_back"),
         F.coalesce(F.bool_and(F.when(in_pre, unchanged)), F.lit(True)).alias("pre_stable"),
         F.coalesce(F.bool_and(F.when(settled, unchanged)), F.lit(True)).alias("later_stable"),
         edge("PRE_DISPATCH", False, "completed_ns").alias("pre_last_ns"),
         edge("DRAIN", True, "completed_ns").alias("drain_first_ns"),
-        edge("DRAIN", False, "completed_ns").alias("drain_last_ns"),
-        edge("STABLE_GENERATION", True, "completed_ns").alias("stable_first_ns"),
-        edge("STABLE_GENERATION", False, "completed_ns").alias("stable_last_ns"),
-        edge("COOLDOWN", True, "completed_ns").alias("cooldown_first_ns"),
+        *[edge(p, first, c).alias(f"{name}_{c}")
+          for p, first, name in (("DRAIN", False, "drain_last"), ("STABLE_GENERATION", True, "stable_first"),
+                                 ("STABLE_GENERATION", False, "stable_last"), ("COOLDOWN", True, "cooldown_first"))
+          for c in ("scheduled_ns", "dispatched_ns", "completed_ns")],
         edge("COOLDOWN", False, "completed_ns").alias("cooldown_last_ns"),
+        F.min(F.when(phase == "LATER", F.col("completed_ns"))).alias("later_first_ns"),
         F.max("completed_ns").alias("last_retained_ns"),
-        F.count_if(shared).alias("shared_edges"),
         *[(F.max_by(c, last_rank) - baseline[c]).alias(f"retained_{c}") for c in COUNTERS],
         *[(edge("COOLDOWN", False, c) - baseline[c]).alias(f"delta_{c}") for c in COUNTERS],
     )
@@ -78,23 +94,18 @@ def classify_cancellation(
     internal_abort_ns, external_abort_ns, correlated, dispatch_ns, first_delivery_ns, close_ns,
     server_process, residual_ns, residual_requests, residual_processes.
     """
-    cadence = cadence_verdict(scrape_cadence(observations)).groupBy("probe_id").agg(
-        F.bool_and("cadence_ok").alias("cadence_ok")
-    )
-    wrong_times = scrape_chronology(observations).select("probe_id").distinct().withColumn(
-        "times_wrong", F.lit(True)
-    )
-    facts = (
-        probes.join(probe_features(observations), "probe_id", "left")
-        .join(cadence, "probe_id", "left")
-        .join(wrong_times, "probe_id", "left")
-    )
+    facts = probes.join(probe_features(observations), "probe_id", "left")
 
     def known(condition: str) -> Column:
         return F.coalesce(F.expr(condition), F.lit(False))
 
     others_zero = " AND ".join(f"retained_{c} = 0" for c in OTHER_REASONS)
     deltas_zero = " AND ".join(f"delta_{c} = 0" for c in OTHER_REASONS)
+    shared = " AND ".join(
+        f"{a}_{c} = {b}_{c}"
+        for a, b in (("stable_first", "drain_last"), ("cooldown_first", "stable_last"))
+        for c in ("scheduled_ns", "dispatched_ns", "completed_ns")
+    )
     auxiliary_zero = " AND ".join(f"delta_{c} = 0" for c in AUXILIARY)
     verdict = (
         F.when(~known("body_id = concat('cmpl-', external_id) AND item_id = concat('cmpl-', external_id, '-0')"),
@@ -109,13 +120,16 @@ def classify_cancellation(
         .when(~known("pre_count = 10 AND drain_count = 10"), "RESIDUAL_WORK_TIMEOUT")
         .when(~known("lowest_process = server_process AND highest_process = server_process"),
               "RESIDUAL_WORK_TIMEOUT")
-        .when(known("times_wrong"), "RESIDUAL_WORK_TIMEOUT")
-        .when(~known("cadence_ok AND pre_last_ns < dispatch_ns"), "RESIDUAL_WORK_TIMEOUT")
+        .when(~known("in_time"), "RESIDUAL_WORK_TIMEOUT")
+        .when(~known("spaced AND pre_last_ns < dispatch_ns"), "RESIDUAL_WORK_TIMEOUT")
         .when(~known("quiescent"), "RESIDUAL_WORK_TIMEOUT")
         .when(
-            ~known("drain_first_ns >= close_ns AND external_abort_ns <= drain_first_ns AND shared_edges = 2"
-                   " AND stable_first_ns = drain_last_ns AND cooldown_first_ns = stable_last_ns"
-                   f" AND cooldown_last_ns - close_ns <= {DRAIN_LIMIT_NS}"),
+            ~known(f"drain_first_ns >= close_ns AND external_abort_ns <= drain_first_ns AND {shared}"
+                   f" AND stable_last_completed_ns - stable_first_completed_ns >= {STABLE_NS}"
+                   f" AND cooldown_last_ns - cooldown_first_completed_ns >= {COOLDOWN_NS}"
+                   f" AND cooldown_last_ns - close_ns <= {DRAIN_LIMIT_NS}"
+                   " AND external_abort_ns <= cooldown_last_ns"
+                   " AND coalesce(later_first_ns > cooldown_last_ns, true)"),
             "RESIDUAL_WORK_TIMEOUT")
         .when(~known("never_back AND pre_stable"), "RESIDUAL_WORK_TIMEOUT")
         .when(~known(f"retained_success_abort IN (0, 1) AND {others_zero}"), "LATER_COMPLETION")

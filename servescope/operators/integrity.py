@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,12 +81,17 @@ def case_agreement(left: DataFrame, right: DataFrame, fields: Sequence[str]) ->
     )
 
 
-def id_overlap(groups: dict[str, DataFrame], scope: Sequence[str], id_column: str) -> DataFrame:
-    """Ids found in more than one group, or twice in one, within the scope."""
-    tagged = reduce(
-        DataFrame.unionByName,
-        [df.select(*scope, id_column, F.lit(name).alias("id_group")) for name, df in groups.items()],
+def tag_groups(rows: DataFrame, groups: dict[str, str]) -> DataFrame:
+    """``id_group`` of each row by condition, in one pass; a row may belong to several groups."""
+    tags = F.filter(
+        F.array(*[F.when(F.expr(condition), F.lit(name)) for name, condition in groups.items()]),
+        lambda x: x.isNotNull(),
     )
+    return rows.withColumn("id_group", F.explode(tags))
+
+
+def id_overlap(tagged: DataFrame, scope: Sequence[str], id_column: str) -> DataFrame:
+    """Ids found in more than one group, or twice in one, within the scope."""
     return (
         tagged.groupBy(*scope, id_column)
         .agg(

@@ -452,17 +452,17 @@ def protocol_shape(events: DataFrame) -> DataFrame:
 
 
 def semantic_fingerprint(
-    requests: DataFrame, run_facts: DataFrame, fields: Sequence[str], buckets: int = 2
+    requests: DataFrame, run_facts: DataFrame, fields: Sequence[str], digits: int = 4
 ) -> DataFrame:
     """One hash per run over what has to repeat: never clocks, ports, run ids or chunk borders.
 
-    Request hashes are combined as a tree (by the first ``buckets`` hex digits of the request's
-    own hash, then over the buckets), so a run of any size combines in parallel. ``fields`` are
+    Request hashes are combined as a tree (by the first ``digits`` hex digits of the request's
+    own hash, then over these buckets), so a run of any size combines in parallel. ``fields`` are
     text columns; ``run_facts`` carries run_id and a text ``facts``.
     """
     shown = [F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("null"))) for f in sorted(fields)]
     hashed = requests.select("run_id", F.sha2(F.concat_ws("|", *shown), 256).alias("h"))
-    leaves = hashed.groupBy("run_id", F.substr("h", F.lit(1), F.lit(buckets)).alias("b")).agg(
+    leaves = hashed.groupBy("run_id", F.substr("h", F.lit(1), F.lit(digits)).alias("b")).agg(
         F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("bh")
     )
     roots = leaves.groupBy("run_id").agg(

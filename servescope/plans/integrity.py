@@ -10,10 +10,11 @@ from servescope.operators import timeline as tl
 from servescope.operators.sliced import by_offset
 from servescope.plans import tables as t
 from servescope.plans.oracle import rules_sql, sql
+from servescope.session import cut
 
 
 def max_concurrency_sequence(s, d):
-    return tl.concurrency_by_sequence(t.sequenced(t.stream_events(s, d)))
+    return tl.concurrency_by_sequence(cut(t.sequenced(t.stream_events(s, d))))
 
 
 def sequence_gaps(s, d):
@@ -104,13 +105,12 @@ def prompt_agreement(s, d):
 
 
 def id_overlap(s, d):
-    r = t.requests(s, d)
     groups = {
-        "excluded": r.where("phase = 'WARMUP'"),
-        "cancellation": r.where("terminal_class = 'CANCELLED'"),
-        "measured": r.where("phase = 'MEASURED'"),
+        "excluded": "phase = 'WARMUP'",
+        "cancellation": "terminal_class = 'CANCELLED'",
+        "measured": "phase = 'MEASURED'",
     }
-    return ig.id_overlap(groups, ["run_id"], "request_id")
+    return ig.id_overlap(ig.tag_groups(t.requests(s, d), groups), ["run_id"], "request_id")
 
 
 def set_difference(s, d):

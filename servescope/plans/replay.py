@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from servescope.operators import replay as rp
@@ -9,6 +10,7 @@ from servescope.operators import run_summary as rs
 from servescope.operators.sliced import SlicedOrder
 from servescope.plans import tables as t
 from servescope.plans.oracle import sql
+from servescope.session import cut
 
 
 def conversation_chunks(s, d):
@@ -45,27 +47,27 @@ def completion_chunks(s, d):
     By user: no finish reason (% 13), no usage (% 17), foreign id (% 19), no end (% 23), usage off
     by one (% 29), other prompt ids (% 31), a metric missing (% 37).
     """
-    b = t.block_events(s, d).where("pos > 0").selectExpr(
-        "*", "concat('cmpl-', CASE WHEN user_id % 19 = 0 THEN 'x' ELSE '' END, request_id) AS id")
-    generation = b.selectExpr(
-        "request_id", "4 * pos AS ordinal", "off_ns",
-        """concat('data: ', to_json(named_struct('id', id, 'choices', array(named_struct('index', 0, 'text', event_type,
-             'token_ids', CASE WHEN token_bearing THEN transform(sequence(1L, toks), i -> event_id * 10 + i) ELSE array() END,
-             'finish_reason', CASE WHEN pos = n - 1 AND user_id % 13 <> 0 THEN 'length' END,
-             'prompt_token_ids', CASE WHEN pos = 1 THEN array(n + CASE WHEN user_id % 31 = 0 THEN 1 ELSE 0 END) END)))),
-             '\\n\\n') AS body""")
+    block = Window.partitionBy("user_id", "blk")
+    total = F.sum(F.expr("CASE WHEN token_bearing THEN toks ELSE 0L END")).over(block)
+    b = t.block_events(s, d).withColumn("output_tokens", total).where("pos > 0").withColumn(
+        "id", F.expr("concat('cmpl-', CASE WHEN user_id % 19 = 0 THEN 'x' ELSE '' END, request_id)"))
+    generation = """to_json(named_struct('id', id, 'choices', array(named_struct('index', 0, 'text', event_type,
+        'token_ids', CASE WHEN token_bearing THEN transform(sequence(1L, toks), i -> event_id * 10 + i) ELSE array() END,
+        'finish_reason', CASE WHEN pos = n - 1 AND user_id % 13 <> 0 THEN 'length' END,
+        'prompt_token_ids', CASE WHEN pos = 1 THEN array(n + CASE WHEN user_id % 31 = 0 THEN 1 ELSE 0 END) END))))"""
     metrics = ", ".join(f"'{k}', 1.5D" for k in rp.SERVER_METRIC_KEYS)
     fewer = ", ".join(f"'{k}', 1.5D" for k in rp.SERVER_METRIC_KEYS[1:])
-    totals = t.requests(s, d).select("request_id", "output_tokens")
-    usage = b.where("pos = n - 1 AND user_id % 17 <> 0").join(totals, "request_id").selectExpr(
-        "request_id", "4 * n AS ordinal", "off_ns + 1000 AS off_ns",
-        f"""concat('data: ', to_json(named_struct('id', id, 'choices', array(), 'usage', named_struct('prompt_tokens', n,
-              'completion_tokens', output_tokens,
-              'total_tokens', n + output_tokens + CASE WHEN user_id % 29 = 0 THEN 1 ELSE 0 END),
-              'metrics', CASE WHEN user_id % 37 = 0 THEN map({fewer}) ELSE map({metrics}) END)), '\\n\\n') AS body""")
-    done = b.where("pos = n - 1 AND user_id % 23 <> 0").selectExpr(
-        "request_id", "4 * n + 2 AS ordinal", "off_ns + 2000 AS off_ns", "'data: [DONE]\\n\\n' AS body")
-    return generation.unionByName(usage).unionByName(done).selectExpr(
+    usage = f"""to_json(named_struct('id', id, 'choices', array(), 'usage', named_struct('prompt_tokens', n,
+        'completion_tokens', output_tokens,
+        'total_tokens', n + output_tokens + CASE WHEN user_id % 29 = 0 THEN 1 ELSE 0 END),
+        'metrics', CASE WHEN user_id % 37 = 0 THEN map({fewer}) ELSE map({metrics}) END))"""
+    frames = f"""filter(array(struct(4 * pos AS o, off_ns AS at, {generation} AS v),
+        CASE WHEN pos = n - 1 AND user_id % 17 <> 0 THEN struct(4 * n AS o, off_ns + 1000 AS at, {usage} AS v) END,
+        CASE WHEN pos = n - 1 AND user_id % 23 <> 0 THEN struct(4 * n + 2 AS o, off_ns + 2000 AS at, '[DONE]' AS v) END),
+        f -> f IS NOT NULL)"""
+    bodies = b.selectExpr("request_id", f"explode({frames}) AS f").selectExpr(
+        "request_id", "f.o AS ordinal", "f.at AS off_ns", "concat('data: ', f.v, '\\n\\n') AS body")
+    return bodies.selectExpr(
         "request_id", """stack(2, ordinal, off_ns - 500, substring(body, 1, 20), ordinal + 1, off_ns, substring(body, 21))
             AS (ordinal, observation_offset_ns, body)""").selectExpr(
         "request_id", "ordinal", "observation_offset_ns", "encode(body, 'UTF-8') AS bytes").where("octet_length(bytes) > 0")
@@ -103,7 +105,7 @@ def cancellation_replay(s, d):
     requests = t.requests(s, d).selectExpr(
         "request_id", """CASE WHEN user_id % 3 = 2 THEN terminal_ns + 5000 WHEN first_token_ns IS NULL THEN terminal_ns - 600
             WHEN token_events >= 2 AND user_id % 5 = 1 THEN last_token_ns - 500 ELSE first_token_ns END AS close_ns""")
-    chunks = completion_chunks(s, d)
+    chunks = cut(completion_chunks(s, d))
     return rp.cancellation_replay(requests, chunks, rp.sse_frames(chunks)).drop("delivery_frame")
 
 
@@ -205,7 +207,7 @@ ORACLES = {
             CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END AS failure_kind
           FROM req LEFT JOIN shp ON shp.request_id = req.request_id),
         h AS (SELECT run_id, sha256(concat_ws('|', {_SHOWN})) AS h FROM q),
-        l AS (SELECT run_id, h[1:2] AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh FROM h GROUP BY ALL),
+        l AS (SELECT run_id, h[1:4] AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh FROM h GROUP BY ALL),
         r AS (SELECT run_id, sha256(string_agg(bh, '' ORDER BY b)) AS root FROM l GROUP BY run_id),
         f AS (SELECT run_id, concat_ws('/', count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'FAILED'),
             count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'TIMEOUT'),

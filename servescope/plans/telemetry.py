@@ -10,6 +10,7 @@ from servescope.operators import telemetry as tm
 from servescope.operators.sliced import by_offset
 from servescope.plans import tables as t
 from servescope.plans.oracle import sql
+from servescope.session import cut
 from servescope.sources import logs as lg
 from servescope.sources import scrapes as sc
 
@@ -99,13 +100,13 @@ def log_lines(s, d):
 
 
 def log_offsets(s, d):
-    kept = lg.retain_records(log_lines(s, d))
+    kept = lg.retain_records(cut(log_lines(s, d)))
     return kept.select("source_stream_id", "record_ordinal", "byte_start", "byte_end", "raw_record_sha256")
 
 
 def log_byte_gaps(s, d):
     """Records after a run's lines lost every 50th record: the byte positions show the holes."""
-    kept = lg.retain_records(log_lines(s, d))
+    kept = cut(lg.retain_records(cut(log_lines(s, d))))
     lost = kept.where("record_ordinal % 50 <> 49")
     return lg.byte_gaps(lost).select("source_stream_id", "record_ordinal", "violation")
 
