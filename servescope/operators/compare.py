@@ -66,6 +66,40 @@ def compatibility(
     )
 
 
+def policy_mismatches(runs: DataFrame, policies: DataFrame) -> DataFrame:
+    """What a policy pins about its two runs: stored self-hashes, their identities, the SLO policy.
+
+    ``runs``: run_id, content_sha256 (stored), recomputed_sha256, slo_policy_sha256.
+    ``policies``: baseline, candidate, baseline_sha256, candidate_sha256, slo_policy_sha256.
+    None of these may differ.
+    """
+    side = runs.select("run_id", "content_sha256", "recomputed_sha256", F.col("slo_policy_sha256").alias("slo"))
+    joined = policies
+    for name in ("baseline", "candidate"):
+        joined = joined.join(
+            side.select(F.col("run_id").alias(name), F.struct("content_sha256", "recomputed_sha256", "slo").alias(name[0])),
+            name,
+        )
+    checks = []
+    for name in ("baseline", "candidate"):
+        r = name[0]
+        valid = F.col(f"{r}.content_sha256").eqNullSafe(F.col(f"{r}.recomputed_sha256"))
+        checks += [
+            (f"{name}_artifact_content_hash_valid", F.lit("true"), valid.cast("string")),
+            (f"{name}_artifact_sha256", F.col(f"{name}_sha256"), F.col(f"{r}.content_sha256")),
+            (f"{name}_slo_policy_sha256", F.col("slo_policy_sha256"), F.col(f"{r}.slo")),
+        ]
+    rows = F.array(*[
+        F.struct(F.lit(f).alias("field"), a.alias("expected"), b.alias("found")) for f, a, b in checks
+    ])
+    return (
+        joined.select("baseline", "candidate", F.explode(rows).alias("m"))
+        .select("baseline", "candidate", "m.*")
+        .where(~F.col("expected").eqNullSafe(F.col("found")))
+        .withColumn("allowed", F.lit(False))
+    )
+
+
 def sample_minimum(
     summaries: DataFrame, metrics: Sequence[str], successes: int, samples: int
 ) -> DataFrame:

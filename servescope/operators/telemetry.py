@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from servescope.functions.rules import check_rules
 from servescope.operators.sliced import by_offset
 from servescope.sources.scrapes import label_text
 
@@ -226,6 +227,36 @@ RUNTIME_PHASES = (
 )
 
 
+# Fixed value: how far a scrape may lie from the gate it stands for.
+GATE_DISTANCE_NS = 1_000_000_000
+# name: predicate over one measured window and its two scrapes
+SCRAPE_PLACEMENT = {
+    "process-changed": "baseline_process = final_process",
+    "baseline-before-phase": "phase_start_ns <= baseline_ns",
+    "baseline-after-dispatch": "baseline_ns < first_dispatch_ns",
+    "window-inverted": "first_dispatch_ns <= last_terminal_ns",
+    "terminal-after-phase": "last_terminal_ns <= phase_end_ns",
+    "drain-inside-phase": "phase_end_ns < drain_ns",
+    "final-before-drain": "drain_ns <= final_ns",
+    "baseline-stale": f"first_dispatch_ns - baseline_ns <= {GATE_DISTANCE_NS}",
+    "final-stale": f"final_ns - drain_ns <= {GATE_DISTANCE_NS}",
+    "baseline-missing": "baseline_ns IS NOT NULL",
+    "final-missing": "final_ns IS NOT NULL",
+}
+
+
+def measured_window(requests: DataFrame) -> DataFrame:
+    """First dispatch and last terminal of each run's measured requests."""
+    return requests.where("phase = 'MEASURED'").groupBy("run_id").agg(
+        F.min("dispatch_ns").alias("first_dispatch_ns"), F.max("terminal_ns").alias("last_terminal_ns")
+    )
+
+
+def scrape_placement(windows: DataFrame) -> DataFrame:
+    """Phase start, baseline scrape, dispatches, terminals, phase end, drain, final scrape, in order."""
+    return check_rules(windows, SCRAPE_PLACEMENT)
+
+
 def identity_chain(requests: DataFrame, responses: DataFrame, correlated: DataFrame) -> DataFrame:
     """Header id, body id, serving item and internal id of one request, joined on derived ids."""
     joined = (

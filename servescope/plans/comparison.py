@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from servescope.functions.scalars import content_identity
 from servescope.operators import availability as av
 from servescope.operators import compare as cp
 from servescope.operators import request_metrics as rm
@@ -46,6 +47,20 @@ def run_compatibility(s, d):
     return cp.compatibility(runs(s, d), pairs(s, d), REQUIRED, ALLOWED)
 
 
+def policy_mismatches(s, d):
+    """Runs with a stored identity over their counts; every 7th was changed after it was hashed."""
+    counted = rs.counts_v2(t.requests(s, d, USER))
+    fields = ["run_id", "attempted", "successful"]
+    stored = counted.withColumn("content_sha256", content_identity(counted, fields)).withColumn(
+        "successful", F.expr("successful + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END"))
+    known = stored.withColumn("recomputed_sha256", content_identity(stored, fields)).withColumn(
+        "slo_policy_sha256", F.expr("CASE WHEN run_id % 11 = 0 THEN 'other' ELSE 'slo' END"))
+    pinned = known.select(F.col("run_id"), F.expr("CASE WHEN run_id % 13 = 0 THEN 'old' ELSE content_sha256 END").alias("h"))
+    policies = pairs(s, d).join(pinned.selectExpr("run_id AS baseline", "h AS baseline_sha256"), "baseline").join(
+        pinned.selectExpr("run_id AS candidate", "h AS candidate_sha256"), "candidate").withColumn("slo_policy_sha256", F.lit("slo"))
+    return cp.policy_mismatches(known, policies)
+
+
 def _summaries(s, d):
     return rs.run_summary_v1(cut(t.requests(s, d, USER)))
 
@@ -166,6 +181,7 @@ def usage_reconciliation(s, d):
 
 QUERIES = {
     "run_compatibility": run_compatibility,
+    "policy_mismatches": policy_mismatches,
     "sample_minimum": sample_minimum,
     "comparison_report": comparison_report,
     "metric_deltas": metric_deltas,
@@ -248,6 +264,18 @@ _AVAIL = """av AS (SELECT r.request_id, repetition, user_id % 7 <> 0 AND first_t
       max_event_tokens = 1 AND token_events >= 2 AS token_observation_itl_available FROM req r)"""
 
 ORACLES = {
+    "policy_mismatches": by_user(sql("req", f"""WITH {_PAIRS}, c AS (SELECT run_id,
+          sha256('{{"attempted":' || count(*) {_M}) || ',"run_id":' || run_id || ',"successful":' || count(*) {_M} AND {OK}) || '}}') AS sha
+          FROM req GROUP BY run_id),
+        m AS (SELECT baseline, candidate, unnest([
+          {{'f': 'baseline_artifact_content_hash_valid', 'e': 'true', 'v': CASE WHEN baseline % 7 = 0 THEN 'false' ELSE 'true' END}},
+          {{'f': 'candidate_artifact_content_hash_valid', 'e': 'true', 'v': CASE WHEN candidate % 7 = 0 THEN 'false' ELSE 'true' END}},
+          {{'f': 'baseline_artifact_sha256', 'e': CASE WHEN baseline % 13 = 0 THEN 'old' ELSE b.sha END, 'v': b.sha}},
+          {{'f': 'candidate_artifact_sha256', 'e': CASE WHEN candidate % 13 = 0 THEN 'old' ELSE k.sha END, 'v': k.sha}},
+          {{'f': 'baseline_slo_policy_sha256', 'e': 'slo', 'v': CASE WHEN baseline % 11 = 0 THEN 'other' ELSE 'slo' END}},
+          {{'f': 'candidate_slo_policy_sha256', 'e': 'slo', 'v': CASE WHEN candidate % 11 = 0 THEN 'other' ELSE 'slo' END}}]) AS x
+          FROM pairs JOIN c b ON b.run_id = baseline JOIN c k ON k.run_id = candidate)
+        SELECT baseline, candidate, x.f AS field, x.e AS expected, x.v AS found, false AS allowed FROM m WHERE x.e <> x.v""")),
     "run_compatibility": by_user(sql("req", f"WITH {_PAIRS}, {_MISM} SELECT * FROM mism")),
     "sample_minimum": by_user(sql("req tev", f"""WITH {_SUMMARY1}
         SELECT run_id, successful >= 3 AND coalesce(ttft_count, 0) >= 1 AND coalesce(end_to_end_count, 0) >= 1

@@ -227,6 +227,12 @@ def rules_request_v3(s, d):
         .withColumn("tpot_ns", F.expr("""CASE WHEN max_event_tokens = 1 AND output_tokens >= 2 OR u % 37 = 0
             THEN try_divide(CAST(generation_terminal_ns - first_token_ns AS DOUBLE), output_tokens - 1) END"""))
         .withColumn("tpot_reason", F.expr("CASE WHEN max_event_tokens > 1 AND u % 41 <> 0 THEN 'GROUPED_TOKEN_EVENT' END")))
+    bearing = "filter(token_events, e -> size(e.ids) > 0)"
+    stored = stored.withColumn("output_gaps_ns", F.expr(
+        f"""CASE WHEN size({bearing}) < 2 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(1, size({bearing}) - 1),
+              i -> get({bearing}, i).at - get({bearing}, i - 1).at + CASE WHEN u % 13 = 0 THEN 1 ELSE 0 END) END""")).withColumn(
+        "itl_ns", F.expr("""CASE WHEN size(output_gaps_ns) > 0 AND max_event_tokens = 1
+              THEN CAST(aggregate(output_gaps_ns, 0L, (a, g) -> a + g) AS DOUBLE) / size(output_gaps_ns) + u % 11 div 10 END"""))
     return _report(stored, q.REQUEST_V3, "request_id")
 
 
@@ -428,6 +434,8 @@ _REQUEST_V3_DUCK = {
     "grouped-needs-unavailable": "max_event_tokens <= 1 OR (tpot_ns IS NULL AND tpot_reason = 'GROUPED_TOKEN_EVENT')",
     "tpot-does-not-rebuild": """max_event_tokens > 1 OR coalesce(
         tpot_ns = (generation_terminal_ns - first_token_ns) / nullif(output_tokens - 1, 0), tpot_ns IS NULL AND output_tokens < 2)""",
+    "gaps-do-not-rebuild": "NOT (user_id % 13 = 0 AND token_events >= 2)",
+    "itl-does-not-rebuild": "max_event_tokens > 1 OR token_events < 2 OR user_id % 11 <> 10",
 }
 
 _EXCHANGE_DUCK = {**q.EXCHANGE,
@@ -517,7 +525,7 @@ _V3 = """ev3 AS (SELECT request_id, pos, n, toks, event_type, token_bearing, eve
       max(off_ns) AS generation_terminal_ns, string_agg(event_type, '' ORDER BY pos) AS expected_text,
       string_agg(event_type, ' ' ORDER BY pos) AS spaced_text
       FROM (SELECT *, lag(at_ns) OVER (PARTITION BY request_id ORDER BY pos) AS before FROM ev3) GROUP BY request_id),
-    v3 AS (SELECT g3.*, first_token_ns, max_event_tokens, output_tokens, g3.request_id AS external_id,
+    v3 AS (SELECT g3.*, user_id, token_events, first_token_ns, max_event_tokens, output_tokens, g3.request_id AS external_id,
       'cmpl-' || CASE WHEN user_id % 17 = 0 THEN 'x' ELSE '' END || g3.request_id AS response_id,
       'cmpl-' || g3.request_id || '-0' AS item_id,
       'cmpl-' || g3.request_id || '-0-' || CASE WHEN user_id % 19 = 0 THEN 'XYZ' ELSE md5(g3.request_id)[1:8] END AS internal_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from servescope.functions.rules import violation_report
 from servescope.operators import cancellation as cn
 from servescope.operators import telemetry as tm
 from servescope.operators.sliced import by_offset
@@ -142,6 +143,18 @@ def phase_order(s, d):
     return tm.phase_order(phases, tm.RUNTIME_PHASES)
 
 
+def scrape_placement(s, d):
+    """The window of each user's requests, with scrapes and gates set around it; some misplaced."""
+    windows = tm.measured_window(t.requests(s, d, "user_id")).selectExpr(
+        "*", "first_dispatch_ns - 2000000000 AS phase_start_ns",
+        "last_terminal_ns + CASE WHEN run_id % 5 = 0 THEN -1 ELSE 10 END AS phase_end_ns",
+        "first_dispatch_ns - CASE WHEN run_id % 7 = 0 THEN 1500000000 WHEN run_id % 11 = 0 THEN 0 WHEN run_id % 13 = 0 THEN 3000000000 ELSE 1000000000 END AS baseline_ns",
+        "last_terminal_ns + CASE WHEN run_id % 17 = 0 THEN 10 ELSE 20 END AS drain_ns",
+        "CASE WHEN run_id % 23 <> 0 THEN last_terminal_ns + CASE WHEN run_id % 19 = 0 THEN 15 ELSE 1000000000 END END AS final_ns",
+        "'p' AS baseline_process", "CASE WHEN run_id % 29 = 0 THEN 'q' ELSE 'p' END AS final_process")
+    return violation_report(tm.scrape_placement(windows), ["run_id"])
+
+
 def probe_observations(s, d):
     """The scrape schedule of a cancellation probe around every request.
 
@@ -207,6 +220,7 @@ QUERIES = {
     "log_correlation": log_correlation,
     "identity_chain": identity_chain,
     "phase_order": phase_order,
+    "scrape_placement": scrape_placement,
     "scrape_cadence": scrape_cadence,
     "scrape_chronology": scrape_chronology,
     "cancellation_class": cancellation_class,
@@ -276,6 +290,16 @@ _PROBE = """ob AS (SELECT request_id AS probe_id, user_id, phase, phase_rank, i
           UNION ALL SELECT request_id, user_id, 'COOLDOWN', 3, i, dispatch_ns + 2200000000 + i * 100000000 FROM req, range(21) t(i)))"""
 
 ORACLES = {
+    "scrape_placement": sql("req", """SELECT run_id, array_to_string(v, ',') AS violations FROM (SELECT user_id AS run_id, [x FOR x IN [
+          CASE WHEN user_id % 29 = 0 THEN 'process-changed' END,
+          CASE WHEN user_id % 13 = 0 AND user_id % 7 <> 0 AND user_id % 11 <> 0 THEN 'baseline-before-phase' END,
+          CASE WHEN user_id % 11 = 0 AND user_id % 7 <> 0 THEN 'baseline-after-dispatch' END,
+          CASE WHEN user_id % 5 = 0 THEN 'terminal-after-phase' END,
+          CASE WHEN user_id % 17 = 0 AND user_id % 5 <> 0 THEN 'drain-inside-phase' END,
+          CASE WHEN user_id % 19 = 0 AND user_id % 17 <> 0 AND user_id % 23 <> 0 THEN 'final-before-drain' END,
+          CASE WHEN user_id % 7 = 0 OR (user_id % 13 = 0 AND user_id % 11 <> 0) THEN 'baseline-stale' END,
+          CASE WHEN user_id % 23 = 0 THEN 'final-missing' END] IF x IS NOT NULL] AS v
+        FROM req WHERE phase = 'MEASURED' GROUP BY user_id) WHERE len(v) > 0"""),
     "scrape_samples": sql("ev", f"""WITH {_S}, txt AS (SELECT scrape_id, metric, labels, value, CAST(NULL AS VARCHAR) AS violation,
             CASE metric WHEN 'ev_total' THEN CASE WHEN labels LIKE 'engine="1"%' THEN 10 ELSE 0 END WHEN 'running' THEN 40 ELSE 50 END AS k FROM smp
           UNION ALL SELECT scrape_id, NULL, NULL, NULL, 'MALFORMED_SAMPLE', 20 FROM tot WHERE (slot + day) % 19 = 0
