@@ -152,7 +152,7 @@ def availability_summary(s, d):
 def restart_descriptive(s, d):
     m = rs.measured(t.requests(s, d)).withColumn("ttft", rm.ttft()).withColumn("e2e", rm.end_to_end())
     samples = m.selectExpr("repetition", "stack(2, 'ttft', ttft, 'end_to_end', e2e) AS (metric, value)")
-    return av.describe_by_restart(samples)
+    return av.describe_by_restart(cut(samples))
 
 
 def memory_stability(s, d):

@@ -150,7 +150,8 @@ def dedup_requests(s, d):
 
 QUERIES = {
     "max_concurrency_sequence": max_concurrency_sequence,
-    "max_concurrency_interval": lambda s, d: tl.concurrency_by_interval(t.requests(s, d)),
+    "max_concurrency_interval": lambda s, d: tl.concurrency_by_interval(
+        cut(t.requests(s, d).select("run_id", "dispatch_ns", "terminal_ns"))),
     "sequence_gaps": sequence_gaps,
     "out_of_order_events": out_of_order_events,
     "asof_scrape": asof_scrape,

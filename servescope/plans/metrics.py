@@ -93,8 +93,8 @@ def terminal_class(spark, sf):
 def latency_percentiles(spark, sf):
     from servescope.operators.order_statistics import exact_percentiles
 
-    ready = rs.measured(t.requests(spark, sf)).withColumn("ttft_ns", rm.ttft())
-    return exact_percentiles(ready, ["run_id"], "ttft_ns")
+    ready = rs.measured(t.requests(spark, sf)).select("run_id", rm.ttft().alias("ttft_ns"))
+    return exact_percentiles(cut(ready), ["run_id"], "ttft_ns")
 
 
 def distributions(spark, sf):

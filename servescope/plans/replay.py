@@ -86,19 +86,19 @@ def chunk_integrity(s, d):
 
 
 def sse_frames(s, d):
-    return rp.sse_frames(conversation_chunks(s, d)).select(
+    return rp.sse_frames(cut(conversation_chunks(s, d))).select(
         "request_id", "frame_index", "kind", "data", "completing_chunk", "error")
 
 
 def stream_status(s, d):
-    return rp.stream_status(rp.sse_frames(conversation_chunks(s, d)))
+    return rp.stream_status(rp.sse_frames(cut(conversation_chunks(s, d))))
 
 
 def completion_replay(s, d):
     requests = t.requests(s, d).selectExpr(
         "request_id", "array(n) AS sent_prompt", "output_tokens AS expected_output_tokens",
         "terminal_ns + 3000 AS transport_terminal_ns")
-    return rp.completion_replay(requests, rp.sse_frames(completion_chunks(s, d)))
+    return rp.completion_replay(requests, rp.sse_frames(cut(completion_chunks(s, d))))
 
 
 def cancellation_replay(s, d):
@@ -111,7 +111,7 @@ def cancellation_replay(s, d):
 
 def semantic_fingerprint(s, d):
     shapes = rp.protocol_shape(t.sequenced(t.stream_events(s, d)))
-    requests = t.requests(s, d).join(shapes.drop("run_id"), "request_id", "left").withColumn(
+    requests = t.requests(s, d).drop("stream_events").join(shapes.drop("run_id"), "request_id", "left").withColumn(
         "failure_kind", F.expr("CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END"))
     facts = rs.counts_v2(t.requests(s, d)).selectExpr("run_id", "concat_ws('/', failed, timed_out, attempted) AS facts")
     return rp.semantic_fingerprint(requests, facts, FINGERPRINT)
@@ -133,7 +133,7 @@ def summary_drift(s, d):
 
 def derived_drift(s, d):
     """The derived record of each body, as stored text, against the one rebuilt from its bytes."""
-    rebuilt = rp.stream_status(rp.sse_frames(conversation_chunks(s, d))).selectExpr(
+    rebuilt = rp.stream_status(rp.sse_frames(cut(conversation_chunks(s, d)))).selectExpr(
         "concat('derived/', request_id, '.txt') AS path", "request_id",
         "concat_ws(' ', status, data_frames, comment_frames, done_frames) AS content")
     stored = rebuilt.where("request_id % 14 <> 3").withColumn(
@@ -145,7 +145,7 @@ QUERIES = {
     "chunk_integrity": chunk_integrity,
     "sse_frames": sse_frames,
     "stream_status": stream_status,
-    "body_hash": lambda s, d: rp.body_hash(conversation_chunks(s, d)),
+    "body_hash": lambda s, d: rp.body_hash(cut(conversation_chunks(s, d))),
     "protocol_shape": lambda s, d: rp.protocol_shape(t.sequenced(t.stream_events(s, d))),
     "semantic_fingerprint": semantic_fingerprint,
     "completion_replay": completion_replay,

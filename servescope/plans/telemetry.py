@@ -68,18 +68,20 @@ def exact_series(s, d):
 
 
 def counter_deltas(s, d):
-    return tm.counter_deltas(tm.scrape_pairs(scrapes(s, d)), _samples(s, d)).where("metric = 'ev_total'")
+    scraped = cut(scrapes(s, d))
+    return tm.counter_deltas(tm.scrape_pairs(scraped), sc.read_samples(scraped)).where("metric = 'ev_total'")
 
 
 def window_deltas(s, d):
-    pairs = tm.scrape_pairs(scrapes(s, d))
-    deltas = tm.counter_deltas(pairs, _samples(s, d)).where("metric = 'ev_total'")
+    scraped = cut(scrapes(s, d))
+    pairs = tm.scrape_pairs(scraped)
+    deltas = tm.counter_deltas(pairs, sc.read_samples(scraped)).where("metric = 'ev_total'")
     return tm.window_deltas(pairs, deltas, [(m, ls, 0.0) for m, ls in WANTED[:4]] + [("ev_total", 'engine="2"', 1.0)])
 
 
 def log_lines(s, d):
     """The log of a run: lines of its requests in clock order; some lines lost, doubled or foreign."""
-    r = t.requests(s, d).selectExpr(
+    r = cut(t.requests(s, d).drop("stream_events")).selectExpr(
         "*", "concat('cmpl-', request_id, '-0') AS item",
         "concat('cmpl-', request_id, '-0-', substring(md5(request_id), 1, 8)) AS internal",
         "coalesce(first_token_ns, dispatch_ns) AS add_ns")
@@ -140,7 +142,7 @@ def phase_order(s, d):
         "dispatch_ns - CASE WHEN user_id % 7 = 0 AND blk = 4 THEN 864000000000000 ELSE 0 END AS started_ns",
         "CASE WHEN user_id % 11 = 0 AND blk = 1 THEN dispatch_ns ELSE terminal_ns END AS ended_ns",
         "terminal_class <> 'FAILED' AS passed")
-    return tm.phase_order(phases, tm.RUNTIME_PHASES)
+    return tm.phase_order(cut(phases), tm.RUNTIME_PHASES)
 
 
 def scrape_placement(s, d):
@@ -166,7 +168,8 @@ def probe_observations(s, d):
         transform(sequence(0L, CASE WHEN user_id % 13 = 0 THEN 8L ELSE 9L END), i -> struct('DRAIN' AS phase, 1L AS phase_rank, i AS i, dispatch_ns + 300000000 + i * 100000000 AS at)),
         transform(sequence(0L, 10L), i -> struct('STABLE_GENERATION' AS phase, 2L AS phase_rank, i AS i, dispatch_ns + 1200000000 + i * 100000000 AS at)),
         transform(sequence(0L, 20L), i -> struct('COOLDOWN' AS phase, 3L AS phase_rank, i AS i, dispatch_ns + 2200000000 + i * 100000000 AS at)))"""
-    rows = t.requests(s, d).selectExpr("request_id", "user_id", "n", "blk", f"explode({shape}) AS o")
+    rows = cut(t.requests(s, d).select("request_id", "user_id", "n", "blk", "dispatch_ns")).selectExpr(
+        "request_id", "user_id", "n", "blk", f"explode({shape}) AS o")
     after = "o.phase_rank > 0"
     return rows.selectExpr(
         "request_id AS probe_id", "o.phase AS phase", "o.phase_rank AS phase_rank", "o.i AS phase_ordinal",

@@ -187,30 +187,32 @@ def assemble_requests(
                 [(key[0], "TIMEOUT", dispatch, first, last, None, tokens, "TIMEOUT", 0)], columns=columns
             )
         return
-    events = pd.concat(list(batches)).sort_values(["off_ns", "kind_rank"])
-    latest = int(events["seen_at"].max().timestamp() * 1000)
+    arrived = sorted(
+        (off, rank, kind, tokens_of, cls, seen)
+        for b in batches
+        for off, rank, kind, tokens_of, cls, seen in zip(
+            b["off_ns"].tolist(), b["kind_rank"].tolist(), b["kind"].tolist(),
+            b["token_delta_count"].fillna(0).tolist(), b["terminal_class"].fillna("").tolist(), b["seen_at"].tolist(),
+        )
+    )
+    latest = int(max(a[5] for a in arrived).timestamp() * 1000)
     late, rows = 0, []
-    for e in events.itertuples(index=False):
+    for off, _, kind, tokens_of, cls, _ in arrived:
         if closed:
-            late += 0 if e.kind == "CLIENT_REQUEST_ENDED" else 1
-            continue
-        if e.kind == "CLIENT_REQUEST_STARTED" and dispatch is None:
-            dispatch = int(e.off_ns)
-        elif e.kind == "SSE_TOKEN_EVENT":
-            first = int(e.off_ns) if first is None else first
-            last = int(e.off_ns)
-            tokens += 0 if pd.isna(e.token_delta_count) else int(e.token_delta_count)
-        elif e.kind == "REQUEST_TERMINAL":
+            late += 0 if kind == "CLIENT_REQUEST_ENDED" else 1
+        elif kind == "CLIENT_REQUEST_STARTED" and dispatch is None:
+            dispatch = off
+        elif kind == "SSE_TOKEN_EVENT":
+            first, last = off if first is None else first, off
+            tokens += int(tokens_of)
+        elif kind == "REQUEST_TERMINAL":
             closed = True
-            rows.append((key[0], "CLOSED", dispatch, first, last, int(e.off_ns), tokens, e.terminal_class, 0))
+            rows.append((key[0], "CLOSED", dispatch, first, last, off, tokens, cls, 0))
     if late:
         rows.append((key[0], "LATE", None, None, None, None, None, None, late))
     state.update((dispatch, first, last, tokens, closed))
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)
-    frame = pd.DataFrame(rows, columns=columns)
-    for name in columns[2:7]:
-        frame[name] = frame[name].astype("Int64")
-    yield frame
+    yield pd.DataFrame(rows, columns=columns, dtype="object")
 
 
 def stream_requests(events: DataFrame, delay: str = "1 hour") -> DataFrame:
