@@ -142,13 +142,19 @@ class SlicedOrder:
         )
 
 
-def by_sequence(keys: Sequence[str], sequence: str, width: int = DENSE_SLICE) -> SlicedOrder:
-    """Order by a dense ordinal; every slice holds ``width`` ordinals."""
-    return SlicedOrder(keys, [sequence], F.floor(F.col(sequence) / width))
+def by_sequence(
+    keys: Sequence[str], sequence: str, width: int = DENSE_SLICE, hot_rows: int = HOT_ROWS
+) -> SlicedOrder:
+    """Order by a dense ordinal; every slice of a hot key holds ``width`` ordinals."""
+    return SlicedOrder(keys, [sequence], F.floor(F.col(sequence) / width), hot_rows)
 
 
 def by_offset(
-    keys: Sequence[str], offset: str, *ties: str, width_ns: int = HOUR_NS
+    keys: Sequence[str],
+    offset: str,
+    *ties: str,
+    width_ns: int = HOUR_NS,
+    hot_rows: int = HOT_ROWS,
 ) -> SlicedOrder:
-    """Order by a nanosecond offset; every slice covers ``width_ns`` of the clock."""
-    return SlicedOrder(keys, [offset, *ties], F.expr(f"{offset} div {width_ns}L"))
+    """Order by a nanosecond offset; every slice of a hot key covers ``width_ns`` of the clock."""
+    return SlicedOrder(keys, [offset, *ties], F.expr(f"{offset} div {width_ns}L"), hot_rows)

@@ -7,10 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servescope.operators.sliced import DENSE_SLICE, HOUR_NS, SlicedOrder, by_offset, by_sequence
-
-
-def concurrency_by_sequence(lifecycle: DataFrame, width: int = DENSE_SLICE) -> DataFrame:
+from servescope.operators.sliced import (
+    DENSE_SLICE,
+    HOT_ROWS,
+    HOUR_NS,
+    SlicedOrder,
+    by_offset,
+    by_sequence,
+)
+
+
+def concurrency_by_sequence(
+    lifecycle: DataFrame, width: int = DENSE_SLICE, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Peak active requests per run over ordered START / END events, warmup included.
 
     ``lifecycle``: run_id, sequence, request_id, kind. Broken evidence becomes counts, not an error.
@@ -18,7 +27,7 @@ def concurrency_by_sequence(lifecycle: DataFrame, width: int = DENSE_SLICE) -> D
     delta = F.expr(
         "CASE kind WHEN 'CLIENT_REQUEST_STARTED' THEN 1L WHEN 'CLIENT_REQUEST_ENDED' THEN -1L ELSE 0L END"
     )
-    active = by_sequence(["run_id"], "sequence", width).running_sum(lifecycle, delta, "active")
+    active = by_sequence(["run_id"], "sequence", width, hot_rows).running_sum(lifecycle, delta, "active")
     peak = active.groupBy("run_id").agg(
         F.max("active").alias("max_concurrency"), F.min("active").alias("lowest_active")
     )
@@ -43,7 +52,9 @@ def concurrency_by_sequence(lifecycle: DataFrame, width: int = DENSE_SLICE) -> D
     return peak.join(per_request, "run_id", "left")
 
 
-def concurrency_by_interval(requests: DataFrame, width_ns: int = HOUR_NS) -> DataFrame:
+def concurrency_by_interval(
+    requests: DataFrame, width_ns: int = HOUR_NS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Peak over half-open [dispatch, terminal) intervals; at equal times terminals come first.
 
     Also whether two requests ever overlapped for a positive time.
@@ -62,7 +73,8 @@ def concurrency_by_interval(requests: DataFrame, width_ns: int = HOUR_NS) -> Dat
         .agg(F.sum("m.d").alias("d"))
     )
     # terminals of an instant precede its dispatches, so the count after the instant is its peak
-    active = by_offset(["run_id"], "at", width_ns=width_ns).running_sum(marks, F.col("d"), "active")
+    order = by_offset(["run_id"], "at", width_ns=width_ns, hot_rows=hot_rows)
+    active = order.running_sum(marks, F.col("d"), "active")
     # every mark but the last of a run is followed by a positive-length piece at this count
     return active.groupBy("run_id").agg(
         F.max("active").alias("max_concurrency"),
@@ -104,6 +116,7 @@ def as_of_join(
     left_at: str,
     right_at: str,
     width_ns: int = HOUR_NS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before it (null if none).
 
@@ -123,7 +136,7 @@ def as_of_join(
         F.struct(*[c for c in left.columns if c != key]).alias("__left"),
         F.lit(None).cast(right.drop(key).select(F.struct("*")).schema[0].dataType).alias("__right"),
     )
-    order = by_offset([key], "__at", "__side", width_ns=width_ns)
+    order = by_offset([key], "__at", "__side", width_ns=width_ns, hot_rows=hot_rows)
     matched = order.last_known(r.unionByName(lf), F.col("__right"), "__match")
     return matched.where("__side = 1").select(key, "__left.*", "__match.*")
 

@@ -49,17 +49,19 @@ def test_sliced_equals_plain_window(rows, sliced, plain):
     assert got == want
 
 
-def test_concurrency_puts_terminals_before_dispatches(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_concurrency_puts_terminals_before_dispatches(spark, hot_rows):
     df = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (2, 0, 10), (2, 9, 20)], "run_id long, dispatch_ns long, terminal_ns long")
-    got = {r.run_id: (r.max_concurrency, r.positive_overlap) for r in tl.concurrency_by_interval(df, 3).collect()}
+    got = {r.run_id: (r.max_concurrency, r.positive_overlap) for r in tl.concurrency_by_interval(df, 3, hot_rows).collect()}
     assert got == {1: (1, False), 2: (2, True)}
 
 
-def test_concurrency_by_sequence_names_broken_evidence(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_concurrency_by_sequence_names_broken_evidence(spark, hot_rows):
     s, e = "CLIENT_REQUEST_STARTED", "CLIENT_REQUEST_ENDED"
     events = [(1, 0, "a", s), (1, 1, "b", s), (1, 2, "a", e), (1, 3, "c", e), (1, 4, "b", s)]
     df = spark.createDataFrame(events, "run_id long, sequence long, request_id string, kind string")
-    row = tl.concurrency_by_sequence(df, 2).first()
+    row = tl.concurrency_by_sequence(df, 2, hot_rows).first()
     assert (row.max_concurrency, row.duplicate_starts, row.unmatched_ends, row.unfinished) == (2, 1, 1, 1)
 
 
@@ -70,8 +72,9 @@ def test_sequence_report(spark):
     assert (got["a"].duplicates, got["a"].missing) == (1, 2)
 
 
-def test_as_of_join_takes_the_right_row_at_equal_times(spark):
+@pytest.mark.parametrize("hot_rows", [0, 100])
+def test_as_of_join_takes_the_right_row_at_equal_times(spark, hot_rows):
     left = spark.createDataFrame([("u", 5, "l1"), ("u", 1, "l0"), ("v", 9, "l2")], "k string, at long, name string")
     right = spark.createDataFrame([("u", 2, "r1"), ("u", 5, "r2"), ("v", 10, "r3")], "k string, seen long, scrape string")
-    got = {r.name: r.scrape for r in tl.as_of_join(left, right, "k", "at", "seen", 2).collect()}
+    got = {r.name: r.scrape for r in tl.as_of_join(left, right, "k", "at", "seen", 2, hot_rows).collect()}
     assert got == {"l0": None, "l1": "r2", "l2": None}
