@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servescope.llm.words import shingle_sets
+from servescope.llm.words import pieces, shingle_sets
 
 SKETCH = 64
 BLOCK = 2_000_000
@@ -85,7 +85,7 @@ def _search(held, percent: int):
         sketch, owner = sketch[order], owner[order]
         maybe = np.zeros(1 << _BITS, bool)
         maybe[sketch & np.uint64((1 << _BITS) - 1)] = True
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             rows: list[tuple[int, int, int, int]] = []
             for at, s in enumerate(shingle_sets(batch.column("text"))):
                 s_low = s[maybe[s & np.uint64((1 << _BITS) - 1)]]

@@ -1,21 +1,21 @@
 """Near-duplicate groups by a MinHash LSH forest.
 
-1. Every document gets 64 MinHash values of its five-word shingles. Equal shingle sets form one
+1. Every document gets 128 MinHash values of its five-word shingles. Equal shingle sets form one
    class and go on as their smallest id.
-2. The forest: the signature is read in 16 orders, each starting at another fourth value. In each
+2. The forest: the signature is read in 16 orders, each starting eight values further on. In each
    order the classes are sorted globally by (values from that start on), so rows with a long common
    prefix stand side by side. A row's candidates are the rows after it, up to ``WINDOW``, while at
    least two values agree: a sparse region is compared at depth two, a dense one only with the
    rows that share the longest prefixes. A region of any size is cut freely between
    partitions; the rows at a cut are compared in a small second scan. A candidate goes on if at
-   least ``AGREE`` of the 64 values agree in their low byte.
+   least ``AGREE`` of the 128 values agree in their low byte.
 3. First scan: a spanning forest of candidates, confirmed on full shingle sets, joined to
    components. Second scan, over documents that had candidates: every candidate pair whose
    components still differ is confirmed too. So a large group costs links in proportion to its
    size, and no candidate between different components is left out.
 
 At a similarity of 0.75 a pair shares a prefix of two values in one of 16 orders with odds of
-1 - 2e-6, and fails ``AGREE`` with odds below 1e-6.
+1 - 2e-6, and fails ``AGREE`` with odds of 5e-6.
 
 Null ``doc_id``: the row is linked with nothing, its component is null and it is kept. Null, empty
 or wordless text: no shingles, linked with nothing. Repeated rows share a component; rows of one id
@@ -34,15 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servescope.llm.components import components
-from servescope.llm.words import shingle_sets
+from servescope.llm.words import pieces, shingle_sets
 from servescope.session import cut
 
-VALUES = 64
+VALUES = 128
 ORDERS = 16
 WINDOW = 32
-AGREE = 30
-_PREFIX = 16  # bytes: four whole values before the low bytes of all 64
-_CHUNK = 1 << 18
+AGREE = 74
+_PREFIX = 16  # bytes: four whole values before the low bytes of all values
 _RNG = np.random.default_rng(20240601)
 _MULTIPLY = _RNG.integers(0, 2**64, VALUES, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**64, VALUES, dtype=np.uint64)
@@ -87,19 +86,11 @@ def near_duplicates(docs: DataFrame, per_mille: int = 750) -> DataFrame:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, digests, mins = [], [], []
-        held: list[np.ndarray] = []
-        for s in shingle_sets(batch.column("text")):
-            sizes.append(len(s))
-            digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            held.append(s)
-            if sum(map(len, held[-64:])) >= _CHUNK or len(held) >= 512:
-                mins += _minimums(held)
-                held = []
-        mins += _minimums(held)
+    for batch in (piece for whole in batches for piece in pieces(whole)):
+        sets = list(shingle_sets(batch.column("text")))
+        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(mins, pa.binary())],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(_minimums(sets), pa.binary())],
             names=["doc_id", "n_shingles", "digest", "mins"])
 
 
@@ -130,7 +121,7 @@ def _candidates(forest: DataFrame, spanning: bool) -> DataFrame:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per order: four whole values from the order's start, then the low bytes of all 64."""
+    """A row per order: four whole values from the order's start, then the low bytes of all values"""
     step = VALUES // ORDERS
     for batch in batches:
         n = batch.num_rows
@@ -253,13 +244,11 @@ def _confirm(pairs: DataFrame, texts: DataFrame, per_mille: int) -> DataFrame:
     both = left.join(texts.selectExpr("doc_id AS b", "text AS text_b"), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                mask = [
-                    1000 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= per_mille * (len(x) + len(y) - both) > 0
-                    for x, y in zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")))
-                ]
-                yield part.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+        for part in (piece for whole in batches for piece in pieces(whole, 256)):
+            mask = []
+            for x, y in zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b"))):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                mask.append(1000 * shared >= per_mille * (len(x) + len(y) - shared) > 0)
+            yield part.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")

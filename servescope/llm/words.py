@@ -20,6 +20,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words per text, the index of each word in the list of distinct words, that list."""
+    if texts.offset:  # the kernels below misread a view that does not start at 0
+        texts = texts.take(pa.array(np.arange(len(texts))))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
     flat = lists.flatten()
     real = np.asarray(pc.greater(pc.binary_length(flat), 0))
@@ -30,6 +32,12 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return lengths, np.asarray(coded.indices), coded.dictionary
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that what is derived from texts stays small next to the batch."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
