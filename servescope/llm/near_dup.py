@@ -1,21 +1,21 @@
 """Near-duplicate groups by a MinHash LSH forest.
 
-1. Every document gets 128 MinHash values of its five-word shingles. Equal shingle sets form one
+1. Every document gets 256 MinHash values of its five-word shingles. Equal shingle sets form one
    class and go on as their smallest id.
-2. The forest: the signature is read in 16 orders, each starting eight values further on. In each
+2. The forest: the signature is read in 16 orders, each starting 16 values further on. In each
    order the classes are sorted globally by (values from that start on), so rows with a long common
    prefix stand side by side. A row's candidates are the rows after it, up to ``WINDOW``, while at
    least two values agree: a sparse region is compared at depth two, a dense one only with the
    rows that share the longest prefixes. A region of any size is cut freely between
    partitions; the rows at a cut are compared in a small second scan. A candidate goes on if at
-   least ``AGREE`` of the 128 values agree in their low byte.
+   least ``AGREE`` of the 256 values agree in their low four bits.
 3. First scan: a spanning forest of candidates, confirmed on full shingle sets, joined to
    components. Second scan, over documents that had candidates: every candidate pair whose
    components still differ is confirmed too. So a large group costs links in proportion to its
    size, and no candidate between different components is left out.
 
 At a similarity of 0.75 a pair shares a prefix of two values in one of 16 orders with odds of
-1 - 2e-6, and fails ``AGREE`` with odds of 5e-6.
+1 - 2e-6, and fails ``AGREE`` with odds of 1e-5.
 
 Null ``doc_id``: the row is linked with nothing, its component is null and it is kept. Null, empty
 or wordless text: no shingles, linked with nothing. Repeated rows share a component; rows of one id
@@ -37,11 +37,11 @@ from servescope.llm.components import components
 from servescope.llm.words import pieces, shingle_sets
 from servescope.session import cut
 
-VALUES = 128
+VALUES = 256
 ORDERS = 16
-WINDOW = 32
-AGREE = 74
-_PREFIX = 16  # bytes: four whole values before the low bytes of all values
+WINDOW = 64
+AGREE = 167
+_PREFIX = 16  # bytes: four whole values before the low four bits of all values
 _RNG = np.random.default_rng(20240601)
 _MULTIPLY = _RNG.integers(0, 2**64, VALUES, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**64, VALUES, dtype=np.uint64)
@@ -74,11 +74,13 @@ def near_duplicates(docs: DataFrame, per_mille: int = 750) -> DataFrame:
                 .selectExpr("doc", "coalesce(label, doc) AS label", "mins"))
     rest = _candidates(labelled, spanning=False).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = _confirm(rest, texts, per_mille)
-    found = components(linked.union(more))
+    # links between components join the components, not their members
+    named = found.selectExpr("id AS a", "component AS la"), found.selectExpr("id AS b", "component AS lb")
+    joined = components(more.join(named[0], "a", "left").join(named[1], "b", "left").selectExpr("coalesce(la, a) AS a", "coalesce(lb, b) AS b"))
 
-    class_of = classes.select("digest", "rep").join(
-        found.selectExpr("id AS rep", "component"), "rep", "left").selectExpr(
-        "digest", "coalesce(component, rep) AS component")
+    class_of = (classes.select("digest", "rep").join(found.selectExpr("id AS rep", "component"), "rep", "left")
+                .selectExpr("digest", "coalesce(component, rep) AS id").join(joined, "id", "left")
+                .selectExpr("digest", "coalesce(component, id) AS component"))
     return (signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("digest")).alias("digest"))
             .join(class_of, "digest", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -102,7 +104,12 @@ def _minimums(sets: list[np.ndarray]) -> list[bytes]:
         starts = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])[:-1]))
         for k in range(VALUES):
             out[full, k] = np.minimum.reduceat(((h * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32), starts)
-    return [row.tobytes() for row in out]
+    # whole values where an order starts, then the low four bits of all
+    step = VALUES // ORDERS
+    starts_of = out.reshape(len(sets), ORDERS, step)[:, :, :4].reshape(len(sets), -1)
+    low = (out & np.uint32(15)).astype(np.uint8)
+    packed = low[:, 0::2] << 4 | low[:, 1::2]
+    return [x.tobytes() + y.tobytes() for x, y in zip(starts_of, packed)]
 
 
 def _candidates(forest: DataFrame, spanning: bool) -> DataFrame:
@@ -121,15 +128,13 @@ def _candidates(forest: DataFrame, spanning: bool) -> DataFrame:
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per order: four whole values from the order's start, then the low bytes of all values"""
-    step = VALUES // ORDERS
+    """A row per order: four whole values from the order's start, then the low bits of all, from there on."""
+    head, step = ORDERS * _PREFIX, VALUES // ORDERS // 2
     for batch in batches:
         n = batch.num_rows
-        values = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint32).reshape(n, VALUES)
-        low = (values & np.uint32(255)).astype(np.uint8)
+        signature = np.frombuffer(b"".join(batch.column("mins").to_pylist()), np.uint8).reshape(n, -1)
         for tree in range(ORDERS):
-            turn = np.roll(np.arange(VALUES), -step * tree)
-            rows = np.hstack([np.ascontiguousarray(values[:, turn[:4]]).view(np.uint8).reshape(n, _PREFIX), low[:, np.roll(turn, -4)]])
+            rows = np.hstack([signature[:, _PREFIX * tree : _PREFIX * (tree + 1)], np.roll(signature[:, head:], -step * tree - 2, axis=1)])
             path = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), n, [None, pa.py_buffer(np.ascontiguousarray(rows))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, tree, np.int32)), path.cast(pa.binary()), batch.column("doc"), batch.column("label")],
@@ -184,7 +189,7 @@ def _scan(group: str, spanning: bool, edges: bool) -> Callable:
 
 def _neighbours(group: np.ndarray, path: np.ndarray, doc: np.ndarray, label: np.ndarray, carried: int,
                 spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most ``WINDOW`` apart that share a prefix of two values and agree in ``AGREE`` low bytes.
+    """Pairs of rows at most ``WINDOW`` apart that share a prefix of two values and agree in the low bits of ``AGREE``.
 
     ``spanning``: rows joined by pairs found so far count as one, so only a spanning forest comes out.
     Else every pair with different labels does. Pairs of two carried rows came out before.
@@ -203,7 +208,8 @@ def _neighbours(group: np.ndarray, path: np.ndarray, doc: np.ndarray, label: np.
         i = at[(at + s >= carried) & (label[at] != label[at + s])]
         if not len(i):
             continue
-        i = i[(low[i] == low[i + s]).sum(1) >= AGREE]
+        apart = low[i] ^ low[i + s]
+        i = i[(apart < 16).sum(1) + (apart & 15 == 0).sum(1) >= AGREE]
         if not len(i):
             continue
         if spanning:
