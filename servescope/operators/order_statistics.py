@@ -38,10 +38,10 @@ def exact_percentiles(
     percentiles: Mapping[str, float] = P50_P95_P99,
     hot_samples: int = HOT_SAMPLES,
 ) -> DataFrame:
-    """Per key: ``sample_count`` and one column per percentile. Null samples are not counted."""
+    """Per key: ``sample_count`` and one column per percentile. Null, infinite and NaN samples are not counted."""
     keys = list(keys)
     rows = samples.select(*keys, F.col(value).cast("double").alias("__v")).where(
-        F.col("__v").isNotNull()
+        F.abs("__v") < F.lit(float("inf"))
     )
     hot = hot_keys(rows, keys, hot_samples)
     cold = _sorted_groups(rows.join(hot, keys, "left_anti"), keys, percentiles)

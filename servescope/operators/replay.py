@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 1024
-# The largest buffered frame, and the end-of-stream marker.
-FRAME_LIMIT = 64 * 1024
+# Fixed value: the end-of-stream marker.
 DONE = "[DONE]"
 
 
@@ -156,8 +155,13 @@ def sse_pieces(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT)
     )
 
 
-def sse_frames(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT) -> DataFrame:
-    """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``."""
+def sse_frames(
+    chunks: DataFrame, key: str = "request_id", width: int = SEGMENT, limit: int | None = None
+) -> DataFrame:
+    """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``.
+
+    A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data.
+    """
     pieces = sse_pieces(chunks, key, width).where("raw_frame <> ''")
     raw_bytes = F.encode("raw_frame", "ISO-8859-1")
     utf8 = F.try_validate_utf8(raw_bytes.cast("string"))
@@ -177,8 +181,7 @@ def sse_frames(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT)
         .withColumn("data", F.when(F.size("data_lines") > 0, F.array_join("data_lines", "\n")))
     )
     error = (
-        F.when(F.length("raw_frame") > FRAME_LIMIT, "BUFFER_LIMIT")
-        .when(F.col("text").isNull(), "INVALID_UTF8")
+        F.when(F.col("text").isNull(), "INVALID_UTF8")
         .when(F.contains("text", F.lit("\r")), "BARE_CARRIAGE_RETURN")
         .when(F.col("bad_line"), "UNSUPPORTED_FIELD")
     )
@@ -204,6 +207,7 @@ def sse_frames(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT)
         F.coalesce("error", late).alias("error"),
         F.octet_length(raw_bytes).cast("long").alias("frame_bytes"),
         (F.rtrim(F.ltrim(F.col("raw_frame"), F.lit("\n")), F.lit("\n")) != "").alias("has_content"),
+        (F.lit(False) if limit is None else F.octet_length(raw_bytes) > limit).alias("over_limit"),
     )
 
 
@@ -238,7 +242,7 @@ SERVER_METRIC_KEYS = (
 
 def completion_events(frames: DataFrame) -> DataFrame:
     """Data frames as responses: ``event`` is GENERATION, USAGE, DONE or BROKEN."""
-    parsed = frames.where("kind IN ('data', 'done')").withColumn(
+    parsed = frames.where("kind IN ('data', 'done', 'error')").withColumn(
         "v", F.when(F.col("kind") == "data", F.from_json("data", COMPLETION))
     )
     choices = F.size("v.choices")
@@ -330,7 +334,9 @@ def completion_replay(requests: DataFrame, frames: DataFrame) -> DataFrame:
         F.max(F.when(bearing, F.size("token_ids"))).alias("largest_event"),
         F.sort_array(F.collect_list(F.when(kind == "GENERATION", F.struct("frame_index", "token_ids", "text")))).alias("g"),
     )
-    joined = requests.join(folded, "request_id", "left")
+    # a request without any frame has none of anything
+    counts = ["broken", "wrong_ids", "wrong_choices", "odd_reasons", "terminals", "usages", "dones", "went_back", "prompt_events"]
+    joined = requests.join(folded, "request_id", "left").fillna(0, counts).fillna(False, ["metrics_complete"])
     rebuilt = joined.withColumn("output_ids", F.expr("flatten(coalesce(g.token_ids, array()))")).withColumn(
         "output_text", F.array_join(F.coalesce(F.col("g.text"), F.array()), "")
     )
@@ -370,7 +376,7 @@ def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFram
         F.max("frame_end").alias("last_end"),
     )
     joined = requests.select(key, "close_ns").join(last, key, "left").join(folded, key, "left")
-    pending = F.col("received_bytes") - F.coalesce("last_end", F.lit(0))
+    pending = F.coalesce("received_bytes", F.lit(0)) - F.coalesce("last_end", F.lit(0))
     status = (
         F.when(F.col("d").isNull(), "NO_GENERATION_DELIVERED")
         .when(F.col("terminals") > 0, "GENERATION_TERMINAL_BEFORE_CLOSE")
@@ -390,53 +396,44 @@ def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFram
     )
 
 
-BODY_IN_ROW = 64 * 1024 * 1024
-
-
 def _hash_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Running SHA-256 over rows sorted by (request, ordinal); holds one digest at a time."""
-    current, digest, size = None, None, 0
+    columns = ["request_id", "body_bytes", "body_sha256", "status"]
+    current, digest, size, sound = None, None, 0, True
     done: list[tuple] = []
+
+    def closed() -> tuple:
+        return (current, size, digest.hexdigest(), "OK") if sound else (current, size, None, "UNSOUND_CHUNK")
+
     for batch in batches:
         for request, data in zip(batch["request_id"], batch["bytes"]):
-            if request != current:
-                if current is not None:
-                    done.append((current, size, digest.hexdigest()))
-                current, digest, size = request, hashlib.sha256(), 0
-            digest.update(data)
-            size += len(data)
-        yield pd.DataFrame(done, columns=["request_id", "body_bytes", "body_sha256"])
+            if digest is None or request != current:
+                if digest is not None:
+                    done.append(closed())
+                current, digest, size, sound = request, hashlib.sha256(), 0, True
+            if data is None:
+                sound = False
+            else:
+                digest.update(data)
+                size += len(data)
+        yield pd.DataFrame(done, columns=columns)
         done = []
-    if current is not None:
-        yield pd.DataFrame([(current, size, digest.hexdigest())],
-                           columns=["request_id", "body_bytes", "body_sha256"])
+    if digest is not None:
+        yield pd.DataFrame([closed()], columns=columns)
 
 
-def body_hash(chunks: DataFrame, in_row: int = BODY_IN_ROW) -> DataFrame:
-    """SHA-256 of each body over its chunks in order.
+def body_hash(chunks: DataFrame) -> DataFrame:
+    """SHA-256 of each body over its chunks in order; null with a status where a chunk has no bytes.
 
-    Bodies up to ``in_row`` bytes are joined in a row; a larger one is hashed while its sorted
-    chunks stream past, so no body is ever held in memory.
+    Sorted chunks stream past a running digest, so no body of any size is held in memory.
     """
-    sizes = chunks.groupBy("request_id").agg(
-        F.sum(F.octet_length("bytes").cast("long")).alias("body_bytes")
-    )
-    small = chunks.join(sizes.where(F.col("body_bytes") <= in_row), "request_id")
-    native = small.groupBy("request_id", "body_bytes").agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", F.hex("bytes").alias("h")))).alias("c")
-    ).select(
-        "request_id", "body_bytes",
-        F.sha2(F.unhex(F.array_join(F.col("c.h"), "")), 256).alias("body_sha256"),
-    )
     kind = dict(chunks.dtypes)["request_id"]
-    large = chunks.join(sizes.where(F.col("body_bytes") > in_row).select("request_id"), "request_id", "left_semi")
-    streamed = (
-        large.repartition("request_id")
+    return (
+        chunks.repartition("request_id")
         .sortWithinPartitions("request_id", "ordinal")
         .select("request_id", "bytes")
-        .mapInPandas(_hash_sorted, f"request_id {kind}, body_bytes long, body_sha256 string")
+        .mapInPandas(_hash_sorted, f"request_id {kind}, body_bytes long, body_sha256 string, status string")
     )
-    return native.unionByName(streamed)
 
 
 def protocol_shape(events: DataFrame) -> DataFrame:

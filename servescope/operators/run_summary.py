@@ -305,7 +305,6 @@ def run_summary_v2(
         .withColumn("goodput", F.round(per_second("slo_satisfying"), 9))
         .withColumn("failure_rate", F.expr("try_divide(CAST(failed AS DOUBLE), attempted)"))
         .withColumn("timeout_rate", F.expr("try_divide(CAST(timed_out AS DOUBLE), attempted)"))
-        .where("attempted > 0")
         .drop("output_v1", "total_v1", "output_v2", "total_v2", "window_start_ns", "window_end_ns")
     )
     return _zero_counts(summary)
@@ -343,7 +342,6 @@ def run_summary_v1(requests: DataFrame, satisfied: Column | None = None) -> Data
             "timeout_rate",
             F.expr("coalesce(try_divide(CAST(timed_out AS DOUBLE), attempted), 0D)"),
         )
-        .where("attempted > 0")
         .drop("output_v1", "total_v1", "output_v2", "total_v2", "window_start_ns", "window_end_ns")
     )
     return _zero_counts(summary)

@@ -22,10 +22,9 @@ _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """Keys with more than ``rows`` rows. There are fewer than (all rows / rows) of them, so the
-    list is small enough to broadcast whatever the table's size: 250,000 for 10^12 rows."""
+    """Keys with more than ``rows`` rows; whether the list is broadcast is left to its measured size."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return F.broadcast(counted.where(F.col("__rows") > rows).select(*keys))
+    return counted.where(F.col("__rows") > rows).select(*keys)
 
 
 class SlicedOrder:
@@ -49,9 +48,10 @@ class SlicedOrder:
     ) -> DataFrame:
         on = [*self.keys, "__slice"]
         hot = hot_keys(df.select(*self.keys), self.keys, self.hot_rows).withColumn("__hot", F.lit(True))
-        sliced = df.join(F.broadcast(hot), self.keys, "left").select(
+        sliced = df.join(hot, self.keys, "left").select(
             *[F.col(c) for c in df.columns],
-            F.when(F.col("__hot"), self.slice_by).alias("__slice"),
+            # nulls sort first, so rows without an order value are the slice before all others
+            F.when(F.col("__hot"), F.coalesce(self.slice_by, F.lit(-(2**62)))).alias("__slice"),
             *([] if value is None else [value.alias("__value")]),
         )
         inside = Window.partitionBy(*on).orderBy(*self.order)

@@ -104,8 +104,8 @@ def restart_records(s, d):
         "array(n) AS sent_prompt", "array(n + CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END) AS returned_prompt",
         "transform(slice(e, 2, 1), x -> x.toks) AS output_ids",
         "CASE WHEN last_type = 'error' THEN 'error' ELSE 'length' END AS finish_reason",
-        "n AS prompt_tokens", "e[1].toks AS completion_tokens", "n + e[1].toks AS total_tokens",
-        "sha2(CASE WHEN e[1].event_type = 'purchase' THEN 'p' ELSE 'x' END, 256) AS output_text_sha256",
+        "n AS prompt_tokens", "coalesce(get(e, 1).toks, 0L) AS completion_tokens", "n + coalesce(get(e, 1).toks, 0L) AS total_tokens",
+        "sha2(CASE WHEN get(e, 1).event_type = 'purchase' THEN 'p' ELSE 'x' END, 256) AS output_text_sha256",
         "user_id % 71 = 0 AS replacement_run")
 
 
@@ -237,7 +237,7 @@ _LONG = "SELECT run_id, unnest([" + ", ".join(
 ) + "]) AS x FROM summ"
 
 _RESTARTS = """rec AS (SELECT user_id, user_id // 3 * 1000000 + blk AS case_id, user_id % 3 + 1 AS rep, max(n) AS n,
-      max(toks) FILTER (WHERE pos = 1) AS t1, max(event_type) FILTER (WHERE pos = 1) = 'purchase' AS p1,
+      max(toks) FILTER (WHERE pos = 1) AS t0, coalesce(max(toks) FILTER (WHERE pos = 1), 0) AS t1, coalesce(max(event_type) FILTER (WHERE pos = 1) = 'purchase', false) AS p1,
       CASE WHEN max(event_type) FILTER (WHERE pos = n - 1) = 'error' THEN 'error' ELSE 'length' END AS fin,
       n + CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END AS ret
     FROM be GROUP BY user_id, blk, n)"""
@@ -245,7 +245,7 @@ _RESTARTS = """rec AS (SELECT user_id, user_id // 3 * 1000000 + blk AS case_id,
 _DIFF = ", ".join(
     f"CASE WHEN r{i}.{c} IS DISTINCT FROM r1.{c} THEN 'restart-{i}:{f}' END"
     for i in (2, 3)
-    for f, c in (("sent_prompt", "n"), ("returned_prompt", "ret"), ("output_ids", "t1"), ("finish_reason", "fin"),
+    for f, c in (("sent_prompt", "n"), ("returned_prompt", "ret"), ("output_ids", "t0"), ("finish_reason", "fin"),
                  ("prompt_tokens", "n"), ("completion_tokens", "t1"), ("total_tokens", "tot"), ("output_text_sha256", "p1"))
 )
 _COMPARED = f"""{_RESTARTS}, kept AS (SELECT *, n + t1 AS tot FROM rec WHERE user_id % 50 <> 7),

@@ -18,8 +18,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                         count(*) OVER (PARTITION BY user_id, rn0 // 8) AS n,
                         CAST(CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 0
                              ELSE 1 END AS BIGINT) AS toks
-                 FROM ev)
-           WHERE n >= 4""",
+                 FROM ev)""",
     ),
     "req": (
         ("be",),

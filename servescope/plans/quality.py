@@ -518,8 +518,8 @@ _ARRAYS2 = "(SELECT r.*, coalesce(deltas, []) AS deltas, coalesce(token_offsets_
 
 _V3 = """ev3 AS (SELECT request_id, pos, n, toks, event_type, token_bearing, event_id, off_ns,
       off_ns - CASE WHEN event_id % 43 = 0 THEN 900000000000000 ELSE 0 END AS at_ns,
-      pos = n - 1 AND event_id % 47 <> 0 AS fin, pos = 1 OR event_id % 53 = 0 AS prompt FROM be WHERE pos > 0),
-    g3 AS (SELECT request_id, count(*) FILTER (WHERE prompt) AS n_prompts, bool_or(prompt AND pos = 1) AS first_prompt,
+      pos = n - 1 AND event_id % 47 <> 0 AS fin, pos = 1 OR event_id % 53 = 0 AS prompt FROM be WHERE pos > 0 OR n = 1),
+    g3 AS (SELECT request_id, count(*) FILTER (WHERE prompt) AS n_prompts, bool_or(prompt AND (pos = 1 OR n = 1)) AS first_prompt,
       count(*) FILTER (WHERE fin) AS n_terminals, bool_or(before > at_ns) AS went_back,
       arg_min(at_ns, pos) FILTER (WHERE token_bearing) AS first_bearing_ns, arg_max(at_ns, pos) AS last_at,
       max(off_ns) AS generation_terminal_ns, string_agg(event_type, '' ORDER BY pos) AS expected_text,

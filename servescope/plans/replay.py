@@ -145,7 +145,7 @@ QUERIES = {
     "chunk_integrity": chunk_integrity,
     "sse_frames": sse_frames,
     "stream_status": stream_status,
-    "body_hash": lambda s, d: rp.body_hash(cut(conversation_chunks(s, d))),
+    "body_hash": lambda s, d: rp.body_hash(cut(conversation_chunks(s, d))).drop("status"),
     "protocol_shape": lambda s, d: rp.protocol_shape(t.sequenced(t.stream_events(s, d))),
     "semantic_fingerprint": semantic_fingerprint,
     "completion_replay": completion_replay,
@@ -215,22 +215,22 @@ ORACLES = {
         SELECT r.run_id, sha256(root || '|' || facts) AS semantic_fingerprint FROM r JOIN f ON f.run_id = r.run_id"""),
     "completion_replay": sql("req be", """WITH x AS (SELECT request_id, string_agg(event_type, '' ORDER BY pos) AS txt FROM be
           WHERE pos > 0 GROUP BY request_id)
-        SELECT r.request_id, CASE WHEN user_id % 13 <> 0 THEN terminal_ns END AS generation_terminal_ns,
-          CASE WHEN user_id % 17 <> 0 THEN terminal_ns + 1000 END AS usage_terminal_ns,
-          CASE WHEN user_id % 23 <> 0 THEN terminal_ns + 1500 END AS protocol_terminal_ns,
-          output_tokens, sha256(txt) AS output_text_sha256,
+        SELECT r.request_id, CASE WHEN user_id % 13 <> 0 AND n > 1 THEN terminal_ns END AS generation_terminal_ns,
+          CASE WHEN user_id % 17 <> 0 AND n > 1 THEN terminal_ns + 1000 END AS usage_terminal_ns,
+          CASE WHEN user_id % 23 <> 0 AND n > 1 THEN terminal_ns + 1500 END AS protocol_terminal_ns,
+          output_tokens, sha256(coalesce(txt, '')) AS output_text_sha256,
           CASE WHEN user_id % 13 <> 0 AND max_event_tokens = 1 AND output_tokens >= 2
                THEN (terminal_ns - first_token_ns) / (output_tokens - 1) END AS tpot_ns,
           array_to_string([v FOR v IN [
-            CASE WHEN user_id % 19 = 0 THEN 'body-id-differs' END,
-            CASE WHEN user_id % 13 = 0 THEN 'one-generation-terminal' END,
-            CASE WHEN user_id % 17 = 0 THEN 'one-usage-terminal' END,
-            CASE WHEN user_id % 23 = 0 THEN 'one-protocol-terminal' END,
-            CASE WHEN user_id % 31 = 0 THEN 'prompt-ids-differ' END,
-            CASE WHEN user_id % 29 = 0 AND user_id % 17 <> 0 THEN 'usage-does-not-add-up' END,
-            CASE WHEN user_id % 37 = 0 OR user_id % 17 = 0 THEN 'metrics-incomplete' END,
+            CASE WHEN user_id % 19 = 0 AND n > 1 THEN 'body-id-differs' END,
+            CASE WHEN user_id % 13 = 0 OR n = 1 THEN 'one-generation-terminal' END,
+            CASE WHEN user_id % 17 = 0 OR n = 1 THEN 'one-usage-terminal' END,
+            CASE WHEN user_id % 23 = 0 OR n = 1 THEN 'one-protocol-terminal' END,
+            CASE WHEN user_id % 31 = 0 OR n = 1 THEN 'prompt-ids-differ' END,
+            CASE WHEN user_id % 29 = 0 AND user_id % 17 <> 0 AND n > 1 THEN 'usage-does-not-add-up' END,
+            CASE WHEN user_id % 37 = 0 OR user_id % 17 = 0 OR n = 1 THEN 'metrics-incomplete' END,
             CASE WHEN output_tokens = 0 THEN 'no-output-token' END] IF v IS NOT NULL], ',') AS violations
-        FROM req r JOIN x ON x.request_id = r.request_id"""),
+        FROM req r LEFT JOIN x ON x.request_id = r.request_id"""),
     "cancellation_replay": sql("req be", """WITH q AS (SELECT r.*, CASE WHEN user_id % 3 = 2 THEN terminal_ns + 5000
               WHEN first_token_ns IS NULL THEN terminal_ns - 600
               WHEN token_events >= 2 AND user_id % 5 = 1 THEN last_token_ns - 500 ELSE first_token_ns END AS close_ns,

@@ -33,7 +33,7 @@ def clocked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_events(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> DataFrame:
-    """Each user's events in blocks of eight; a block of four or more is one request."""
+    """Each user's events in blocks of eight; every block is one request."""
     ranked = by_offset(["user_id"], "off_ns", "event_id").rank(
         clocked_events(spark, sf_dir), "rn"
     )
@@ -43,7 +43,6 @@ def block_events(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") ->
         .withColumn("blk", F.expr(f"rn0 div {BLOCK}"))
         .withColumn("pos", F.expr(f"rn0 % {BLOCK}"))
         .withColumn("n", F.count(F.lit(1)).over(block))
-        .where("n >= 4")
         .withColumn(
             "toks",
             F.expr("CASE event_type WHEN 'purchase' THEN 2L WHEN 'error' THEN 0L ELSE 1L END"),

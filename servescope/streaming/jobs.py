@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from servescope.operators.replay import DONE, FRAME_LIMIT
+from servescope.operators.replay import DONE
 from servescope.session import shared_folder
 
 
@@ -99,8 +99,6 @@ FRAME_STATE = "buffer binary, done boolean, next_ordinal long, frame_index long,
 
 def _read_frame(raw: bytes, done: bool) -> tuple[str, str | None, str | None]:
     """kind, data, error of one complete frame; the batch job expresses the same rules natively."""
-    if len(raw) > FRAME_LIMIT:
-        return "error", None, "BUFFER_LIMIT"
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:

@@ -8,6 +8,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from servescope.operators import replay as rp
 
 CHUNK = "request_id int, ordinal long, observation_offset_ns long, bytes binary"
@@ -59,7 +61,7 @@ CASES = [
     ([b"data: \xff\n\n"], [("error", None)], "INVALID_UTF8"),
     ([b"event: x\n\n"], [("error", None)], "UNSUPPORTED_FIELD"),
     ([b"data: a\rb\n\n"], [("error", None)], "BARE_CARRIAGE_RETURN"),
-    ([b"data: " + b"x" * 70000 + b"\n\n"], [("error", None)], "BUFFER_LIMIT"),
+    ([b"data: " + b"x" * 70000 + b"\n\n"], [("data", "x" * 70000)], "MISSING_DONE"),
 ]
 
 
@@ -74,12 +76,13 @@ def test_recorded_streams(spark):
         assert status[i] == verdict
 
 
-def test_body_hash_in_row_and_streamed_agree(spark):
+def test_body_hash(spark):
     bodies = [[b"a" * 50, b"b" * 60, b"c"], [b"tiny"]]
     df = chunks(spark, bodies)
     want = {i: hashlib.sha256(b"".join(b)).hexdigest() for i, b in enumerate(bodies)}
-    for limit in (1_000_000, 10):
-        assert {r.request_id: r.body_sha256 for r in rp.body_hash(df, limit).collect()} == want
+    assert {r.request_id: r.body_sha256 for r in rp.body_hash(df).collect()} == want
+    broken = df.withColumn("bytes", F.when(F.col("ordinal") > 0, F.col("bytes")))
+    assert {(r.body_sha256, r.status) for r in rp.body_hash(broken).collect()} == {(None, "UNSOUND_CHUNK")}
 
 
 def test_chunk_integrity(spark):
