@@ -107,14 +107,14 @@ def window_entropies(part: str) -> Iterator[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(part):
-        n = counts.get(c, 0)
-        total += _TERM[n + 1] - _TERM[n]
-        counts[c] = n + 1
         if i >= WINDOW:
             gone = part[i - WINDOW]
             n = counts[gone]
             total += _TERM[n - 1] - _TERM[n]
             counts[gone] = n - 1
+        n = counts.get(c, 0)
+        total += _TERM[n + 1] - _TERM[n]
+        counts[c] = n + 1
         if i >= WINDOW - 1:
             yield math.log2(WINDOW) - total / WINDOW
 
