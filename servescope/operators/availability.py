@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from servescope.functions.keys import request_key
 from servescope.operators.order_statistics import exact_percentiles
 from servescope.operators.sliced import by_offset
 
@@ -67,7 +68,8 @@ def usage_reconciliation(requests: DataFrame, token_events: DataFrame) -> DataFr
 
     The ids of one request are bounded by its output limit, so they fit one row.
     """
-    streamed = token_events.groupBy("request_id").agg(
+    key = request_key(requests)
+    streamed = token_events.groupBy(*key).agg(
         F.flatten(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("chunk_index", "token_ids"))),
@@ -75,7 +77,7 @@ def usage_reconciliation(requests: DataFrame, token_events: DataFrame) -> DataFr
             )
         ).alias("streamed_ids")
     )
-    joined = requests.join(streamed, "request_id", "left").withColumn(
+    joined = requests.join(streamed, key, "left").withColumn(
         "streamed_ids", F.coalesce("streamed_ids", F.array().cast("array<bigint>"))
     )
     names = {
@@ -89,6 +91,6 @@ def usage_reconciliation(requests: DataFrame, token_events: DataFrame) -> DataFr
         F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in names.items()]), lambda x: x.isNotNull()
     )
     return joined.select(
-        "request_id", F.size("streamed_ids").cast("long").alias("streamed_tokens"),
+        *key, F.size("streamed_ids").cast("long").alias("streamed_tokens"),
         F.array_join(listed, ",").alias("disagreements"),
     )

@@ -5,18 +5,21 @@ chunks; what one segment needs from those before it (a split CRLF, an unmatched
 frames came before) is a handful of small columns, carried over the slim segment table and joined
 back. An ordinary response is one segment; an endless one is many, spread over tasks.
 
+Bodies are told apart by run and request id where a table has runs, else by request id.
 Bytes are handled as ISO-8859-1 text, one character per byte, and decoded as UTF-8 per frame.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from servescope.functions.keys import request_key
+
 SEGMENT = 1024
 # Fixed value: the end-of-stream marker.
 DONE = "[DONE]"
@@ -37,14 +40,14 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("bytes", F.when(alphabet, raw)).withColumn("integrity", reason)
 
 
-def _segments(chunks: DataFrame, key: str, width: int) -> DataFrame:
+def _segments(chunks: DataFrame, key: Sequence[str], width: int) -> DataFrame:
     text = F.decode("bytes", "ISO-8859-1")
     rows = (
         chunks.where(F.octet_length("bytes") > 0)
-        .select(key, "ordinal", "observation_offset_ns", text.alias("t"))
+        .select(*key, "ordinal", "observation_offset_ns", text.alias("t"))
         .withColumn("seg", F.floor(F.col("ordinal") / width))
     )
-    inside = Window.partitionBy(key, "seg").orderBy("ordinal")
+    inside = Window.partitionBy(*key, "seg").orderBy("ordinal")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     crosses = F.coalesce(
         F.endswith(F.lag("t").over(inside), F.lit("\r")) & F.startswith("t", F.lit("\n")), F.lit(False)
@@ -56,7 +59,7 @@ def _segments(chunks: DataFrame, key: str, width: int) -> DataFrame:
         "e", (F.sum("e").over(upto) - dangling).cast("long")
     )
     return (
-        ended.groupBy(key, "seg")
+        ended.groupBy(*key, "seg")
         .agg(F.sort_array(F.collect_list(F.struct("ordinal", "e", "observation_offset_ns", "t"))).alias("c"))
         .withColumn("raw", F.array_join(F.transform("c", lambda x: x["t"]), ""))
         .withColumn(
@@ -75,10 +78,10 @@ def _boundaries(text: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit("\n\n"), F.lit("")))) / 2).cast("long")
 
 
-def _carried(segments: DataFrame, key: str) -> DataFrame:
+def _carried(segments: DataFrame, key: Sequence[str]) -> DataFrame:
     """Per segment, what the segments before it leave behind; only small columns are moved."""
     slim = segments.select(
-        key, "seg", "ends_cr",
+        *key, "seg", "ends_cr",
         F.startswith("r", F.lit("\n")).alias("starts_nl"),
         (F.rtrim(F.col("r"), F.lit("\n")) == "").alias("only_nl"),
         (F.length("r") - F.length(F.rtrim(F.col("r"), F.lit("\n")))).alias("trail"),
@@ -86,7 +89,7 @@ def _carried(segments: DataFrame, key: str) -> DataFrame:
         _boundaries(F.col("r")).alias("n0"),
         _boundaries(F.concat(F.lit("\n"), "r")).alias("n1"),
     )
-    w = Window.partitionBy(key).orderBy("seg")
+    w = Window.partitionBy(*key).orderBy("seg")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -101,24 +104,25 @@ def _carried(segments: DataFrame, key: str) -> DataFrame:
         .withColumn("frames_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("x_len", F.expr("len + takes + CAST(stray AS INT) - leaves"))
         .withColumn("x_before", F.coalesce(F.sum("x_len").over(before), F.lit(0)))
-        .select(key, "seg", "stray", "takes", "leaves", "frames_before", "x_before")
+        .select(*key, "seg", "stray", "takes", "leaves", "frames_before", "x_before")
     )
 
 
-def _stitched(chunks: DataFrame, key: str, width: int) -> DataFrame:
+def _stitched(chunks: DataFrame, key: Sequence[str], width: int) -> DataFrame:
     segments = _segments(chunks, key, width)
     whole = """concat(CASE WHEN takes = 1 THEN '\\n' ELSE '' END, CASE WHEN stray THEN '\\r' ELSE '' END, r)"""
     return (
-        segments.join(_carried(segments, key), [key, "seg"])
+        segments.join(_carried(segments, key), [*key, "seg"])
         .withColumn("x", F.expr(whole))
         .withColumn("x", F.expr("CASE WHEN leaves = 1 THEN substring(x, 1, length(x) - 1) ELSE x END"))
     )
 
 
-def sse_pieces(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT) -> DataFrame:
+def sse_pieces(chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT) -> DataFrame:
     """All frames of all bodies, the unfinished tail included (``closed`` false)."""
+    key = key or request_key(chunks)
     split = _stitched(chunks, key, width).select(
-        key, "seg", "frames_before", "x_before", "ends",
+        *key, "seg", "frames_before", "x_before", "ends",
         (F.col("takes") + F.col("stray").cast("int")).alias("shift"),
         F.split("x", "\n\n").alias("pieces"),
     )
@@ -129,7 +133,7 @@ def sse_pieces(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT)
         lambda acc, n: F.concat(acc, F.array((n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))).cast("bigint"))),
     )
     rows = split.withColumn("cuts", cumulative).select(
-        key, "seg", "frames_before", "x_before", "ends", "shift", F.size("pieces").alias("k"), "cuts",
+        *key, "seg", "frames_before", "x_before", "ends", "shift", F.size("pieces").alias("k"), "cuts",
         F.posexplode("pieces").alias("p", "piece"),
     )
     last = F.col("p") == F.col("k") - 1
@@ -138,14 +142,14 @@ def sse_pieces(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT)
         F.filter("ends", lambda c: F.col("shift") + c["e"] >= cut), F.lit(0)
     )
     placed = rows.select(
-        key, "seg",
+        *key, "seg",
         (F.col("frames_before") + F.col("p")).alias("frame_index"),
         "piece",
         F.when(~last, done_by["ordinal"]).alias("completing_chunk"),
         F.when(~last, done_by["at"]).alias("observation_offset_ns"),
         F.when(~last, F.col("x_before") + cut).alias("frame_end"),
     )
-    return placed.groupBy(key, "frame_index").agg(
+    return placed.groupBy(*key, "frame_index").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("seg", "piece"))), lambda s: s["piece"]), ""
         ).alias("raw_frame"),
@@ -156,12 +160,13 @@ def sse_pieces(chunks: DataFrame, key: str = "request_id", width: int = SEGMENT)
 
 
 def sse_frames(
-    chunks: DataFrame, key: str = "request_id", width: int = SEGMENT, limit: int | None = None
+    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, limit: int | None = None
 ) -> DataFrame:
     """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``.
 
     A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data.
     """
+    key = key or request_key(chunks)
     pieces = sse_pieces(chunks, key, width).where("raw_frame <> ''")
     raw_bytes = F.encode("raw_frame", "ISO-8859-1")
     utf8 = F.try_validate_utf8(raw_bytes.cast("string"))
@@ -195,13 +200,13 @@ def sse_frames(
     framed = shaped.withColumn("kind", kind).withColumn(
         "error", F.when(F.col("frame_end").isNotNull(), error)
     )
-    first_done = framed.where("kind = 'done'").groupBy(key).agg(F.min("frame_index").alias("__done"))
+    first_done = framed.where("kind = 'done'").groupBy(*key).agg(F.min("frame_index").alias("__done"))
     late = (
         F.when((F.col("kind") == "done") & (F.col("frame_index") > F.col("__done")), "DUPLICATE_DONE")
         .when((F.col("kind") == "data") & (F.col("frame_index") > F.col("__done")), "DATA_AFTER_DONE")
     )
     return framed.join(first_done, key, "left").select(
-        key, "frame_index", "kind",
+        *key, "frame_index", "kind",
         F.when(F.col("kind").isin("data", "done"), F.col("data")).alias("data"),
         "completing_chunk", "observation_offset_ns", "frame_end",
         F.coalesce("error", late).alias("error"),
@@ -211,10 +216,10 @@ def sse_frames(
     )
 
 
-def stream_status(frames: DataFrame, key: str = "request_id") -> DataFrame:
+def stream_status(frames: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Per body: frames by kind and the first thing that is wrong with it, or OK."""
     first_error = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("frame_index")))
-    grouped = frames.groupBy(key).agg(
+    grouped = frames.groupBy(*(key or request_key(frames))).agg(
         F.count_if(F.col("kind") == "data").alias("data_frames"),
         F.count_if(F.col("kind") == "comment").alias("comment_frames"),
         F.count_if(F.col("kind") == "done").alias("done_frames"),
@@ -256,7 +261,7 @@ def completion_events(frames: DataFrame) -> DataFrame:
     choice = F.get("v.choices", F.lit(0))
     metrics = F.array_join(F.array_sort(F.map_keys("v.metrics")), ",")
     return parsed.select(
-        "request_id", "frame_index", "observation_offset_ns", "completing_chunk", "frame_end",
+        *request_key(frames), "frame_index", "observation_offset_ns", "completing_chunk", "frame_end",
         event.alias("event"),
         F.col("v.id").alias("body_id"),
         choice["index"].alias("choice_index"),
@@ -298,18 +303,19 @@ COMPLETION_RULES = {
 def completion_replay(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """Rebuild each completion from its frames and check it against what was sent.
 
-    ``requests``: request_id, sent_prompt, expected_output_tokens, transport_terminal_ns. The
+    ``requests``: run_id, request_id, sent_prompt, expected_output_tokens, transport_terminal_ns. The
     generation events of a request are bounded by its output limit and fit one row.
     """
     from servescope.functions.rules import failed_rules
 
+    key = request_key(requests)
     events = completion_events(frames)
-    order = Window.partitionBy("request_id").orderBy("frame_index")
+    order = Window.partitionBy(*key).orderBy("frame_index")
     stepped = events.withColumn("before", F.lag("observation_offset_ns").over(order))
     kind, at, index = F.col("event"), F.col("observation_offset_ns"), F.col("frame_index")
     terminal = (kind == "GENERATION") & F.col("finish_reason").isNotNull()
     bearing = (kind == "GENERATION") & (F.size("token_ids") > 0)
-    folded = stepped.groupBy("request_id").agg(
+    folded = stepped.groupBy(*key).agg(
         F.count_if(kind == "BROKEN").alias("broken"),
         F.count_if((kind != "DONE") & (kind != "BROKEN")
                    & ~F.col("body_id").eqNullSafe(F.concat(F.lit("cmpl-"), "request_id"))).alias("wrong_ids"),
@@ -336,7 +342,7 @@ def completion_replay(requests: DataFrame, frames: DataFrame) -> DataFrame:
     )
     # a request without any frame has none of anything
     counts = ["broken", "wrong_ids", "wrong_choices", "odd_reasons", "terminals", "usages", "dones", "went_back", "prompt_events"]
-    joined = requests.join(folded, "request_id", "left").fillna(0, counts).fillna(False, ["metrics_complete"])
+    joined = requests.join(folded, key, "left").fillna(0, counts).fillna(False, ["metrics_complete"])
     rebuilt = joined.withColumn("output_ids", F.expr("flatten(coalesce(g.token_ids, array()))")).withColumn(
         "output_text", F.array_join(F.coalesce(F.col("g.text"), F.array()), "")
     )
@@ -346,7 +352,7 @@ def completion_replay(requests: DataFrame, frames: DataFrame) -> DataFrame:
                      F.size("output_ids") - 1),
     )
     return rebuilt.select(
-        "request_id", "generation_terminal_ns", "usage_terminal_ns", "protocol_terminal_ns",
+        *key, "generation_terminal_ns", "usage_terminal_ns", "protocol_terminal_ns",
         F.size("output_ids").cast("long").alias("output_tokens"),
         F.sha2("output_text", 256).alias("output_text_sha256"),
         tpot.alias("tpot_ns"),
@@ -357,25 +363,25 @@ def completion_replay(requests: DataFrame, frames: DataFrame) -> DataFrame:
 def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFrame) -> DataFrame:
     """Up to the client's close: the first generation delivery, the closing read, what was pending.
 
-    ``requests``: request_id, close_ns. Chunks observed after the close are not the client's.
+    ``requests``: run_id, request_id, close_ns. Chunks observed after the close are not the client's.
     """
-    key = "request_id"
-    seen = chunks.join(requests.select(key, "close_ns"), key).where("observation_offset_ns <= close_ns")
-    last = seen.groupBy(key).agg(
+    key = request_key(requests)
+    seen = chunks.join(requests.select(*key, "close_ns"), key).where("observation_offset_ns <= close_ns")
+    last = seen.groupBy(*key).agg(
         F.max("ordinal").alias("last_chunk"),
         F.sum(F.octet_length("bytes")).alias("received_bytes"),
     )
     within = completion_events(frames).join(last, key).where(F.col("completing_chunk") <= F.col("last_chunk"))
     bearing = (F.col("event") == "GENERATION") & (F.size("token_ids") > 0)
     first = F.struct("frame_index", "completing_chunk", "observation_offset_ns", F.size("token_ids").alias("tokens"))
-    folded = within.groupBy(key).agg(
+    folded = within.groupBy(*key).agg(
         F.min(F.when(bearing, first)).alias("d"),
         F.count_if(F.col("event") == "USAGE").alias("usages"),
         F.count_if(F.col("event") == "DONE").alias("dones"),
         F.count_if(F.col("finish_reason").isNotNull()).alias("terminals"),
         F.max("frame_end").alias("last_end"),
     )
-    joined = requests.select(key, "close_ns").join(last, key, "left").join(folded, key, "left")
+    joined = requests.select(*key, "close_ns").join(last, key, "left").join(folded, key, "left")
     pending = F.coalesce("received_bytes", F.lit(0)) - F.coalesce("last_end", F.lit(0))
     status = (
         F.when(F.col("d").isNull(), "NO_GENERATION_DELIVERED")
@@ -386,7 +392,7 @@ def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFram
         .otherwise("OK")
     )
     return joined.select(
-        key, status.alias("status"),
+        *key, status.alias("status"),
         F.col("d.frame_index").alias("delivery_frame"),
         F.col("d.completing_chunk").alias("delivery_chunk"),
         F.col("d.observation_offset_ns").alias("delivery_ns"),
@@ -396,30 +402,34 @@ def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFram
     )
 
 
-def _hash_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Running SHA-256 over rows sorted by (request, ordinal); holds one digest at a time."""
-    columns = ["request_id", "body_bytes", "body_sha256", "status"]
-    current, digest, size, sound = None, None, 0, True
-    done: list[tuple] = []
+def _hash_sorted(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Running SHA-256 over rows sorted by (key, ordinal); holds one digest at a time."""
+    columns = [*keys, "body_bytes", "body_sha256", "status"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, digest, size, sound = None, None, 0, True
+        done: list[tuple] = []
+
+        def closed() -> tuple:
+            return (*current, size, digest.hexdigest(), "OK") if sound else (*current, size, None, "UNSOUND_CHUNK")
 
-    def closed() -> tuple:
-        return (current, size, digest.hexdigest(), "OK") if sound else (current, size, None, "UNSOUND_CHUNK")
+        for batch in batches:
+            for *request, data in zip(*[batch[k] for k in keys], batch["bytes"]):
+                if digest is None or request != current:
+                    if digest is not None:
+                        done.append(closed())
+                    current, digest, size, sound = request, hashlib.sha256(), 0, True
+                if data is None:
+                    sound = False
+                else:
+                    digest.update(data)
+                    size += len(data)
+            yield pd.DataFrame(done, columns=columns)
+            done = []
+        if digest is not None:
+            yield pd.DataFrame([closed()], columns=columns)
 
-    for batch in batches:
-        for request, data in zip(batch["request_id"], batch["bytes"]):
-            if digest is None or request != current:
-                if digest is not None:
-                    done.append(closed())
-                current, digest, size, sound = request, hashlib.sha256(), 0, True
-            if data is None:
-                sound = False
-            else:
-                digest.update(data)
-                size += len(data)
-        yield pd.DataFrame(done, columns=columns)
-        done = []
-    if digest is not None:
-        yield pd.DataFrame([closed()], columns=columns)
+    return run
 
 
 def body_hash(chunks: DataFrame) -> DataFrame:
@@ -427,12 +437,13 @@ def body_hash(chunks: DataFrame) -> DataFrame:
 
     Sorted chunks stream past a running digest, so no body of any size is held in memory.
     """
-    kind = dict(chunks.dtypes)["request_id"]
+    key, types = request_key(chunks), dict(chunks.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in key)
     return (
-        chunks.repartition("request_id")
-        .sortWithinPartitions("request_id", "ordinal")
-        .select("request_id", "bytes")
-        .mapInPandas(_hash_sorted, f"request_id {kind}, body_bytes long, body_sha256 string, status string")
+        chunks.repartition(*key)
+        .sortWithinPartitions(*key, "ordinal")
+        .select(*key, "bytes")
+        .mapInPandas(_hash_sorted(key), f"{schema}, body_bytes long, body_sha256 string, status string")
     )
 
 

@@ -259,10 +259,11 @@ def scrape_placement(windows: DataFrame) -> DataFrame:
 
 def identity_chain(requests: DataFrame, responses: DataFrame, correlated: DataFrame) -> DataFrame:
     """Header id, body id, serving item and internal id of one request, joined on derived ids."""
+    run = ["run_id"] if all("run_id" in df.columns for df in (requests, responses, correlated)) else []
     joined = (
         requests.withColumn("body_id", F.concat(F.lit("cmpl-"), "external_id"))
-        .join(responses, "body_id", "left")
-        .join(correlated.select("external_id", "internal_id"), "external_id", "left")
+        .join(responses, [*run, "body_id"], "left")
+        .join(correlated.select(*run, "external_id", "internal_id"), [*run, "external_id"], "left")
     )
     item = F.concat("body_id", F.lit("-0"))
     status = (
@@ -274,4 +275,4 @@ def identity_chain(requests: DataFrame, responses: DataFrame, correlated: DataFr
               | ~F.startswith("internal_id", F.concat(item, F.lit("-"))), "INTERNAL_ID_DIFFERS")
         .otherwise("OK")
     )
-    return joined.select("external_id", "internal_id", status.alias("status"))
+    return joined.select(*run, "external_id", "internal_id", status.alias("status"))

@@ -165,12 +165,12 @@ def memory_stability(s, d):
 
 def usage_reconciliation(s, d):
     tokens = t.block_events(s, d).where("token_bearing").selectExpr(
-        "request_id", "pos AS chunk_index", "transform(sequence(1L, toks), i -> event_id * 10 + i) AS token_ids", "event_id")
-    final = tokens.where("event_id % 41 <> 0").groupBy("request_id").agg(
+        "run_id", "request_id", "pos AS chunk_index", "transform(sequence(1L, toks), i -> event_id * 10 + i) AS token_ids", "event_id")
+    final = tokens.where("event_id % 41 <> 0").groupBy("run_id", "request_id").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "token_ids"))),
                               lambda x: x["token_ids"])).alias("final_ids"))
-    requests = t.requests(s, d).join(final, "request_id", "left").selectExpr(
-        "request_id", "array(dispatch_ns) AS sent_prompt",
+    requests = t.requests(s, d).join(final, ["run_id", "request_id"], "left").selectExpr(
+        "run_id", "request_id", "array(dispatch_ns) AS sent_prompt",
         "array(dispatch_ns + CASE WHEN user_id % 31 = 0 THEN 1 ELSE 0 END) AS returned_prompt",
         "coalesce(final_ids, CAST(array() AS ARRAY<BIGINT>)) AS final_ids", "n AS prompt_tokens",
         "output_tokens AS completion_tokens", "n + output_tokens + CASE WHEN user_id % 23 = 0 THEN 1 ELSE 0 END AS total_tokens",
@@ -334,7 +334,7 @@ ORACLES = {
           count(*) = 5 AND coalesce(min(gap) >= 200000000, false)
             AND max(b) - min(b) <= greatest((arg_min(b, off_ns) + 99) // 100, 67108864) AS stable
         FROM s GROUP BY run_id"""),
-    "usage_reconciliation": sql("req be", """SELECT r.request_id, output_tokens AS streamed_tokens,
+    "usage_reconciliation": sql("req be", """SELECT r.run_id, r.request_id, output_tokens AS streamed_tokens,
         array_to_string([x FOR x IN [
           CASE WHEN user_id % 31 = 0 THEN 'PROMPT_IDS_DIFFER' END,
           CASE WHEN coalesce(lost, 0) > 0 THEN 'OUTPUT_IDS_DIFFER' END,

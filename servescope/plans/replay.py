@@ -65,12 +65,12 @@ def completion_chunks(s, d):
         CASE WHEN pos = n - 1 AND user_id % 17 <> 0 THEN struct(4 * n AS o, off_ns + 1000 AS at, {usage} AS v) END,
         CASE WHEN pos = n - 1 AND user_id % 23 <> 0 THEN struct(4 * n + 2 AS o, off_ns + 2000 AS at, '[DONE]' AS v) END),
         f -> f IS NOT NULL)"""
-    bodies = b.selectExpr("request_id", f"explode({frames}) AS f").selectExpr(
-        "request_id", "f.o AS ordinal", "f.at AS off_ns", "concat('data: ', f.v, '\\n\\n') AS body")
+    bodies = b.selectExpr("run_id", "request_id", f"explode({frames}) AS f").selectExpr(
+        "run_id", "request_id", "f.o AS ordinal", "f.at AS off_ns", "concat('data: ', f.v, '\\n\\n') AS body")
     return bodies.selectExpr(
-        "request_id", """stack(2, ordinal, off_ns - 500, substring(body, 1, 20), ordinal + 1, off_ns, substring(body, 21))
+        "run_id", "request_id", """stack(2, ordinal, off_ns - 500, substring(body, 1, 20), ordinal + 1, off_ns, substring(body, 21))
             AS (ordinal, observation_offset_ns, body)""").selectExpr(
-        "request_id", "ordinal", "observation_offset_ns", "encode(body, 'UTF-8') AS bytes").where("octet_length(bytes) > 0")
+        "run_id", "request_id", "ordinal", "observation_offset_ns", "encode(body, 'UTF-8') AS bytes").where("octet_length(bytes) > 0")
 
 
 def chunk_integrity(s, d):
@@ -96,14 +96,14 @@ def stream_status(s, d):
 
 def completion_replay(s, d):
     requests = t.requests(s, d).selectExpr(
-        "request_id", "array(n) AS sent_prompt", "output_tokens AS expected_output_tokens",
+        "run_id", "request_id", "array(n) AS sent_prompt", "output_tokens AS expected_output_tokens",
         "terminal_ns + 3000 AS transport_terminal_ns")
     return rp.completion_replay(requests, rp.sse_frames(cut(completion_chunks(s, d))))
 
 
 def cancellation_replay(s, d):
     requests = t.requests(s, d).selectExpr(
-        "request_id", """CASE WHEN user_id % 3 = 2 THEN terminal_ns + 5000 WHEN first_token_ns IS NULL THEN terminal_ns - 600
+        "run_id", "request_id", """CASE WHEN user_id % 3 = 2 THEN terminal_ns + 5000 WHEN first_token_ns IS NULL THEN terminal_ns - 600
             WHEN token_events >= 2 AND user_id % 5 = 1 THEN last_token_ns - 500 ELSE first_token_ns END AS close_ns""")
     chunks = cut(completion_chunks(s, d))
     return rp.cancellation_replay(requests, chunks, rp.sse_frames(chunks)).drop("delivery_frame")
@@ -111,7 +111,7 @@ def cancellation_replay(s, d):
 
 def semantic_fingerprint(s, d):
     shapes = rp.protocol_shape(t.sequenced(t.stream_events(s, d)))
-    requests = t.requests(s, d).drop("stream_events").join(shapes.drop("run_id"), "request_id", "left").withColumn(
+    requests = t.requests(s, d).drop("stream_events").join(shapes, ["run_id", "request_id"], "left").withColumn(
         "failure_kind", F.expr("CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END"))
     facts = rs.counts_v2(t.requests(s, d)).selectExpr("run_id", "concat_ws('/', failed, timed_out, attempted) AS facts")
     return rp.semantic_fingerprint(requests, facts, FINGERPRINT)
@@ -215,7 +215,7 @@ ORACLES = {
         SELECT r.run_id, sha256(root || '|' || facts) AS semantic_fingerprint FROM r JOIN f ON f.run_id = r.run_id"""),
     "completion_replay": sql("req be", """WITH x AS (SELECT request_id, string_agg(event_type, '' ORDER BY pos) AS txt FROM be
           WHERE pos > 0 GROUP BY request_id)
-        SELECT r.request_id, CASE WHEN user_id % 13 <> 0 AND n > 1 THEN terminal_ns END AS generation_terminal_ns,
+        SELECT r.run_id, r.request_id, CASE WHEN user_id % 13 <> 0 AND n > 1 THEN terminal_ns END AS generation_terminal_ns,
           CASE WHEN user_id % 17 <> 0 AND n > 1 THEN terminal_ns + 1000 END AS usage_terminal_ns,
           CASE WHEN user_id % 23 <> 0 AND n > 1 THEN terminal_ns + 1500 END AS protocol_terminal_ns,
           output_tokens, sha256(coalesce(txt, '')) AS output_text_sha256,
@@ -238,7 +238,7 @@ ORACLES = {
           LEFT JOIN (SELECT request_id, min(pos) AS pos, arg_min(toks, pos) AS toks FROM be WHERE token_bearing GROUP BY request_id) fp
             ON fp.request_id = r.request_id),
         z AS (SELECT *, user_id % 3 = 2 AS whole, token_events >= 2 AND user_id % 5 = 1 AS ahead FROM q)
-        SELECT request_id, CASE WHEN fpos IS NULL THEN 'NO_GENERATION_DELIVERED'
+        SELECT run_id, request_id, CASE WHEN fpos IS NULL THEN 'NO_GENERATION_DELIVERED'
             WHEN whole AND user_id % 13 <> 0 THEN 'GENERATION_TERMINAL_BEFORE_CLOSE'
             WHEN whole AND user_id % 17 <> 0 THEN 'USAGE_BEFORE_CLOSE'
             WHEN whole AND user_id % 23 <> 0 THEN 'DONE_BEFORE_CLOSE'

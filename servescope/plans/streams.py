@@ -31,9 +31,9 @@ def quiet_spans(s, d):
 
 
 def stream_dedup(s, d):
-    starts = t.stream_events(s, d).where("kind = 'CLIENT_REQUEST_STARTED'").selectExpr("request_id", SEEN)
-    return jobs.run_to_table(jobs.dedup_requests(jobs.as_stream(starts, 4, None, "request_id"))).selectExpr(
-        "request_id", "unix_micros(seen_at) AS seen_us")
+    starts = t.stream_events(s, d).where("kind = 'CLIENT_REQUEST_STARTED'").selectExpr("run_id", "request_id", SEEN)
+    return jobs.run_to_table(jobs.dedup_requests(jobs.as_stream(starts, by="request_id"))).selectExpr(
+        "run_id", "request_id", "unix_micros(seen_at) AS seen_us")
 
 
 def stream_frames(s, d):
@@ -44,8 +44,8 @@ def stream_frames(s, d):
 
 def stream_lifecycle(s, d):
     events = t.stream_events(s, d).selectExpr(
-        "request_id", "kind", "kind_rank", "off_ns", "token_delta_count", "terminal_class", SEEN)
-    closed = jobs.run_to_table(jobs.stream_requests(jobs.as_stream(events, 4, None, "request_id")))
+        "run_id", "request_id", "kind", "kind_rank", "off_ns", "token_delta_count", "terminal_class", SEEN)
+    closed = jobs.run_to_table(jobs.stream_requests(jobs.as_stream(events, by="request_id")))
     return closed.where("status = 'CLOSED'").drop("late_events", "status")
 
 
@@ -53,7 +53,7 @@ def stream_counter_deltas(s, d):
     samples = _samples(s, d).where("violation IS NULL AND metric = 'ev_total'").join(
         scrapes(s, d).select("scrape_id", "slot", "process_start_id", "scrape_offset_ns"), "scrape_id").select(
         "slot", "metric", label_text().alias("label_set"), "process_start_id", "scrape_offset_ns", "value")
-    return jobs.run_to_table(jobs.live_counter_deltas(jobs.as_stream(samples, 4, None, "slot")))
+    return jobs.run_to_table(jobs.live_counter_deltas(jobs.as_stream(samples, by="slot")))
 
 
 QUERIES = {
@@ -88,12 +88,12 @@ ORACLES = {
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS span FROM g)
         SELECT user_id, min(us) AS start_us, max(us) + 43200000000 AS end_us, count(*) AS events FROM n GROUP BY user_id, span
         HAVING max(us) + 43200000000 <= (SELECT max(us) FROM e) - 10000000"""),
-    "stream_dedup": sql("req", "SELECT request_id, dispatch_ns // 1000 + 1704067200000000 AS seen_us FROM req"),
+    "stream_dedup": sql("req", "SELECT run_id, request_id, dispatch_ns // 1000 + 1704067200000000 AS seen_us FROM req"),
     "stream_frames": f"""WITH {_FR} SELECT request_id, frame_index, kind, data, completing_chunk, error FROM fx WHERE kind <> 'tail'""",
-    "stream_lifecycle": sql("sev", """SELECT request_id, min(off_ns) FILTER (WHERE kind = 'CLIENT_REQUEST_STARTED') AS dispatch_ns,
+    "stream_lifecycle": sql("sev", """SELECT run_id, request_id, min(off_ns) FILTER (WHERE kind = 'CLIENT_REQUEST_STARTED') AS dispatch_ns,
           min(off_ns) FILTER (WHERE kind = 'SSE_TOKEN_EVENT') AS first_token_ns, max(off_ns) FILTER (WHERE kind = 'SSE_TOKEN_EVENT') AS last_token_ns,
           max(off_ns) FILTER (WHERE kind = 'REQUEST_TERMINAL') AS terminal_ns,
-          CAST(coalesce(sum(token_delta_count), 0) AS BIGINT) AS output_tokens, max(terminal_class) AS terminal_class FROM sev GROUP BY request_id"""),
+          CAST(coalesce(sum(token_delta_count), 0) AS BIGINT) AS output_tokens, max(terminal_class) AS terminal_class FROM sev GROUP BY run_id, request_id"""),
     "stream_counter_deltas": sql("ev", f"""WITH {_S}, p AS (SELECT slot, metric, labels AS label_set, day * 86400000000000 + 86399999999999 AS scrape_offset_ns,
             value, lag(value) OVER w AS bv, day // 10 AS proc, lag(day // 10) OVER w AS bproc FROM smp WHERE metric = 'ev_total'
           WINDOW w AS (PARTITION BY slot, labels ORDER BY day))

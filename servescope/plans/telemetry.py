@@ -96,7 +96,7 @@ def log_lines(s, d):
           THEN struct(CASE WHEN user_id % 37 = 0 THEN dispatch_ns - 1 ELSE terminal_ns END AS at, 5 AS k,
             concat('INFO Request ', item, ' aborted.') AS line) END), l -> l IS NOT NULL)"""
     spread = r.selectExpr("run_id", "request_id", f"explode({lines}) AS l").selectExpr(
-        "concat('run-', run_id) AS source_stream_id", "request_id", "l.at AS observation_offset_ns",
+        "concat('run-', run_id) AS source_stream_id", "run_id", "request_id", "l.at AS observation_offset_ns",
         "l.k AS k", "l.line AS raw_record")
     ranked = by_offset(["source_stream_id"], "observation_offset_ns", "k", "request_id").rank(spread, "rn")
     return ranked.withColumn("record_ordinal", F.col("rn") - 1).drop("rn")
@@ -115,21 +115,21 @@ def log_byte_gaps(s, d):
 
 
 def _correlated(s, d):
-    wanted = t.requests(s, d).selectExpr("request_id AS external_id", "terminal_class = 'FAILED' AS cancelled")
+    wanted = t.requests(s, d).selectExpr("run_id", "request_id AS external_id", "terminal_class = 'FAILED' AS cancelled")
     return lg.correlate(log_lines(s, d), wanted)
 
 
 def log_correlation(s, d):
-    return _correlated(s, d).select("external_id", "status", "internal_id")
+    return _correlated(s, d).select("run_id", "external_id", "status", "internal_id")
 
 
 def identity_chain(s, d):
     r = t.requests(s, d)
     responses = r.where("user_id % 13 <> 0").selectExpr(
-        "concat('cmpl-', request_id) AS body_id",
+        "run_id", "concat('cmpl-', request_id) AS body_id",
         "CASE WHEN user_id % 41 = 0 THEN 'other' ELSE request_id END AS header_id",
         "concat('cmpl-', request_id, CASE WHEN user_id % 43 = 0 THEN '-1' ELSE '-0' END) AS item_id")
-    return tm.identity_chain(r.selectExpr("request_id AS external_id"), responses, _correlated(s, d))
+    return tm.identity_chain(r.selectExpr("run_id", "request_id AS external_id"), responses, _correlated(s, d))
 
 
 def phase_order(s, d):
@@ -333,8 +333,8 @@ ORACLES = {
         raw_record_sha256 FROM lo"""),
     "log_byte_gaps": sql("req", f"""WITH {_LOG} SELECT source_stream_id, record_ordinal, 'NOT_CONTIGUOUS' AS violation FROM lo
         WHERE record_ordinal > 0 AND record_ordinal % 50 = 0"""),
-    "log_correlation": sql("req", f"SELECT request_id AS external_id, {_STATUS} AS status, {_INTERNAL} AS internal_id FROM req"),
-    "identity_chain": sql("req", f"""SELECT request_id AS external_id, {_INTERNAL} AS internal_id,
+    "log_correlation": sql("req", f"SELECT run_id, request_id AS external_id, {_STATUS} AS status, {_INTERNAL} AS internal_id FROM req"),
+    "identity_chain": sql("req", f"""SELECT run_id, request_id AS external_id, {_INTERNAL} AS internal_id,
         CASE WHEN user_id % 13 = 0 THEN 'RESPONSE_MISSING' WHEN user_id % 41 = 0 THEN 'HEADER_ID_DIFFERS'
              WHEN user_id % 43 = 0 THEN 'ITEM_ID_DIFFERS' WHEN user_id % 17 = 0 THEN 'INTERNAL_ID_MISSING' ELSE 'OK' END AS status FROM req"""),
     "phase_order": sql("req", """WITH p AS (SELECT user_id AS run_id, CASE WHEN user_id % 5 = 0 AND blk = 2 THEN 3

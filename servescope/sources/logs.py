@@ -63,7 +63,8 @@ def tagged_lines(records: DataFrame) -> DataFrame:
         .when(record.rlike(INTERNAL_ABORT), "INTERNAL_ABORT")
         .when(record.rlike(EXTERNAL_ABORT), "EXTERNAL_ABORT")
     )
-    tagged = records.withColumn("kind", kind).where("kind IS NOT NULL")
+    # most lines name no request and meet no pattern
+    tagged = records.where(F.contains(record, F.lit("cmpl-"))).withColumn("kind", kind).where("kind IS NOT NULL")
     patterns = {"RECEIVED": RECEIVED, "ADDED": ADDED, "INTERNAL_ABORT": INTERNAL_ABORT,
                 "EXTERNAL_ABORT": EXTERNAL_ABORT}
     external = F.coalesce(
@@ -79,14 +80,17 @@ def tagged_lines(records: DataFrame) -> DataFrame:
 def correlate(records: DataFrame, requests: DataFrame) -> DataFrame:
     """Per request: one Received, one Added, both abort lines iff cancelled, ids and order agreeing.
 
-    ``requests``: external_id, cancelled. One regex pass over the log, one hash aggregate.
+    ``requests``: external_id, cancelled, and run_id if the records have it: ids repeat from run to
+    run. An id in the log that no request has is a row of its own, FOREIGN_REQUEST_ID.
     """
     tagged = tagged_lines(records)
+    runs = "run_id" in records.columns and "run_id" in requests.columns
+    key = ["run_id", "external_id"] if runs else ["external_id"]
 
     def at(kind: str):
         return F.min(F.when(F.col("kind") == kind, F.struct("observation_offset_ns", "record_ordinal")))
 
-    lines = tagged.groupBy("external_id").agg(
+    lines = tagged.groupBy(*key).agg(
         *[
             F.count_if(F.col("kind") == k).alias(k.lower())
             for k in ("RECEIVED", "ADDED", "EXTERNAL_ABORT", "INTERNAL_ABORT")
@@ -97,7 +101,7 @@ def correlate(records: DataFrame, requests: DataFrame) -> DataFrame:
         at("RECEIVED").alias("t1"), at("ADDED").alias("t2"),
         at("INTERNAL_ABORT").alias("t3"), at("EXTERNAL_ABORT").alias("t4"),
     )
-    joined = requests.join(lines, "external_id", "left").fillna(
+    joined = requests.withColumn("__wanted", F.lit(True)).join(lines, key, "full_outer").fillna(
         0, ["received", "added", "external_abort", "internal_abort", "suffixes"]
     )
     one_each = (F.col("external_abort") == 1) & (F.col("internal_abort") == 1)
@@ -107,7 +111,8 @@ def correlate(records: DataFrame, requests: DataFrame) -> DataFrame:
         & F.coalesce(F.col("t3") < F.col("t4"), F.lit(True))
     )
     status = (
-        F.when(F.col("received") != 1, "RECEIVED_MISSING_OR_AMBIGUOUS")
+        F.when(F.col("__wanted").isNull(), "FOREIGN_REQUEST_ID")
+        .when(F.col("received") != 1, "RECEIVED_MISSING_OR_AMBIGUOUS")
         .when(F.col("added") != 1, "ADDED_MISSING_OR_AMBIGUOUS")
         .when(F.col("suffixes") > 1, "FOREIGN_INTERNAL_ID")
         .when(F.col("cancelled") & ~one_each, "ABORT_LINES_MISSING")
@@ -117,7 +122,7 @@ def correlate(records: DataFrame, requests: DataFrame) -> DataFrame:
         .otherwise("OK")
     )
     return joined.select(
-        "external_id", status.alias("status"),
+        *key, status.alias("status"),
         F.concat(F.lit("cmpl-"), "external_id", F.lit("-0-"), "suffix").alias("internal_id"),
         F.col("t1.observation_offset_ns").alias("received_ns"),
         F.col("t2.observation_offset_ns").alias("added_ns"),

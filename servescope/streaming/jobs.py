@@ -7,13 +7,14 @@ or an open request may wait. Results of closed windows equal the batch jobs over
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from servescope.functions.keys import REQUEST_KEY, request_key
 from servescope.operators.replay import DONE
 from servescope.session import shared_folder
 
@@ -26,7 +27,7 @@ def as_stream(df: DataFrame, files: int | None = None, per_trigger: int | None =
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     if by is not None:
-        df = df.repartition(files or 4, by)
+        df = df.repartition(by) if files is None else df.repartition(files, by)
     elif files is not None:
         df = df.repartition(files)
     df.write.parquet(path)
@@ -78,9 +79,9 @@ def windowed_summary(terminals: DataFrame, every: str = "1 day", delay: str = "1
     )
 
 
-def dedup_requests(arrivals: DataFrame, id_column: str = "request_id", at: str = "seen_at", delay: str = "1 hour") -> DataFrame:
-    """At-least-once input to once per id, as long as the copies fall inside the watermark."""
-    return arrivals.withWatermark(at, delay).dropDuplicatesWithinWatermark([id_column])
+def dedup_requests(arrivals: DataFrame, key: Sequence[str] | None = None, at: str = "seen_at", delay: str = "1 hour") -> DataFrame:
+    """At-least-once input to once per run and id, as long as the copies fall inside the watermark."""
+    return arrivals.withWatermark(at, delay).dropDuplicatesWithinWatermark([*(key or request_key(arrivals))])
 
 
 def activity_spans(events: DataFrame, key: str, at: str = "seen_at", gap: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
@@ -93,10 +94,15 @@ def activity_spans(events: DataFrame, key: str, at: str = "seen_at", gap: str =
     )
 
 
-FRAMES = "request_id {key}, frame_index long, kind string, data string, completing_chunk long, error string"
+FRAMES = "frame_index long, kind string, data string, completing_chunk long, error string"
 FRAME_STATE = "buffer binary, done boolean, next_ordinal long, frame_index long, held_ordinals array<long>, held array<binary>"
 
 
+def _with_key(df: DataFrame, columns: str) -> str:
+    types = dict(df.dtypes)
+    return ", ".join([*[f"{k} {types[k]}" for k in request_key(df)], columns])
+
+
 def _read_frame(raw: bytes, done: bool) -> tuple[str, str | None, str | None]:
     """kind, data, error of one complete frame; the batch job expresses the same rules natively."""
     try:
@@ -122,14 +128,14 @@ def assemble_frames(
 ) -> Iterator[pd.DataFrame]:
     """Bytes in, completed frames out. Early chunks wait for their turn; what is open at the
     timeout becomes one INCOMPLETE row."""
-    columns = ["request_id", "frame_index", "kind", "data", "completing_chunk", "error"]
+    columns = [*REQUEST_KEY[-len(key):], "frame_index", "kind", "data", "completing_chunk", "error"]
     buffer, done, turn, index, ordinals, held = (
         state.get if state.exists else (b"", False, 0, 0, [], [])
     )
     if state.hasTimedOut:
         state.remove()
         if bytes(buffer).strip(b"\n") or not done or held:
-            yield pd.DataFrame([(key[0], index, "tail", None, None, "INCOMPLETE")], columns=columns)
+            yield pd.DataFrame([(*key, index, "tail", None, None, "INCOMPLETE")], columns=columns)
         return
     waiting = dict(zip([int(o) for o in ordinals], [bytes(h) for h in held]))
     latest = 0
@@ -146,7 +152,7 @@ def assemble_frames(
             if raw:
                 kind, data, error = _read_frame(raw, done)
                 done = done or kind == "done"
-                rows.append((key[0], index, kind, data, turn, error))
+                rows.append((*key, index, kind, data, turn, error))
             index += 1
         turn += 1
     state.update((buffer, done, turn, index, list(waiting), list(waiting.values())))
@@ -155,18 +161,18 @@ def assemble_frames(
 
 
 def stream_frames(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``chunks``: request_id, ordinal (dense from 0), bytes, seen_at."""
-    kind = dict(chunks.dtypes)["request_id"]
+    """``chunks``: run_id, request_id, ordinal (dense from 0), bytes, seen_at."""
+    key = request_key(chunks)
     return (
         chunks.withWatermark("seen_at", delay)
-        .groupBy("request_id")
+        .groupBy(*key)
         .applyInPandasWithState(
-            assemble_frames, FRAMES.format(key=kind), FRAME_STATE, "append", GroupStateTimeout.EventTimeTimeout
+            assemble_frames, _with_key(chunks, FRAMES), FRAME_STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
 
-LIFECYCLE = ("request_id string, status string, dispatch_ns long, first_token_ns long, last_token_ns long, "
+LIFECYCLE = ("status string, dispatch_ns long, first_token_ns long, last_token_ns long, "
              "terminal_ns long, output_tokens long, terminal_class string, late_events long")
 LIFECYCLE_STATE = "dispatch_ns long, first_token_ns long, last_token_ns long, output_tokens long, closed boolean"
 
@@ -176,13 +182,13 @@ def assemble_requests(
 ) -> Iterator[pd.DataFrame]:
     """Events to one closed record at the terminal; a request without one closes at the timeout;
     events after the close are counted in a LATE row."""
-    columns = [c.split()[0] for c in LIFECYCLE.split(", ")]
+    columns = [*REQUEST_KEY[-len(key):], *[c.split()[0] for c in LIFECYCLE.split(", ")]]
     dispatch, first, last, tokens, closed = state.get if state.exists else (None, None, None, 0, False)
     if state.hasTimedOut:
         state.remove()
         if not closed:
             yield pd.DataFrame(
-                [(key[0], "TIMEOUT", dispatch, first, last, None, tokens, "TIMEOUT", 0)], columns=columns
+                [(*key, "TIMEOUT", dispatch, first, last, None, tokens, "TIMEOUT", 0)], columns=columns
             )
         return
     arrived = sorted(
@@ -205,21 +211,22 @@ def assemble_requests(
             tokens += int(tokens_of)
         elif kind == "REQUEST_TERMINAL":
             closed = True
-            rows.append((key[0], "CLOSED", dispatch, first, last, off, tokens, cls, 0))
+            rows.append((*key, "CLOSED", dispatch, first, last, off, tokens, cls, 0))
     if late:
-        rows.append((key[0], "LATE", None, None, None, None, None, None, late))
+        rows.append((*key, "LATE", None, None, None, None, None, None, late))
     state.update((dispatch, first, last, tokens, closed))
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)
     yield pd.DataFrame(rows, columns=columns, dtype="object")
 
 
 def stream_requests(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``events``: request_id, kind, kind_rank, off_ns, token_delta_count, terminal_class, seen_at."""
+    """``events``: run_id, request_id, kind, kind_rank, off_ns, token_delta_count, terminal_class, seen_at."""
+    key = request_key(events)
     return (
         events.withWatermark("seen_at", delay)
-        .groupBy("request_id")
+        .groupBy(*key)
         .applyInPandasWithState(
-            assemble_requests, LIFECYCLE, LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+            assemble_requests, _with_key(events, LIFECYCLE), LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 

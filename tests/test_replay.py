@@ -85,6 +85,20 @@ def test_body_hash(spark):
     assert {(r.body_sha256, r.status) for r in rp.body_hash(broken).collect()} == {(None, "UNSOUND_CHUNK")}
 
 
+def test_two_runs_with_the_same_ids_stay_apart(spark):
+    first, second = [b"data: a\n", b"\ndata: [DONE]\n\n"], [b"data: b\n\n"]
+    df = chunks(spark, [first]).withColumn("run_id", F.lit("A")).union(chunks(spark, [second]).withColumn("run_id", F.lit("B")))
+    want = {(r, 0): hashlib.sha256(b"".join(b)).hexdigest() for r, b in (("A", first), ("B", second))}
+    assert {(r.run_id, r.request_id): r.body_sha256 for r in rp.body_hash(df).collect()} == want
+    frames = rp.sse_frames(df)
+    assert {(r.run_id, r.frame_index, r.data) for r in frames.collect()} == {("A", 0, "a"), ("A", 1, "[DONE]"), ("B", 0, "b")}
+    assert {r.run_id: r.status for r in rp.stream_status(frames).collect()} == {"A": "OK", "B": "MISSING_DONE"}
+    sent = spark.createDataFrame([("A", 0, [1], 1, 99), ("C", 0, [1], 1, 99)],
+                                 "run_id string, request_id int, sent_prompt array<long>, expected_output_tokens long, transport_terminal_ns long")
+    got = {r.run_id: r.violations for r in rp.completion_replay(sent, frames).collect()}
+    assert got["A"].startswith("broken-frame") and "one-protocol-terminal" in got["C"] and len(got) == 2
+
+
 def test_chunk_integrity(spark):
     good = base64.b64encode(b"hello!").decode()
     sha = hashlib.sha256(b"hello!").hexdigest()

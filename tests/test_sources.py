@@ -97,6 +97,9 @@ def test_log_correlation(spark):
     ends = [r.byte_end for r in kept.orderBy("record_ordinal").collect()]
     text = "\n".join(line for line, _ in lines)
     assert ends[-1] == len(text)
+    runs = df.withColumn("run_id", F.lit(1)).union(df.withColumn("run_id", F.lit(2)))
+    of_one = spark.createDataFrame([(1, "a", True)], "run_id int, external_id string, cancelled boolean")
+    assert {(r.run_id, r.status) for r in lg.correlate(runs, of_one).collect()} == {(1, "OK"), (2, "FOREIGN_REQUEST_ID")}
     wanted = spark.createDataFrame([("a", True), ("b", False)], "external_id string, cancelled boolean")
     got = {r.external_id: (r.status, r.internal_id) for r in lg.correlate(df, wanted).collect()}
     assert got == {"a": ("OK", f"{item}-0123abcd"), "b": ("RECEIVED_MISSING_OR_AMBIGUOUS", None)}

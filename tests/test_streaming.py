@@ -58,3 +58,5 @@ def test_duplicates_inside_the_watermark_are_dropped(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2)], "request_id string, us long").selectExpr(
         "request_id", "timestamp_micros(1704067200000000 + us) AS seen_at")
     assert jobs.run_to_table(jobs.dedup_requests(jobs.as_stream(df, 1))).count() == 2
+    two = df.withColumn("run_id", F.lit(1)).union(df.withColumn("run_id", F.lit(2)))
+    assert jobs.run_to_table(jobs.dedup_requests(jobs.as_stream(two, 1))).count() == 4
