@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 #: The label model of the first stage is fitted by iteration and the last one's schedule depends on a
-#: hash, which SQL does not express; tests/llm compares every stage with a brute-force version.
+#: hash, which SQL does not express; tests/llm run each stage on edge cases and compare its operators.
 ORACLE_SQL: str | None = None
 
 
