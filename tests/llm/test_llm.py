@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -45,6 +46,25 @@ def test_near_duplicates(docs):
     assert {c for i, _, c, _ in got if i == 8} == {8}
 
 
+def test_near_duplicates_among_texts_that_share_half_their_words(spark, monkeypatch):
+    # a window of 1 stands for a corpus 64 times as large
+    monkeypatch.setattr(near_dup, "WINDOW", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 200, raising=False)
+    # 80 of 120 lines each, so any two texts are alike by about a half; a pair's second text has 6 other lines
+    draw, rows = random.Random(5), []
+    for i in range(400):
+        first = set(draw.sample(range(120), 80))
+        second = first - set(draw.sample(sorted(first), 6)) | set(draw.sample(sorted(set(range(120)) - first), 6))
+        rows += [(2 * i + k, [f"l{n}w{w}" for n in sorted(lines) for w in range(10)]) for k, lines in enumerate((first, second))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in rows]
+    alike = {i for i in range(0, 800, 2) if 4 * len(sets[i] & sets[i + 1]) >= 3 * len(sets[i] | sets[i + 1])}
+    assert len(alike) > 300
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(table).collect()}
+    assert {i for i in alike if got[i + 1] != got[i]} == set()
+    assert {i for i in got if got[i] != i} == {i + 1 for i in alike}
+
+
 def tokens_of(text):
     return (text or "").encode().lower().split()
 
