@@ -42,6 +42,15 @@ def _count(low: int, high: int, then: str = "true") -> str:
 
 
 _IP_PART = "transform(array(regexp_replace(p, '^0+', '')), z -> z = '' OR length(z) < 3 OR (length(z) = 3 AND z <= '255'))[0]"
+# length of an IBAN by country; codes that are not listed take the longest run
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}
+_LISTED = "|".join(codes.replace(" ", "|") for codes in IBAN_LENGTHS.values())
+_IBAN = "|".join([*[rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()],
+                  rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"])
 # kind: pattern, cheap condition on the text, validator of a match m, score, context words
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains({t}, '@')", "true", 0.9,
@@ -50,7 +59,7 @@ KINDS = {
            f"forall(split({{m}}.found, '[.]'), p -> {_IP_PART})", 0.7, "ip|host|server|address"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", "{t} RLIKE '[0-9](?:[ -]?[0-9]){13}'", _count(14, 19, luhn("n")), 0.8, "card|visa|credit|karte|carte"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')", _count(10, 15), 0.7, "phone|call|tel|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "{t} RLIKE '[A-Z]{2}[0-9]{2}'",
+    "iban": (rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", "{t} RLIKE '[A-Z]{2}[0-9]{2}'",
              mod97("replace({m}.found, ' ', '')"), 0.8, "iban|bank|account|konto"),
     "card13": (r"(?<![0-9-])[0-9]{4}(?:[\x20-]?[0-9]{3}){3}(?![0-9-])", "{t} RLIKE '[0-9]{4}(?:[ -]?[0-9]{3}){3}'", _count(13, 13, luhn("n")), 0.4,
                "card|visa|credit|karte|carte"),

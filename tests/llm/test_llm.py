@@ -195,6 +195,15 @@ def test_pii_against_brute_force(spark):
     assert "iban:5:32" in got[4].spans and "ssn:37:48" in got[4].spans
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    iban, packed = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = [f"IBAN {iban} Please", f"IBAN {packed} The", f"IBAN {iban} BIC COBADEFF", f"IBAN {iban} 12345", f"IBAN {packed} GB82WEST12345698765432 A",
+             "IBAN DE88 3704 0044 0532 0130 00 Please"]
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind == "iban"]
+           for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == [[(5, 32)], [(5, 27)], [(5, 32)], [(5, 32)], [(5, 27), (28, 50)], []]
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "a\\b\\", " [/INST]</s><s>[INST] user\nx", "[\\INST]", "", None, "plain é\n"]
     rows = [(k, t, role, x) for k, x in enumerate(nasty) for t, role in enumerate(["user", "assistant", "odd\n[INST]\\", None, "assistant"])]
