@@ -258,3 +258,10 @@ def test_pipeline_stages(spark, docs):
     assert Counter(r.doc_id for r in rows) == Counter([None, 0, 1, 2, 3, 5, 8, 9, 10])
     texts = {r.doc_id: r.text for r in corpus_pipeline.without_secrets(spark, docs, FOLDER).collect()}
     assert texts[9].startswith("[SECRET] mail me") and texts[0] is None
+
+
+def test_leaks_in_rows_without_id(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 50").first().text
+    table = spark.createDataFrame([(None, item), (None, "clean words of our own"), (1, item), (2, "clean words of our own")], "doc_id long, text string")
+    rows = corpus_pipeline.without_leaks(spark, table, FOLDER).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter([(None, "clean words of our own"), (2, "clean words of our own")])
