@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servescope.llm import chat, decontaminate, katz, licenses, mixing, near_dup, pii, quality_rules, secrets, urls
+from servescope.llm import chat, decontaminate, katz, licenses, mixing, near_dup, pii, quality_rules, secrets, spelling, urls
 from servescope.llm.spans import digest_columns
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -65,8 +65,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.noisy_words(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_katz_scores, op3_mixing, op4_benchmark_leaks, op5_secrets, op6_urls, op7_pii, op8_chat, op9_quality, op10_licenses)}
+    op1_near_duplicates, op2_katz_scores, op3_mixing, op4_benchmark_leaks, op5_secrets, op6_urls, op7_pii, op8_chat, op9_quality, op10_licenses,
+    op11_spelling)}
 
 _SHINGLES = """{name}_w AS (SELECT {key} AS id, row_number() OVER () AS r, regexp_extract_all({lower}, '{words}') AS w FROM {table}),
     {name}_s AS (SELECT id, r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -136,9 +141,34 @@ def _license_sql() -> str:
            CAST(len(list_distinct(v)) AS BIGINT) AS n_licenses FROM g"""
 
 
+# a CRC step takes a byte into the state (a number from 0), or shifts a bit out of it (-1)
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten([
+        [('0x' || hex(encode({s}))[2 * i - 1:2 * i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, strlen({s}) + 1)])),
+        lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END))"""
+
+_VARIANTS = f"""WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+        unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')) AS run FROM documents),
+    told AS (SELECT translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, id, count(*) AS c FROM runs GROUP BY ALL),
+    seeded AS (SELECT w, c, {_CRC.format(s="(id || ':' || w)")} AS h FROM told),
+    typed AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM seeded),
+    words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    place AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+    cuts AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM place),
+    shorter AS (SELECT DISTINCT cuts.word AS x, words.word AS y FROM cuts JOIN words ON words.word = a || b),
+    near AS (SELECT x, y FROM shorter UNION SELECT y, x FROM shorter
+        UNION SELECT p.word, q.word FROM cuts p JOIN cuts q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word),
+    best AS (SELECT x, count(*) AS n_near, max(n) AS most FROM near JOIN words ON y = word GROUP BY x),
+    named AS (SELECT x, min(y) AS y FROM near JOIN best USING (x) JOIN words ON y = word WHERE n = most GROUP BY x),
+    known AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN y END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+        FROM words LEFT JOIN best ON best.x = word LEFT JOIN named ON named.x = word),
+    path AS (SELECT word, word AS root FROM known UNION ALL SELECT path.word, form FROM path JOIN known ON path.root = known.word WHERE form IS NOT NULL)
+    SELECT known.word, known.form, path.root, known.n, known.n_near, known.form_n FROM known JOIN path ON path.word = known.word
+    JOIN known k ON k.word = path.root AND k.form IS NULL"""
+
 ORACLES = {
     "op1_near_duplicates": _NEAR,
     "op4_benchmark_leaks": _LEAKS,
     "op8_chat": _chat_sql(),
     "op10_licenses": _license_sql(),
+    "op11_spelling": _VARIANTS,
 }
