@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servescope.llm import chat, decontaminate, katz, licenses, mixing, near_dup, pii, quality_rules, secrets, spelling, urls
+from servescope.llm import chat, decontaminate, katz, licenses, mixing, near_dup, pii, quality_rules, secrets, spelling, suffix_dedup, urls
 from servescope.llm.spans import digest_columns
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -69,9 +69,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.noisy_words(_table(spark, sf_dir, "documents")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_parts(_table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", "n_bytes", "n_bytes - length(kept) AS n_removed", "CAST(size(spans) AS BIGINT) AS n_spans", "sha2(kept, 256) AS kept_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_katz_scores, op3_mixing, op4_benchmark_leaks, op5_secrets, op6_urls, op7_pii, op8_chat, op9_quality, op10_licenses,
-    op11_spelling)}
+    op11_spelling, op12_suffix_dedup)}
 
 _SHINGLES = """{name}_w AS (SELECT {key} AS id, row_number() OVER () AS r, regexp_extract_all({lower}, '{words}') AS w FROM {table}),
     {name}_s AS (SELECT id, r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -165,10 +170,24 @@ _VARIANTS = f"""WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR),
     SELECT known.word, known.form, path.root, known.n, known.n_near, known.form_n FROM known JOIN path ON path.word = known.word
     JOIN known k ON k.word = path.root AND k.form IS NULL"""
 
+_REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+    s AS (SELECT r, i, md5(t[i:i + 399]) AS m FROM (SELECT r, t, unnest(range(1, octet_length(t) - 398)) AS i FROM d)),
+    c AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+    q AS (SELECT r, i, i - lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) > 400 AS new FROM s JOIN c USING (m)),
+    g AS (SELECT r, i, count(*) FILTER (new) OVER (PARTITION BY r ORDER BY i) AS k FROM q),
+    p AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, k),
+    x AS (SELECT r, k, b - a AS n, t[lag(b, 1, 1) OVER (PARTITION BY r ORDER BY k):a - 1] AS t FROM p JOIN d USING (r)),
+    y AS (SELECT r, CAST(sum(n) AS BIGINT) AS n, count(*) AS k, string_agg(hex(x.t), '' ORDER BY x.k) AS h, max(b) AS z
+          FROM x JOIN p USING (r, k) GROUP BY r)
+    SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(k, 0) AS n_spans,
+           sha256(CASE WHEN n IS NULL THEN t ELSE unhex(h || hex(t[z:])) END) AS kept_sha256
+    FROM d LEFT JOIN y USING (r)"""
+
 ORACLES = {
     "op1_near_duplicates": _NEAR,
     "op4_benchmark_leaks": _LEAKS,
     "op8_chat": _chat_sql(),
     "op10_licenses": _license_sql(),
     "op11_spelling": _VARIANTS,
+    "op12_suffix_dedup": _REPEATS,
 }
