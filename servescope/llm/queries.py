@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servescope.llm import chat, decontaminate, katz, licenses, mixing, near_dup, pii, quality_rules, secrets, spelling, suffix_dedup, urls
+from servescope.llm import chat, decontaminate, katz, licenses, mixing, near_dup, pii, quality_rules, secrets, spelling, suffix_dedup, urls, whitening
 from servescope.llm.spans import digest_columns
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -74,9 +74,14 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_bytes - length(kept) AS n_removed", "CAST(size(spans) AS BIGINT) AS n_spans", "sha2(kept, 256) AS kept_sha256")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", done["deviation"].cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_katz_scores, op3_mixing, op4_benchmark_leaks, op5_secrets, op6_urls, op7_pii, op8_chat, op9_quality, op10_licenses,
-    op11_spelling, op12_suffix_dedup)}
+    op11_spelling, op12_suffix_dedup, op13_whitening)}
 
 _SHINGLES = """{name}_w AS (SELECT {key} AS id, row_number() OVER () AS r, regexp_extract_all({lower}, '{words}') AS w FROM {table}),
     {name}_s AS (SELECT id, r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
