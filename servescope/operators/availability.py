@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from servescope.functions.keys import request_key
 from servescope.operators.order_statistics import exact_percentiles
-from servescope.operators.sliced import by_offset
+from servescope.operators.sliced import SlicedOrder
 
 SERVER_METRICS = (
     "server_ttft", "server_generation_time", "server_queue_time", "server_mean_itl",
@@ -47,7 +47,7 @@ def memory_stability(
     floor_bytes: int = 67_108_864,
 ) -> DataFrame:
     """Five samples, spaced, whose range stays within max(ceil(1 % of the first), 64 MiB)."""
-    stepped = by_offset(["run_id"], "observation_ns").previous(samples, {"__at": "observation_ns"})
+    stepped = SlicedOrder(["run_id"], ["observation_ns"]).previous(samples, {"__at": "observation_ns"})
     grouped = stepped.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("samples"),
         F.min(F.col("observation_ns") - F.col("__at")).alias("smallest_gap_ns"),

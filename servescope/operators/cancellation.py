@@ -24,10 +24,7 @@ def probe_features(observations: DataFrame) -> DataFrame:
     process_id, running, waiting and one column per counter.
     """
     phase = F.col("phase")
-    order = SlicedOrder(
-        ["probe_id"], ["phase_rank", "phase_ordinal"],
-        F.expr("phase_rank * 1000000 + phase_ordinal div 65536"),
-    )
+    order = SlicedOrder(["probe_id"], ["phase_rank", "phase_ordinal"])
     before = (*COUNTERS, "phase", "scheduled_ns", "completed_ns")
     seen = order.previous(observations, {f"__{c}": c for c in before})
 

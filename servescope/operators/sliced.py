@@ -1,23 +1,27 @@
 """Ordered computations over keys of any size.
 
-A window over ``run_id`` alone puts a whole run into one task, and one run may hold a third of
-all rows. Here a hot key's order is cut into slices (a monotone expression such as an hour of the
-clock or 65,536 sequence numbers), so that its rows spread over tasks by (key, slice). What a
-slice needs from the slices before it is one small value, computed with map-side aggregation for
-the hot keys only, carried along their slices and joined back on the same (key, slice)
-partitioning. Every other key is one slice and costs one shuffle.
+A window over ``run_id`` alone puts a whole run into one task, and one run may hold a third of all
+rows, all of them within one second. A counting pass finds such keys. Their rows are dealt by a range
+exchange over (key, order): Spark samples the order and sets bounds of equal depth, whatever the clock
+does, so a slice holds about ``slice_rows`` rows and ties of the clock are cut by the order's further
+columns. The dealt rows are written once, so that every pass sees the same slices. What a slice needs
+from the slices before it is one small value, aggregated per (key, slice), carried along the slices of
+the key and joined back. Every other key is one window and costs one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DENSE_SLICE = 65_536
-HOUR_NS = 3_600_000_000_000
+from servescope.session import cut
+
 HOT_ROWS = 4_194_304
+SLICE_ROWS = 1_048_576
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -28,13 +32,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
 
 
 class SlicedOrder:
+    """The rows of each key (columns ``keys``) in the order of the columns ``order``, nulls first."""
+
     def __init__(
-        self, keys: Sequence[str], order: Sequence[str], slice_by: Column, hot_rows: int = HOT_ROWS
+        self, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
     ):
         self.keys = list(keys)
         self.order = list(order)
-        self.slice_by = slice_by
         self.hot_rows = hot_rows
+        self.slice_rows = slice_rows
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of ordinary keys, and those of hot keys with their ``__slice`` (None without any)."""
+        hot = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > self.hot_rows)
+        total = hot.agg(F.sum("__rows")).first()[0]
+        if not total:
+            return df, None
+        named = cut(hot).select(*[F.col(k).alias(f"__hot_{k}") for k in self.keys])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in self.keys])
+        kept = cut(df)
+        dealt = (
+            kept.join(named, same, "left_semi")
+            .repartitionByRange(-(-total // self.slice_rows), *self.keys, *self.order)
+            .withColumn("__slice", F.spark_partition_id())
+        )
+        return kept.join(named, same, "left_anti"), cut(dealt)
 
     def _carry(
         self,
@@ -46,34 +68,25 @@ class SlicedOrder:
         combine: Callable[[Column, Column], Column],
         out: str,
     ) -> DataFrame:
+        columns = [F.col(c) for c in df.columns]
+        valued = df if value is None else df.withColumn("__value", value)
+        cold, hot = self.split(valued)
+        plain = cold.select(*columns, local(Window.partitionBy(*self.keys).orderBy(*self.order)).alias(out))
+        if hot is None:
+            return plain
         on = [*self.keys, "__slice"]
-        hot = hot_keys(df.select(*self.keys), self.keys, self.hot_rows).withColumn("__hot", F.lit(True))
-        sliced = df.join(hot, self.keys, "left").select(
-            *[F.col(c) for c in df.columns],
-            # nulls sort first, so rows without an order value are the slice before all others
-            F.when(F.col("__hot"), F.coalesce(self.slice_by, F.lit(-(2**62)))).alias("__slice"),
-            *([] if value is None else [value.alias("__value")]),
-        )
-        inside = Window.partitionBy(*on).orderBy(*self.order)
         before = (
             Window.partitionBy(*self.keys)
             .orderBy("__slice")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        carries = (
-            sliced.where(F.col("__slice").isNotNull())
-            .groupBy(*on)
-            .agg(summary.alias("__summary"))
-            .select(*on, carried(before).alias("__carry"))
-        )
-        return (
-            sliced.withColumn("__local", local(inside))
-            .join(carries, on, "left")
-            .select(
-                *[F.col(c) for c in df.columns],
-                combine(F.col("__local"), F.col("__carry")).alias(out),
-            )
+        carries = hot.groupBy(*on).agg(summary.alias("__summary")).select(
+            *[F.col(k).alias(f"__of_{k}") for k in on], carried(before).alias("__carry")
         )
+        inside = Window.partitionBy(*on).orderBy(*self.order)
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in on])
+        joined = hot.withColumn("__local", local(inside)).join(carries, same)
+        return plain.unionByName(joined.select(*columns, combine(F.col("__local"), F.col("__carry")).alias(out)))
 
     def running_sum(self, df: DataFrame, value: Column, out: str) -> DataFrame:
         """Sum of ``value`` up to and including the row."""
@@ -140,21 +153,3 @@ class SlicedOrder:
             *[F.col(c) for c in df.columns],
             *[F.col(f"__previous.{name}").alias(name) for name in columns],
         )
-
-
-def by_sequence(
-    keys: Sequence[str], sequence: str, width: int = DENSE_SLICE, hot_rows: int = HOT_ROWS
-) -> SlicedOrder:
-    """Order by a dense ordinal; every slice of a hot key holds ``width`` ordinals."""
-    return SlicedOrder(keys, [sequence], F.floor(F.col(sequence) / width), hot_rows)
-
-
-def by_offset(
-    keys: Sequence[str],
-    offset: str,
-    *ties: str,
-    width_ns: int = HOUR_NS,
-    hot_rows: int = HOT_ROWS,
-) -> SlicedOrder:
-    """Order by a nanosecond offset; every slice of a hot key covers ``width_ns`` of the clock."""
-    return SlicedOrder(keys, [offset, *ties], F.expr(f"{offset} div {width_ns}L"), hot_rows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servescope.functions.rules import check_rules
-from servescope.operators.sliced import by_offset
+from servescope.operators.sliced import SlicedOrder
 from servescope.sources.scrapes import label_text
 
 
@@ -56,7 +56,7 @@ def label_inventory(samples: DataFrame) -> DataFrame:
 
 def scrape_pairs(scrapes: DataFrame, slot: str = "slot") -> DataFrame:
     """Every scrape of a slot with the one before it."""
-    seen = by_offset([slot], "scrape_offset_ns").previous(
+    seen = SlicedOrder([slot], ["scrape_offset_ns"]).previous(
         scrapes.select(slot, "scrape_id", "scrape_offset_ns", "process_start_id"),
         {"before_id": "scrape_id", "before_ns": "scrape_offset_ns", "before_process": "process_start_id"},
     )
@@ -143,7 +143,7 @@ def counter_progression(scrapes: DataFrame, samples: DataFrame) -> DataFrame:
         scrapes.select("scrape_id", "process_start_id", "scrape_offset_ns"), "scrape_id"
     )
     keys = ["process_start_id", "metric", "label_set"]
-    seen = by_offset(keys, "scrape_offset_ns").previous(stamped, {"__before": "value"})
+    seen = SlicedOrder(keys, ["scrape_offset_ns"]).previous(stamped, {"__before": "value"})
     step = F.col("value") - F.col("__before")
     return seen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("scrapes"),
@@ -156,7 +156,7 @@ def counter_progression(scrapes: DataFrame, samples: DataFrame) -> DataFrame:
 def scrape_cadence(observations: DataFrame) -> DataFrame:
     """Spacing of the scheduled and completed times per probe and phase."""
     keys = ["probe_id", "phase"]
-    seen = by_offset(keys, "scheduled_ns", "phase_ordinal").previous(
+    seen = SlicedOrder(keys, ["scheduled_ns", "phase_ordinal"]).previous(
         observations, {"__s": "scheduled_ns", "__c": "completed_ns"}
     )
     return seen.groupBy(*keys).agg(
@@ -189,7 +189,7 @@ def cadence_verdict(cadence: DataFrame) -> DataFrame:
 
 def scrape_chronology(observations: DataFrame) -> DataFrame:
     """Observations with scheduled > dispatched > completed, or completed before the one before."""
-    seen = by_offset(["probe_id"], "scheduled_ns", "phase_rank", "phase_ordinal").previous(
+    seen = SlicedOrder(["probe_id"], ["scheduled_ns", "phase_rank", "phase_ordinal"]).previous(
         observations, {"__c": "completed_ns"}
     )
     reason = (
@@ -203,7 +203,7 @@ def scrape_chronology(observations: DataFrame) -> DataFrame:
 def phase_order(phases: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per run: phases present once and in order, not overlapping, of positive length, passed."""
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("phase")) - 1
-    seen = by_offset(["run_id"], "started_ns", "ended_ns").previous(
+    seen = SlicedOrder(["run_id"], ["started_ns", "ended_ns"]).previous(
         phases.withColumn("__place", place), {"__end": "ended_ns", "__before": "__place"}
     )
     return seen.groupBy("run_id").agg(

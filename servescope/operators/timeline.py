@@ -7,18 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servescope.operators.sliced import (
-    DENSE_SLICE,
-    HOT_ROWS,
-    HOUR_NS,
-    SlicedOrder,
-    by_offset,
-    by_sequence,
-)
+from servescope.operators.sliced import HOT_ROWS, SLICE_ROWS, SlicedOrder
 
 
 def concurrency_by_sequence(
-    lifecycle: DataFrame, width: int = DENSE_SLICE, hot_rows: int = HOT_ROWS
+    lifecycle: DataFrame, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Peak active requests per run over ordered START / END events, warmup included.
 
@@ -27,7 +20,7 @@ def concurrency_by_sequence(
     delta = F.expr(
         "CASE kind WHEN 'CLIENT_REQUEST_STARTED' THEN 1L WHEN 'CLIENT_REQUEST_ENDED' THEN -1L ELSE 0L END"
     )
-    active = by_sequence(["run_id"], "sequence", width, hot_rows).running_sum(lifecycle, delta, "active")
+    active = SlicedOrder(["run_id"], ["sequence"], hot_rows, slice_rows).running_sum(lifecycle, delta, "active")
     peak = active.groupBy("run_id").agg(
         F.max("active").alias("max_concurrency"), F.min("active").alias("lowest_active")
     )
@@ -53,7 +46,7 @@ def concurrency_by_sequence(
 
 
 def concurrency_by_interval(
-    requests: DataFrame, width_ns: int = HOUR_NS, hot_rows: int = HOT_ROWS
+    requests: DataFrame, hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Peak over half-open [dispatch, terminal) intervals; at equal times terminals come first.
 
@@ -73,7 +66,7 @@ def concurrency_by_interval(
         .agg(F.sum("m.d").alias("d"))
     )
     # terminals of an instant precede its dispatches, so the count after the instant is its peak
-    order = by_offset(["run_id"], "at", width_ns=width_ns, hot_rows=hot_rows)
+    order = SlicedOrder(["run_id"], ["at"], hot_rows, slice_rows)
     active = order.running_sum(marks, F.col("d"), "active")
     # every mark but the last of a run is followed by a positive-length piece at this count
     return active.groupBy("run_id").agg(
@@ -115,8 +108,8 @@ def as_of_join(
     key: str,
     left_at: str,
     right_at: str,
-    width_ns: int = HOUR_NS,
     hot_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before it (null if none).
 
@@ -136,7 +129,7 @@ def as_of_join(
         F.struct(*[c for c in left.columns if c != key]).alias("__left"),
         F.lit(None).cast(right.drop(key).select(F.struct("*")).schema[0].dataType).alias("__right"),
     )
-    order = by_offset([key], "__at", "__side", width_ns=width_ns, hot_rows=hot_rows)
+    order = SlicedOrder([key], ["__at", "__side"], hot_rows, slice_rows)
     matched = order.last_known(r.unionByName(lf), F.col("__right"), "__match")
     return matched.where("__side = 1").select(key, "__left.*", "__match.*")
 

@@ -9,7 +9,7 @@ from servescope.operators import availability as av
 from servescope.operators import compare as cp
 from servescope.operators import request_metrics as rm
 from servescope.operators import run_summary as rs
-from servescope.operators.sliced import by_offset
+from servescope.operators.sliced import SlicedOrder
 from servescope.plans import tables as t
 from servescope.plans.metrics import _COUNTS1, _M, _SAMPLES1, _SEC, _WINDOW, OK, _wide
 from servescope.session import cut
@@ -156,7 +156,7 @@ def restart_descriptive(s, d):
 
 
 def memory_stability(s, d):
-    ranked = by_offset(["user_id"], "off_ns", "event_id").rank(t.clocked_events(s, d), "rn")
+    ranked = SlicedOrder(["user_id"], ["off_ns", "event_id"]).rank(t.clocked_events(s, d), "rn")
     samples = ranked.where("NOT (user_id % 10 = 3 AND rn % 7 = 5)").selectExpr(
         "user_id * 1000000 + (rn - 1) div 5 AS run_id", "off_ns AS observation_ns",
         "CAST(round(value * 1000000) AS BIGINT) AS allocated_bytes")

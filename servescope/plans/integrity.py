@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from servescope.functions.rules import violation_report, violation_rows
 from servescope.operators import integrity as ig
 from servescope.operators import timeline as tl
-from servescope.operators.sliced import by_offset
+from servescope.operators.sliced import SlicedOrder
 from servescope.plans import tables as t
 from servescope.plans.oracle import rules_sql, sql
 from servescope.session import cut
@@ -26,7 +26,7 @@ def sequence_gaps(s, d):
 def out_of_order_events(s, d):
     """Two events of a user within the same second count as not strictly ordered seconds."""
     events = t.clocked_events(s, d).withColumn("tick", F.expr("off_ns div 60000000000"))
-    found = tl.out_of_order(by_offset(["user_id"], "off_ns", "event_id"), events, "tick")
+    found = tl.out_of_order(SlicedOrder(["user_id"], ["off_ns", "event_id"]), events, "tick")
     return found.select("user_id", "event_id", "tick", F.col("previous_offset").alias("previous_tick"))
 
 

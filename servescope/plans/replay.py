@@ -21,7 +21,7 @@ def conversation_chunks(s, d):
     data after the end (% 19), a second end (% 23).
     """
     turns = t.table(s, d, "conversations").select("conv_id", "turn", "role", "text")
-    ranked = SlicedOrder(["conv_id"], ["turn", "role"], F.expr("turn div 65536")).rank(turns, "rn")
+    ranked = SlicedOrder(["conv_id"], ["turn", "role"]).rank(turns, "rn")
     eol = "CASE WHEN conv_id % 7 = 0 THEN '\\r\\n' ELSE '\\n' END"
     parts = ranked.selectExpr(
         "conv_id", "rn - 1 AS k", f"{eol} AS eol",

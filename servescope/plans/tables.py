@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from servescope.operators.sliced import by_offset
+from servescope.operators.sliced import SlicedOrder
 from servescope.session import use
 
 BLOCK = 8
@@ -34,7 +34,7 @@ def clocked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_events(spark: SparkSession, sf_dir: str, run: str = "user_id % 4") -> DataFrame:
     """Each user's events in blocks of eight; every block is one request."""
-    ranked = by_offset(["user_id"], "off_ns", "event_id").rank(
+    ranked = SlicedOrder(["user_id"], ["off_ns", "event_id"]).rank(
         clocked_events(spark, sf_dir), "rn"
     )
     block = Window.partitionBy("user_id", "blk")
@@ -136,7 +136,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequenced(events: DataFrame) -> DataFrame:
     """Number a run's events from 0 in clock order."""
-    order = by_offset(["run_id"], "off_ns", "kind_rank", "request_id", "pos")
+    order = SlicedOrder(["run_id"], ["off_ns", "kind_rank", "request_id", "pos"])
     return order.rank(events, "sequence").withColumn("sequence", F.col("sequence") - 1)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from servescope.functions.rules import violation_report
 from servescope.operators import cancellation as cn
 from servescope.operators import telemetry as tm
-from servescope.operators.sliced import by_offset
+from servescope.operators.sliced import SlicedOrder
 from servescope.plans import tables as t
 from servescope.plans.oracle import sql
 from servescope.session import cut
@@ -98,7 +98,7 @@ def log_lines(s, d):
     spread = r.selectExpr("run_id", "request_id", f"explode({lines}) AS l").selectExpr(
         "concat('run-', run_id) AS source_stream_id", "run_id", "request_id", "l.at AS observation_offset_ns",
         "l.k AS k", "l.line AS raw_record")
-    ranked = by_offset(["source_stream_id"], "observation_offset_ns", "k", "request_id").rank(spread, "rn")
+    ranked = SlicedOrder(["source_stream_id"], ["observation_offset_ns", "k", "request_id"]).rank(spread, "rn")
     return ranked.withColumn("record_ordinal", F.col("rn") - 1).drop("rn")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servescope.operators.sliced import DENSE_SLICE, by_sequence
+from servescope.operators.sliced import HOT_ROWS, SLICE_ROWS, SlicedOrder
 
 # Fixed patterns: the four log lines that tie the ids of one request together.
 ITEM = r"cmpl-([A-Za-z0-9._-]+)-0"
@@ -15,13 +15,15 @@ EXTERNAL_ABORT = rf"\bRequest {ITEM} aborted\."
 INTERNAL_ABORT = rf"\bAborted request\(s\) {ITEM}-([0-9a-f]{{8}})\."
 
 
-def retain_records(lines: DataFrame, stream: str = "source_stream_id", width: int = DENSE_SLICE) -> DataFrame:
+def retain_records(
+    lines: DataFrame, stream: str = "source_stream_id", hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Byte interval and hash of each line; lines are separated by one byte.
 
-    The byte position is a running sum along the stream, cut into slices of its ordinals.
+    The byte position is a running sum along the stream.
     """
     sized = lines.withColumn("__size", F.octet_length("raw_record").cast("long"))
-    ended = by_sequence([stream], "record_ordinal", width).running_sum(
+    ended = SlicedOrder([stream], ["record_ordinal"], hot_rows, slice_rows).running_sum(
         sized, F.col("__size") + 1, "__next"
     )
     return (
@@ -41,7 +43,7 @@ def split_log_text(files: DataFrame, stream: str = "source_stream_id") -> DataFr
 
 def byte_gaps(records: DataFrame, stream: str = "source_stream_id") -> DataFrame:
     """Records that do not start one byte after the one before, or whose size or hash is wrong."""
-    seen = by_sequence([stream], "record_ordinal").previous(
+    seen = SlicedOrder([stream], ["record_ordinal"]).previous(
         records, {"__end": "byte_end", "__at": "observation_offset_ns"}
     )
     reason = (

@@ -24,7 +24,7 @@ def rows(spark):
 
 
 def order():
-    return SlicedOrder(["k"], ["at", "id"], F.expr("at div 7"), hot_rows=100)
+    return SlicedOrder(["k"], ["at", "id"], hot_rows=100, slice_rows=60)
 
 
 def window():
@@ -49,10 +49,20 @@ def test_sliced_equals_plain_window(rows, sliced, plain):
     assert got == want
 
 
+def test_a_run_within_one_instant_is_dealt_evenly(spark):
+    # all rows of the hot key share a clock value: the further columns of the order cut it
+    rows = spark.range(40_000).selectExpr("if(id % 10 = 0, NULL, 'hot') AS k", "id div 20000 AS at", "id")
+    cold, hot = SlicedOrder(["k"], ["at", "id"], hot_rows=3_000, slice_rows=2_000).split(rows)
+    depth = [r["count"] for r in hot.groupBy("__slice").count().collect()]
+    assert cold.count() == 0 and sum(depth) == 40_000 and len(depth) >= 18 and max(depth) <= 4_000
+    got = SlicedOrder(["k"], ["at", "id"], hot_rows=3_000, slice_rows=2_000).rank(rows, "x")
+    assert got.where("x <> if(k IS NULL, id div 10, id - id div 10 - 1) + 1").isEmpty()
+
+
 @pytest.mark.parametrize("hot_rows", [0, 100])
 def test_concurrency_puts_terminals_before_dispatches(spark, hot_rows):
     df = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (2, 0, 10), (2, 9, 20)], "run_id long, dispatch_ns long, terminal_ns long")
-    got = {r.run_id: (r.max_concurrency, r.positive_overlap) for r in tl.concurrency_by_interval(df, 3, hot_rows).collect()}
+    got = {r.run_id: (r.max_concurrency, r.positive_overlap) for r in tl.concurrency_by_interval(df, hot_rows, 2).collect()}
     assert got == {1: (1, False), 2: (2, True)}
 
 
@@ -61,7 +71,7 @@ def test_concurrency_by_sequence_names_broken_evidence(spark, hot_rows):
     s, e = "CLIENT_REQUEST_STARTED", "CLIENT_REQUEST_ENDED"
     events = [(1, 0, "a", s), (1, 1, "b", s), (1, 2, "a", e), (1, 3, "c", e), (1, 4, "b", s)]
     df = spark.createDataFrame(events, "run_id long, sequence long, request_id string, kind string")
-    row = tl.concurrency_by_sequence(df, 2, hot_rows).first()
+    row = tl.concurrency_by_sequence(df, hot_rows, 2).first()
     assert (row.max_concurrency, row.duplicate_starts, row.unmatched_ends, row.unfinished) == (2, 1, 1, 1)
 
 
@@ -76,5 +86,5 @@ def test_sequence_report(spark):
 def test_as_of_join_takes_the_right_row_at_equal_times(spark, hot_rows):
     left = spark.createDataFrame([("u", 5, "l1"), ("u", 1, "l0"), ("v", 9, "l2")], "k string, at long, name string")
     right = spark.createDataFrame([("u", 2, "r1"), ("u", 5, "r2"), ("v", 10, "r3")], "k string, seen long, scrape string")
-    got = {r.name: r.scrape for r in tl.as_of_join(left, right, "k", "at", "seen", 2, hot_rows).collect()}
+    got = {r.name: r.scrape for r in tl.as_of_join(left, right, "k", "at", "seen", hot_rows, 2).collect()}
     assert got == {"l0": None, "l1": "r2", "l2": None}

@@ -92,7 +92,7 @@ def test_log_correlation(spark):
     ]
     df = spark.createDataFrame([("s", i, at, line) for i, (line, at) in enumerate(lines)],
                                "source_stream_id string, record_ordinal long, observation_offset_ns long, raw_record string")
-    kept = lg.retain_records(df, width=2)
+    kept = lg.retain_records(df, hot_rows=0, slice_rows=2)
     assert lg.byte_gaps(kept).count() == 0
     ends = [r.byte_end for r in kept.orderBy("record_ordinal").collect()]
     text = "\n".join(line for line, _ in lines)
