@@ -1,9 +1,10 @@
 """Replay of recorded response bodies: frames, completions, cancellations, hashes, fingerprints.
 
-A body is never gathered whole. Its chunks are folded into segments of ``SEGMENT`` consecutive
-chunks; what one segment needs from those before it (a split CRLF, an unmatched newline, how many
-frames came before) is a handful of small columns, carried over the slim segment table and joined
-back. An ordinary response is one segment; an endless one is many, spread over tasks.
+A body is never gathered whole. Its chunks are folded into segments of at most ``SEGMENT`` consecutive
+chunks and about ``SEGMENT_BYTES``, which are written once; what one segment needs from those before it
+(a split CRLF, an unmatched newline, how many frames came before) is a handful of small columns, carried
+over the slim segment table and joined back. An ordinary response is one segment; an endless one is
+many, spread over tasks.
 
 Bodies are told apart by run and request id where a table has runs, else by request id.
 Bytes are handled as ISO-8859-1 text, one character per byte, and decoded as UTF-8 per frame.
@@ -19,8 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from servescope.functions.keys import request_key
+from servescope.session import cut
 
+#: A segment ends after so many chunks or bytes.
 SEGMENT = 1024
+SEGMENT_BYTES = 1 << 20
+#: More parts than a span of chunks can have.
+PARTS = 1 << 30
 # Fixed value: the end-of-stream marker.
 DONE = "[DONE]"
 
@@ -40,26 +46,30 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("bytes", F.when(alphabet, raw)).withColumn("integrity", reason)
 
 
-def _segments(chunks: DataFrame, key: Sequence[str], width: int) -> DataFrame:
+def _segments(chunks: DataFrame, key: Sequence[str], width: int, size: int) -> DataFrame:
     text = F.decode("bytes", "ISO-8859-1")
     rows = (
         chunks.where(F.octet_length("bytes") > 0)
         .select(*key, "ordinal", "observation_offset_ns", text.alias("t"))
-        .withColumn("seg", F.floor(F.col("ordinal") / width))
-    )
-    inside = Window.partitionBy(*key, "seg").orderBy("ordinal")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .withColumn("span", F.floor(F.col("ordinal") / width))
+    )
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    in_span = Window.partitionBy(*key, "span").orderBy("ordinal")
+    # the bytes before a chunk decide its part of the span, so a part exceeds ``size`` by one chunk at most
+    before = F.sum(F.length("t").cast("long")).over(in_span.rowsBetween(*upto)) - F.length("t")
+    parted = rows.withColumn("seg", F.col("span") * PARTS + F.floor(before / size))
+    inside = Window.partitionBy(*key, "span", "seg").orderBy("ordinal")
     crosses = F.coalesce(
         F.endswith(F.lag("t").over(inside), F.lit("\r")) & F.startswith("t", F.lit("\n")), F.lit(False)
     )
     crlf = (F.length("t") - F.length(F.replace("t", F.lit("\r\n"), F.lit("\n")))) + crosses.cast("int")
     dangling = F.endswith("t", F.lit("\r")).cast("int")
     # where the chunk ends in the normalized segment; a carriage return waits for its line feed
-    ended = rows.withColumn("e", F.length("t") - crlf).withColumn(
-        "e", (F.sum("e").over(upto) - dangling).cast("long")
+    ended = parted.withColumn("e", F.length("t") - crlf).withColumn(
+        "e", (F.sum("e").over(inside.rowsBetween(*upto)) - dangling).cast("long")
     )
     return (
-        ended.groupBy(*key, "seg")
+        ended.groupBy(*key, "span", "seg")
         .agg(F.sort_array(F.collect_list(F.struct("ordinal", "e", "observation_offset_ns", "t"))).alias("c"))
         .withColumn("raw", F.array_join(F.transform("c", lambda x: x["t"]), ""))
         .withColumn(
@@ -70,7 +80,15 @@ def _segments(chunks: DataFrame, key: Sequence[str], width: int) -> DataFrame:
         .withColumn("ends_cr", F.endswith("raw", F.lit("\r")))
         .withColumn("body", F.expr("CASE WHEN ends_cr THEN substring(raw, 1, length(raw) - 1) ELSE raw END"))
         .withColumn("r", F.replace("body", F.lit("\r\n"), F.lit("\n")))
-        .drop("c", "raw", "body")
+        .withColumns({
+            "starts_nl": F.startswith("r", F.lit("\n")),
+            "only_nl": F.rtrim(F.col("r"), F.lit("\n")) == "",
+            "trail": F.length("r") - F.length(F.rtrim(F.col("r"), F.lit("\n"))),
+            "len": F.length("r"),
+            "n0": _boundaries(F.col("r")),
+            "n1": _boundaries(F.concat(F.lit("\n"), "r")),
+        })
+        .drop("c", "raw", "body", "span")
     )
 
 
@@ -79,16 +97,9 @@ def _boundaries(text: Column) -> Column:
 
 
 def _carried(segments: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Per segment, what the segments before it leave behind; only small columns are moved."""
-    slim = segments.select(
-        *key, "seg", "ends_cr",
-        F.startswith("r", F.lit("\n")).alias("starts_nl"),
-        (F.rtrim(F.col("r"), F.lit("\n")) == "").alias("only_nl"),
-        (F.length("r") - F.length(F.rtrim(F.col("r"), F.lit("\n")))).alias("trail"),
-        F.length("r").alias("len"),
-        _boundaries(F.col("r")).alias("n0"),
-        _boundaries(F.concat(F.lit("\n"), "r")).alias("n1"),
-    )
+    """What the segments before leave behind. A segment is a function of the state before it (a waiting
+    carriage return, an unmatched newline); scans over these few columns compose the functions."""
+    slim = segments.drop("r", "ends")
     w = Window.partitionBy(*key).orderBy("seg")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -104,70 +115,82 @@ def _carried(segments: DataFrame, key: Sequence[str]) -> DataFrame:
         .withColumn("frames_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("x_len", F.expr("len + takes + CAST(stray AS INT) - leaves"))
         .withColumn("x_before", F.coalesce(F.sum("x_len").over(before), F.lit(0)))
-        .select(*key, "seg", "stray", "takes", "leaves", "frames_before", "x_before")
+        .withColumn("earlier", F.lag("seg").over(w).isNotNull())
+        .withColumn("later", F.lead("seg").over(w).isNotNull())
+        .select(*key, "seg", "stray", "takes", "leaves", "frames_before", "x_before", "earlier", "later")
     )
 
 
-def _stitched(chunks: DataFrame, key: Sequence[str], width: int) -> DataFrame:
-    segments = _segments(chunks, key, width)
+def _stitched(chunks: DataFrame, key: Sequence[str], width: int, size: int) -> DataFrame:
+    segments = cut(_segments(chunks, key, width, size))
     whole = """concat(CASE WHEN takes = 1 THEN '\\n' ELSE '' END, CASE WHEN stray THEN '\\r' ELSE '' END, r)"""
     return (
-        segments.join(_carried(segments, key), [*key, "seg"])
+        segments.select(*key, "seg", "r", "ends")
+        .join(_carried(segments, key), [*key, "seg"])
         .withColumn("x", F.expr(whole))
         .withColumn("x", F.expr("CASE WHEN leaves = 1 THEN substring(x, 1, length(x) - 1) ELSE x END"))
     )
 
 
-def sse_pieces(chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT) -> DataFrame:
-    """All frames of all bodies, the unfinished tail included (``closed`` false)."""
+def sse_pieces(
+    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, size: int = SEGMENT_BYTES
+) -> DataFrame:
+    """All frames of all bodies, the unfinished tail included (``closed`` false).
+
+    The frames of a segment and the ends of its chunks become rows first; running sums place the frames,
+    and the chunk that completes a frame is the last chunk end seen on the way back to the frame's end.
+    Only frames that reach over a segment's border are put together by a group.
+    """
     key = key or request_key(chunks)
-    split = _stitched(chunks, key, width).select(
-        *key, "seg", "frames_before", "x_before", "ends",
-        (F.col("takes") + F.col("stray").cast("int")).alias("shift"),
-        F.split("x", "\n\n").alias("pieces"),
-    )
-    ends = F.transform(F.col("pieces"), lambda p: F.length(p) + 2)
-    cumulative = F.aggregate(
-        ends,
-        F.array().cast("array<bigint>"),
-        lambda acc, n: F.concat(acc, F.array((n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))).cast("bigint"))),
-    )
-    rows = split.withColumn("cuts", cumulative).select(
-        *key, "seg", "frames_before", "x_before", "ends", "shift", F.size("pieces").alias("k"), "cuts",
-        F.posexplode("pieces").alias("p", "piece"),
-    )
-    last = F.col("p") == F.col("k") - 1
-    cut = F.get("cuts", F.col("p"))
-    done_by = F.get(
-        F.filter("ends", lambda c: F.col("shift") + c["e"] >= cut), F.lit(0)
-    )
-    placed = rows.select(
+    items = """concat(
+        transform(split(x, '\n\n'), (p, i) -> named_struct('chunk', false, 'i', CAST(i AS BIGINT), 'piece', p,
+            'size', CAST(length(p) + 2 AS BIGINT), 'ordinal', CAST(NULL AS BIGINT), 'at', CAST(NULL AS BIGINT))),
+        transform(ends, c -> named_struct('chunk', true, 'i', c.e + takes + CAST(stray AS INT), 'piece', CAST(NULL AS STRING),
+            'size', 0L, 'ordinal', CAST(c.ordinal AS BIGINT), 'at', CAST(c.at AS BIGINT))))"""
+    rows = _stitched(chunks, key, width, size).select(
+        *key, "seg", "frames_before", "x_before", "earlier", "later",
+        F.expr(items).alias("items"), F.size(F.split("x", "\n\n")).alias("k"))
+    # the segment's text and arrays stay behind; a row carries its own frame only
+    rows = rows.select(*key, "seg", "frames_before", "x_before", "earlier", "later", "k", F.explode("items").alias("item")).select(
+        *key, "seg", "frames_before", "x_before", "earlier", "later", "k", "item.*")
+    within = Window.partitionBy(*key, "seg")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("sum", F.sum("size").over(within.orderBy("chunk", "i").rowsBetween(*upto))).withColumn(
+        "place", F.when(F.col("chunk"), F.col("i")).otherwise(F.col("sum")))
+    back = within.orderBy(F.desc("place"), F.desc("chunk"), F.desc("ordinal")).rowsBetween(*upto)
+    seen = F.last(F.when(F.col("chunk"), F.struct("ordinal", "at")), ignorenulls=True).over(back)
+    last = F.col("i") == F.col("k") - 1
+    frames = cut(placed.withColumn("by", seen).where("NOT chunk").select(
         *key, "seg",
-        (F.col("frames_before") + F.col("p")).alias("frame_index"),
-        "piece",
-        F.when(~last, done_by["ordinal"]).alias("completing_chunk"),
-        F.when(~last, done_by["at"]).alias("observation_offset_ns"),
-        F.when(~last, F.col("x_before") + cut).alias("frame_end"),
-    )
-    return placed.groupBy(*key, "frame_index").agg(
+        (F.col("frames_before") + F.col("i")).alias("frame_index"),
+        F.col("piece").alias("raw_frame"),
+        F.when(~last, F.col("by.ordinal")).alias("completing_chunk"),
+        F.when(~last, F.col("by.at")).alias("observation_offset_ns"),
+        F.when(~last, F.col("x_before") + F.col("place")).alias("frame_end"),
+        ((F.col("i") == 0) & F.col("earlier") | last & F.col("later")).alias("over"),
+    ))
+    out = [*key, "frame_index", "raw_frame", "completing_chunk", "observation_offset_ns", "frame_end"]
+    joined = frames.where("over").groupBy(*key, "frame_index").agg(
         F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("seg", "piece"))), lambda s: s["piece"]), ""
+            F.transform(F.sort_array(F.collect_list(F.struct("seg", "raw_frame"))), lambda s: s["raw_frame"]), ""
         ).alias("raw_frame"),
         F.max("completing_chunk").alias("completing_chunk"),
         F.max("observation_offset_ns").alias("observation_offset_ns"),
         F.max("frame_end").alias("frame_end"),
     )
+    return frames.where("NOT over").select(*out).unionByName(joined.select(*out))
 
 
 def sse_frames(
-    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, limit: int | None = None
+    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, limit: int | None = None,
+    size: int = SEGMENT_BYTES,
 ) -> DataFrame:
     """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``.
 
     A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data.
     """
     key = key or request_key(chunks)
-    pieces = sse_pieces(chunks, key, width).where("raw_frame <> ''")
+    pieces = sse_pieces(chunks, key, width, size).where("raw_frame <> ''")
     raw_bytes = F.encode("raw_frame", "ISO-8859-1")
     utf8 = F.try_validate_utf8(raw_bytes.cast("string"))
     read = pieces.withColumn("text", utf8).withColumn("lines", F.split("text", "\n"))

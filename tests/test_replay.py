@@ -30,8 +30,8 @@ def incremental(body):
     return frames, buffer.decode("latin1")
 
 
-@pytest.mark.parametrize("width", [1, 2, 1024])
-def test_pieces_equal_an_incremental_reader(spark, width):
+@pytest.mark.parametrize(("width", "size"), [(1, 1 << 20), (2, 1 << 20), (1024, 1 << 20), (1024, 9), (3, 1)])
+def test_pieces_equal_an_incremental_reader(spark, width, size):
     rng = random.Random(3)
     parts = [b"\n", b"\r\n", b"data: a", b": c", b"data", b"data: [DONE]", b"x", " é".encode(), b"\n\n", b"\r\n\r\n"]
     bodies = []
@@ -40,7 +40,7 @@ def test_pieces_equal_an_incremental_reader(spark, width):
         cuts = sorted(rng.sample(range(1, len(body)), min(len(body) - 1, rng.randint(0, 8)))) if len(body) > 1 else []
         bodies.append([body[a:b] for a, b in zip([0, *cuts], [*cuts, len(body)])])
     got: dict[int, dict] = {}
-    for r in rp.sse_pieces(chunks(spark, bodies), width=width).collect():
+    for r in rp.sse_pieces(chunks(spark, bodies), width=width, size=size).collect():
         got.setdefault(r.request_id, {})[r.frame_index] = r
     for i, body in enumerate(bodies):
         frames, tail = incremental(body)
