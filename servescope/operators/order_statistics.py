@@ -21,13 +21,13 @@ _STEPS = 65_536
 HOT_SAMPLES = 1_048_576
 
 
-def _bucket(value: Column) -> Column:
+def bucket(value: Column, steps: int = _STEPS) -> Column:
     """Monotone in ``value``: octave and position in the octave, mirrored below zero."""
     size = F.abs(value)
     octave = F.floor(F.log2(size))
-    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * _STEPS)
+    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * steps)
     # octaves of a double lie in -1074..1023; the shift keeps every key of a positive value positive
-    key = (octave + 1100) * _STEPS + step
+    key = (octave + 1100) * steps + step
     return F.when(value == 0, F.lit(0)).when(value > 0, key).otherwise(-key).cast("long")
 
 
@@ -71,8 +71,18 @@ def _sorted_groups(rows: DataFrame, keys: list[str], percentiles: Mapping[str, f
 
 
 def _two_passes(rows: DataFrame, keys: list[str], percentiles: Mapping[str, float]) -> DataFrame:
+    rows = rows.withColumn("__b", bucket(F.col("__v")))
+    histogram = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    return percentiles_by_bucket(rows, histogram, keys, percentiles)
+
+
+def percentiles_by_bucket(
+    rows: DataFrame, histogram: DataFrame, keys: Sequence[str], percentiles: Mapping[str, float] = P50_P95_P99
+) -> DataFrame:
+    """Per key of a counted ``histogram(keys, __b, __c)``: the percentiles, read from those of its
+    ``rows(keys, __b, __v)`` whose bucket holds a wanted rank."""
+    keys = list(keys)
     named = [*keys, "__b"]
-    rows = rows.withColumn("__b", _bucket(F.col("__v")))
 
     def lower(p: float) -> Column:
         return F.floor((F.col("__n") - 1) * F.lit(p))
@@ -87,9 +97,7 @@ def _two_passes(rows: DataFrame, keys: list[str], percentiles: Mapping[str, floa
         Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     )
     hit = (
-        rows.groupBy(*named)
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        histogram.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
         .withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
         .withColumn(
             "__wanted",

@@ -15,14 +15,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from servescope.functions.keys import REQUEST_KEY, request_key
+from servescope.operators.order_statistics import bucket, percentiles_by_bucket
 from servescope.operators.replay import DONE
 from servescope.session import shared_folder
 
 
-def as_stream(df: DataFrame, files: int | None = None, per_trigger: int | None = None, by: str | None = None) -> DataFrame:
+#: No row is from this time or later; a row of it ends a bounded stream.
+CLOSING = "9000-01-01 00:00:00"
+
+
+def watermarked(df: DataFrame, at: str, delay: str) -> DataFrame:
+    """A watermark, past which the closing row of a bounded stream goes no further.
+
+    The condition names the event time, so the optimizer leaves it behind the watermark, which the
+    closing row has moved by then.
+    """
+    return df.withWatermark(at, delay).where(F.col(at) < F.lit(CLOSING).cast("timestamp"))
+
+
+def as_stream(
+    df: DataFrame, files: int | None = None, per_trigger: int | None = None, by: str | None = None,
+    closing: str | None = None,
+) -> DataFrame:
     """Write a table to the shared folder and read it back as a stream of files.
 
-    With ``by`` all rows of a key land in one file, so a key is never split over triggers.
+    With ``by`` all rows of a key land in one file, so a key is never split over triggers. With
+    ``closing``, the name of the event time, the stream ends: a last file holds one row of the time
+    ``CLOSING``, so every window, span and state is closed by the watermark when all has been read.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -31,6 +50,9 @@ def as_stream(df: DataFrame, files: int | None = None, per_trigger: int | None =
     elif files is not None:
         df = df.repartition(files)
     df.write.parquet(path)
+    if closing is not None:
+        end = [F.lit(CLOSING).cast(t).alias(c) if c == closing else F.lit(None).cast(t).alias(c) for c, t in df.dtypes]
+        spark.range(1).select(*end).write.mode("append").parquet(path)
     reader = spark.readStream.schema(df.schema)
     if per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", str(per_trigger))
@@ -53,41 +75,95 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
-def windowed_summary(terminals: DataFrame, every: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Counts, rates and end-to-end percentiles per run and tumbling window of terminal time.
+#: Buckets of an octave in the state of a window.
+STEPS = 16
+
+
+def _successful(terminals: DataFrame) -> DataFrame:
+    value = F.when(F.col("terminal_class") == "SUCCESS", F.col("end_to_end_ns")).cast("double")
+    sound = F.when(F.abs(value) < F.lit(float("inf")), value)
+    return terminals.withColumn("__v", sound).withColumn("__b", bucket(F.col("__v"), STEPS))
 
-    ``terminals``: run_id, terminal_at (timestamp), terminal_class, phase, end_to_end_ns, slo_satisfied.
-    The exact percentile holds the samples of one open window.
+
+def window_histogram(terminals: DataFrame, every: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Counts per run, tumbling window of terminal time and bucket of the end-to-end time.
+
+    ``terminals``: run_id, terminal_at (timestamp), terminal_class, phase, end_to_end_ns, slo_satisfied. The
+    state of a window has a row for each bucket (``STEPS`` an octave), however many samples it takes.
     """
-    ok = F.col("terminal_class") == "SUCCESS"
+    # ahead of the watermark, and passed by the closing row
+    measured = terminals.where((F.col("phase") == "MEASURED") | (F.col("terminal_at") >= F.lit(CLOSING).cast("timestamp")))
     return (
-        terminals.where("phase = 'MEASURED'")
-        .withWatermark("terminal_at", delay)
-        .groupBy("run_id", F.window("terminal_at", every).alias("w"))
+        _successful(watermarked(measured, "terminal_at", delay))
+        .groupBy("run_id", F.window("terminal_at", every).alias("w"), "__b")
         .agg(
             F.count(F.lit(1)).alias("attempted"),
-            F.count_if(ok).alias("successful"),
+            F.count_if(F.col("terminal_class") == "SUCCESS").alias("successful"),
             F.count_if(F.col("terminal_class") == "TIMEOUT").alias("timed_out"),
             F.count_if(F.col("slo_satisfied")).alias("slo_satisfying"),
-            F.percentile(F.when(ok, F.col("end_to_end_ns")), F.array(F.lit(0.5), F.lit(0.95))).alias("p"),
-        )
-        .select(
-            "run_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-            "attempted", "successful", "timed_out", "slo_satisfying",
-            F.get("p", F.lit(0)).alias("e2e_p50"), F.get("p", F.lit(1)).alias("e2e_p95"),
         )
+        .select("run_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                "__b", "attempted", "successful", "timed_out", "slo_satisfying")
     )
 
 
+def windowed_summary(histogram: DataFrame, terminals: DataFrame, every: str = "1 day") -> DataFrame:
+    """Counts and exact end-to-end percentiles of the closed windows of ``window_histogram``.
+
+    ``terminals`` are the rows that the stream has taken, as they were written; of these only the buckets
+    that hold a wanted rank are sorted. Rows that the watermark turned away must not be among them.
+    """
+    keys = ["run_id", "window_start"]
+    counts = histogram.groupBy(*keys, "window_end").agg(
+        *[F.sum(c).alias(c) for c in ("attempted", "successful", "timed_out", "slo_satisfying")])
+    rows = _successful(terminals.where("phase = 'MEASURED'")).where("__b IS NOT NULL").select(
+        "run_id", F.window("terminal_at", every).getField("start").alias("window_start"), "__b", "__v")
+    buckets = histogram.where("__b IS NOT NULL").select(*keys, "__b", F.col("successful").alias("__c"))
+    exact = percentiles_by_bucket(rows, buckets, keys, {"e2e_p50": 0.5, "e2e_p95": 0.95})
+    return counts.join(exact, keys, "left")
+
+
 def dedup_requests(arrivals: DataFrame, key: Sequence[str] | None = None, at: str = "seen_at", delay: str = "1 hour") -> DataFrame:
     """At-least-once input to once per run and id, as long as the copies fall inside the watermark."""
-    return arrivals.withWatermark(at, delay).dropDuplicatesWithinWatermark([*(key or request_key(arrivals))])
+    return watermarked(arrivals, at, delay).dropDuplicatesWithinWatermark([*(key or request_key(arrivals))])
+
+
+COPIES = "status string, seen_at timestamp, copy long"
+
+
+def _report_copies(wait_ms: int):
+    def report(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Every arrival of an id, numbered in the order of arrival."""
+        columns = [*REQUEST_KEY[-len(key):], "status", "seen_at", "copy"]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else 0
+        arrived = sorted(at for b in batches for at in b["seen_at"].tolist())
+        yield pd.DataFrame([(*key, "FIRST" if before + i == 0 else "DUPLICATE", at, before + i) for i, at in enumerate(arrived)], columns=columns)
+        state.update((before + len(arrived),))
+        state.setTimeoutTimestamp(max(int(arrived[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + wait_ms)
+
+    return report
+
+
+def duplicate_report(arrivals: DataFrame, delay: str = "1 hour", wait_ms: int = 3_600_000) -> DataFrame:
+    """FIRST and DUPLICATE rows for every arrival of a run and id; an id is forgotten once the watermark
+    is ``wait_ms`` past its last copy. Columns of ``arrivals``: run_id, request_id, seen_at."""
+    key = request_key(arrivals)
+    return (
+        watermarked(arrivals, "seen_at", delay)
+        .groupBy(*key)
+        .applyInPandasWithState(
+            _report_copies(wait_ms), _with_key(arrivals, COPIES), "arrived long", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
 
 
 def activity_spans(events: DataFrame, key: str, at: str = "seen_at", gap: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
     """Spans of activity per client; between two spans lies a quiet interval of at least ``gap``."""
     return (
-        events.withWatermark(at, delay)
+        watermarked(events, at, delay)
         .groupBy(key, F.session_window(at, gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("events"))
         .select(key, F.col("w.start").alias("span_start"), F.col("w.end").alias("span_end"), "events")
@@ -95,7 +171,9 @@ def activity_spans(events: DataFrame, key: str, at: str = "seen_at", gap: str =
 
 
 FRAMES = "frame_index long, kind string, data string, completing_chunk long, error string"
-FRAME_STATE = "buffer binary, done boolean, next_ordinal long, frame_index long, held_ordinals array<long>, held array<binary>"
+FRAME_STATE = "buffer binary, done boolean, next_ordinal long, frame_index long, held_ordinals array<long>, held array<binary>, broken boolean"
+#: Bytes that a body may leave unread in the state: an unfinished frame, and chunks that came early.
+STATE_BYTES = 1 << 20
 
 
 def _with_key(df: DataFrame, columns: str) -> str:
@@ -127,21 +205,22 @@ def assemble_frames(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """Bytes in, completed frames out. Early chunks wait for their turn; what is open at the
-    timeout becomes one INCOMPLETE row."""
+    timeout becomes one INCOMPLETE row. A body that leaves more than ``STATE_BYTES`` unread ends with one
+    BUFFER_LIMIT row."""
     columns = [*REQUEST_KEY[-len(key):], "frame_index", "kind", "data", "completing_chunk", "error"]
-    buffer, done, turn, index, ordinals, held = (
-        state.get if state.exists else (b"", False, 0, 0, [], [])
+    buffer, done, turn, index, ordinals, held, broken = (
+        state.get if state.exists else (b"", False, 0, 0, [], [], False)
     )
     if state.hasTimedOut:
         state.remove()
-        if bytes(buffer).strip(b"\n") or not done or held:
+        if not broken and (bytes(buffer).strip(b"\n") or not done or held):
             yield pd.DataFrame([(*key, index, "tail", None, None, "INCOMPLETE")], columns=columns)
         return
     waiting = dict(zip([int(o) for o in ordinals], [bytes(h) for h in held]))
     latest = 0
     for batch in batches:
         for row in batch.itertuples(index=False):
-            if row.ordinal >= turn:
+            if row.ordinal >= turn and not broken:
                 waiting[int(row.ordinal)] = bytes(row.bytes)
             latest = max(latest, int(row.seen_at.timestamp() * 1000))
     buffer, rows = bytes(buffer), []
@@ -155,7 +234,10 @@ def assemble_frames(
                 rows.append((*key, index, kind, data, turn, error))
             index += 1
         turn += 1
-    state.update((buffer, done, turn, index, list(waiting), list(waiting.values())))
+    if not broken and len(buffer) + sum(map(len, waiting.values())) > STATE_BYTES:
+        broken, buffer, waiting = True, b"", {}
+        rows.append((*key, index, "error", None, None, "BUFFER_LIMIT"))
+    state.update((buffer, done, turn, index, list(waiting), list(waiting.values()), broken))
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)
     yield pd.DataFrame(rows, columns=columns)
 
@@ -164,7 +246,7 @@ def stream_frames(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``chunks``: run_id, request_id, ordinal (dense from 0), bytes, seen_at."""
     key = request_key(chunks)
     return (
-        chunks.withWatermark("seen_at", delay)
+        watermarked(chunks, "seen_at", delay)
         .groupBy(*key)
         .applyInPandasWithState(
             assemble_frames, _with_key(chunks, FRAMES), FRAME_STATE, "append", GroupStateTimeout.EventTimeTimeout
@@ -223,7 +305,7 @@ def stream_requests(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``events``: run_id, request_id, kind, kind_rank, off_ns, token_delta_count, terminal_class, seen_at."""
     key = request_key(events)
     return (
-        events.withWatermark("seen_at", delay)
+        watermarked(events, "seen_at", delay)
         .groupBy(*key)
         .applyInPandasWithState(
             assemble_requests, _with_key(events, LIFECYCLE), LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
@@ -232,16 +314,22 @@ def stream_requests(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 DELTAS = ("slot long, metric string, label_set string, scrape_offset_ns long, status string, delta double")
+SILENT_MS = 7 * 86_400_000
 DELTA_STATE = "process string, offset_ns long, value double"
 
 
 def follow_counter(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Change of one series against its last scrape, with restart, reorder and reset told apart."""
+    """Change of one series against its last scrape, with restart, reorder and reset told apart; a series
+    that has been silent for a week of event time starts anew."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     process, offset, value = state.get if state.exists else (None, None, None)
-    rows = []
+    rows, latest = [], 0
     for s in pd.concat(list(batches)).sort_values("scrape_offset_ns").itertuples(index=False):
+        latest = max(latest, int(s.seen_at.timestamp() * 1000))
         if process is not None:
             if s.process_start_id != process:
                 status = "RESTART"
@@ -257,13 +345,14 @@ def follow_counter(
                 continue
         process, offset, value = s.process_start_id, int(s.scrape_offset_ns), float(s.value)
     state.update((process, offset, value))
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + SILENT_MS)
     frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DELTAS.split(", ")])
     frame["delta"] = frame["delta"].astype("float64")
     yield frame
 
 
-def live_counter_deltas(samples: DataFrame) -> DataFrame:
-    """``samples``: slot, metric, label_set, process_start_id, scrape_offset_ns, value."""
-    return samples.groupBy("slot", "metric", "label_set").applyInPandasWithState(
-        follow_counter, DELTAS, DELTA_STATE, "append", GroupStateTimeout.NoTimeout
+def live_counter_deltas(samples: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """``samples``: slot, metric, label_set, process_start_id, scrape_offset_ns, value, seen_at."""
+    return watermarked(samples, "seen_at", delay).groupBy("slot", "metric", "label_set").applyInPandasWithState(
+        follow_counter, DELTAS, DELTA_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
