@@ -1,12 +1,13 @@
 """Licence texts by known sentences: each normalised sentence maps to an identifier, and the sequence of
 identifiers of a document is matched against ordered licence rules.
 
-Sentences end at a line break or after ``.``, ``!``, ``?``, ``:`` or ``;`` before white space; normalised
-is lower case with every run of other characters than ASCII letters and digits as one space. Unknown
-sentences are skipped. A rule is a sequence of identifiers that has to occur in this order without
+Sentences end at a line without letters or digits or after ``.``, ``!``, ``?``, ``:`` or ``;`` before white space, so a text may
+be wrapped anywhere and stand in comments; normalised is lower case with every run of other characters than ASCII letters and
+digits as one space. An unknown sentence is read line by line (titles and one-line references stand without
+an end mark); unknown lines are skipped. A rule is a sequence of identifiers that has to occur in this order without
 another known one between; rules are tried in their order, an occurrence that an earlier rule covers is
 not looked at again, and identifiers that no rule covers are reported as fragments. All of it is SQL
-within a row.
+within a row, in time proportional to the text.
 
 Null, empty or wordless text: no identifiers, no licence. Null ids and repeated rows are carried as they
 are; a licence that occurs twice is listed once; other columns are ignored; an empty table is empty.
@@ -80,6 +81,10 @@ RULES = (
     ("all-rights-reserved", ("reserved",)),
 )
 
+SENTENCE_END = r"[.!?:;]+(?=[\x20\x09-\x0D]|$)|\n[^a-z0-9\n]*\n"
+NO_WORD = r"[^a-z0-9\nE]+"
+LINE_BREAK = r"[\x20\n]*\n[\x20\n]*"
+
 
 def license_rules(docs: DataFrame, sentences: Mapping[str, Sequence[str]] = SENTENCES,
                   rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
@@ -89,12 +94,14 @@ def license_rules(docs: DataFrame, sentences: Mapping[str, Sequence[str]] = SENT
     of first occurrence. Both tables are parameters of some hundred entries.
     """
     known = "map(" + ", ".join(f"{sql_text(s)}, {sql_text(k)}" for k, v in sentences.items() for s in v) + ")"
-    ends = r"regexp_replace(lower({t}), '[.!?:;]+(?=[\\x20\\x09-\\x0D]|$)', '\n')"
-    plain = r"regexp_replace({t}, '[^a-z0-9\n]+', ' ')"
-    parts = f"transform(split({plain.format(t=ends.format(t='t'))}, ' *\\n *'), s -> trim(s))"
-    ids = f"filter(transform({parts}, s -> element_at({known}, s)), k -> k IS NOT NULL)"
+    # in lower case an E can stand for the end of a sentence; a line feed is a line break inside one
+    ends = f"regexp_replace(lower(t), {sql_text(SENTENCE_END)}, 'E')"
+    plain = f"regexp_replace(regexp_replace({ends}, {sql_text(NO_WORD)}, ' '), {sql_text(LINE_BREAK)}, '\\n')"
+    lines = f"filter(transform(split(u, '\\n'), s -> element_at({known}, trim(s))), k -> k IS NOT NULL)"
+    whole = f"element_at({known}, trim(translate(u, '\\n', ' ')))"
+    ids = f"flatten(transform(split({plain}, 'E'), u -> transform(array({whole}), k -> CASE WHEN k IS NULL THEN {lines} ELSE array(k) END)[0]))"
     # a text without any sentence's first words has none
-    heads = "|".join(sorted({".{1,9}".join(s.split()[:2]) for v in sentences.values() for s in v}))
+    heads = "|".join(sorted({"[^a-z0-9]+".join(s.split()[:2]) for v in sentences.values() for s in v}))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(
         f"transform(array(coalesce(CAST(text AS STRING), '')), t -> "
         f"CASE WHEN lower(t) RLIKE {sql_text('(?s)' + heads)} THEN {ids} ELSE CAST(array() AS array<string>) END)[0]").alias("__ids"))

@@ -107,30 +107,31 @@ def _pooled(a: dict[int, float], b: dict[int, float]) -> dict[int, float]:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and a struct ``__quality``: features, ``base_failed``, ``posterior``, ``kept``."""
-    with_features = docs.withColumn("__quality", features("text"))
+    """``docs`` as one struct ``row``, with structs ``quality`` (features) and ``verdict`` (base_failed,
+    posterior, kept) beside it, so that no column of ``docs`` can clash."""
+    with_features = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), features("text").alias("quality"))
     names = list(RULES)
-    cast = [v.alias(f"v_{n}") for n, v in zip(names, votes("__quality"))]
+    cast = [v.alias(f"v_{n}") for n, v in zip(names, votes("quality"))]
     counted = with_features.select(*cast).groupBy(*[f"v_{n}" for n in names]).count().collect()
     patterns = sorted((tuple(int(x) for x in row[:-1]), row[-1]) for row in counted)
     prior, weights = fit(patterns)
     odds = F.lit(prior)
-    for vote, weight in zip(votes("__quality"), weights):
+    for vote, weight in zip(votes("quality"), weights):
         odds = odds + F.when(vote == 1, F.lit(weight[1])).when(vote == -1, F.lit(weight[-1])).otherwise(F.lit(weight[0]))
-    failed = F.expr(re.sub(r"\b(n_\w+)", r"__quality.\1", BASE_FAILED))
+    failed = F.expr(re.sub(r"\b(n_\w+)", r"quality.\1", BASE_FAILED))
     posterior = 1 / (1 + F.exp(-odds))
-    return with_features.withColumn("__verdict", F.struct(failed.alias("base_failed"), posterior.alias("posterior"))).withColumn(
-        "__verdict", F.expr("struct(__verdict.base_failed, __verdict.posterior, "
-                            "NOT __verdict.base_failed AND __verdict.posterior >= 0.5 AS kept)"))
+    verdict = F.struct(failed.alias("base_failed"), posterior.alias("posterior"))
+    return with_features.withColumn("verdict", verdict).withColumn(
+        "verdict", F.expr("struct(verdict.base_failed, verdict.posterior, NOT verdict.base_failed AND verdict.posterior >= 0.5 AS kept)"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Features, ``base_failed``, ``posterior`` of good and ``kept`` per row of ``docs(doc_id, text)``."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
-        "doc_id", *[f"__quality.{c}" for c in counts], "__verdict.base_failed", "__verdict.kept", "__verdict.posterior")
+        "row.doc_id", *[f"quality.{c}" for c in counts], "verdict.base_failed", "verdict.kept", "verdict.posterior")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judged(docs).where("__verdict.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs).where("verdict.kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])

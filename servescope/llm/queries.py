@@ -138,11 +138,16 @@ def _license_sql() -> str:
         steps.append(f"l{k + 1} AS (SELECT *, replace(c{k}, '{chain}', ';|;') AS c{k + 1} FROM {previous})")
         previous = f"l{k + 1}"
     names = ", ".join(f"CASE WHEN contains(c{k}, ';{';;'.join(s)};') THEN '{n}' END" for k, (n, s) in enumerate(licenses.RULES))
-    plain = r"regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?:;]+([\x20\x09-\x0D]|$)', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g')"
+    plain = (r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?:;]+([\x20\x09-\x0D]|$)|\n[^a-z0-9\n]*\n', 'E', 'g'), "
+             r"'[^a-z0-9\nE]+', ' ', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g')")
     distinct = "(SELECT coalesce(string_agg(x, ',' ORDER BY i), '') FROM (SELECT x, min(i) AS i FROM (SELECT unnest({v}) AS x, unnest(range(len({v}))) AS i) WHERE {w} GROUP BY x))"
     return f"""WITH known(s, k) AS (VALUES {known}),
-    d AS (SELECT row_number() OVER () AS r, doc_id, string_split({plain}, chr(10)) AS p FROM documents),
-    e AS (SELECT r, trim(unnest(p)) AS s, unnest(range(len(p))) AS i FROM d),
+    d AS (SELECT row_number() OVER () AS r, doc_id, string_split({plain}, 'E') AS p FROM documents),
+    u AS (SELECT r, unnest(p) AS u, unnest(range(len(p))) AS i FROM d),
+    v AS (SELECT r, i, u, trim(replace(u, chr(10), ' ')) AS w FROM u),
+    l AS (SELECT r, i, trim(unnest(string_split(u, chr(10)))) AS s, unnest(range(len(string_split(u, chr(10))))) AS k FROM v
+          WHERE w NOT IN (SELECT s FROM known)),
+    e AS (SELECT r, (i, 0) AS i, w AS s FROM v UNION ALL SELECT r, (i, k), s FROM l WHERE s NOT IN (SELECT w FROM v x WHERE x.r = l.r AND x.i = l.i)),
     f AS (SELECT r, string_agg(k, ',' ORDER BY i) AS a, string_agg(k || ';', ';' ORDER BY i) AS b FROM e JOIN known USING (s) GROUP BY r),
     l0 AS (SELECT d.r, doc_id, coalesce(a, '') AS sentence_ids, ';' || coalesce(b, '') || ';' AS c0 FROM d LEFT JOIN f ON f.r = d.r),
     {', '.join(steps)},

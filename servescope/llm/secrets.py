@@ -4,18 +4,21 @@ A candidate string is a run of at least ``WINDOW`` characters of ``[A-Za-z0-9+/_
 characters (hex, base 64) has its own alphabet and threshold. A window of ``WINDOW`` characters moves
 over a run; its Shannon entropy follows from the counts, which change by one character in and one
 out, so a run of any length costs time in proportion to it. Overlapping windows above the threshold
-are one span. The allow-list suppresses spans: plain words and numbers, UUIDs and placeholders. A
-span that overlaps one of a fixed pattern is dropped, the fixed one stays.
+are one span. The allow-list suppresses spans: plain words and numbers, UUIDs and placeholders. What a
+fixed pattern covers is taken out of a span; the rest of it stays, so no part of a secret is left.
 
 Null or empty text: no spans. Null ids and repeated rows are carried as they are; other columns are
-ignored; an empty table gives an empty result. Any length of text is searched whole.
+ignored; an empty table gives an empty result. Spans that tie in start are ordered by kind. Any length of
+text is searched whole, in time proportional to it and its spans.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,21 +70,37 @@ def secrets_in(text: str, allowed: re.Pattern) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in found)
+    ends = list(accumulate((b for _, b in base), max))
     for run in _RUN.finditer(text):
-        spans = [(run.start() + a, run.start() + b) for a, b in dense_stretches(run[0])]
-        found += [("entropy", a, b) for a, b in spans
-                  if not allowed.fullmatch(text, a, b) and not allowed.fullmatch(text, *run.span())
-                  and not any(x < b and a < y for x, y in base)]
+        spans = dense_stretches(run[0])
+        if not spans or allowed.fullmatch(text, *run.span()):
+            continue
+        for a, b in spans:
+            a, b = run.start() + a, run.start() + b
+            if not allowed.fullmatch(text, a, b):
+                found += [("entropy", *rest) for rest in _without(a, b, base, ends)]
     return found
 
 
+def _without(a: int, b: int, base: list[tuple[int, int]], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What is left of a span without the spans of ``base``, whose ends so far ascend in ``ends``."""
+    for x, y in base[bisect_right(ends, a):]:
+        if x >= b:
+            break
+        if a < x:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def dense_stretches(run: str) -> list[tuple[int, int]]:
     """Merged windows of a run whose entropy reaches the threshold of their class."""
     out: list[tuple[int, int]] = []
     for cls, least in CLASSES:
         for m in cls.finditer(run):
             part = m[0]
-            if len(part) < WINDOW or any(a <= m.start() and m.end() <= b for a, b in out):
+            if len(part) < WINDOW:
                 continue
             for at, bits in enumerate(window_entropies(part)):
                 if bits >= least:
