@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from servescope.llm import decontaminate, mixing, near_dup, quality_rules, secrets
@@ -13,6 +13,15 @@ from servescope.session import cut
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns in one struct, so that none of them can clash with a stage's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"row.`{c}`") for c in docs.columns]
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the posterior keep."""
     return quality_rules.good_documents(docs)
@@ -21,20 +30,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group; of several rows of that id, the
     first by text. Rows with a null id stay."""
-    dropped = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti")
-    # the join has dealt the rows by id already
-    ids = Window.partitionBy("doc_id").orderBy("text")
-    return rest.withColumn("__row", F.row_number().over(ids)).where("__row = 1 OR doc_id IS NULL").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    dropped = near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), _row(docs))
+    rest = rows.where("id IS NOT NULL").join(dropped, "id", "left_anti")
+    # the join has dealt the rows by id already; rows without an id are not numbered, they would be one group
+    first = rest.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("row.text"))).where("n = 1")
+    return first.select("row").union(rows.where("id IS NULL").select("row")).select(*_columns(docs))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, told apart by id and text, so a null id is no shelter."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    leaked = decontaminate.contained_items(keyed.select(F.col("__key").alias("doc_id"), "text"), items).selectExpr("doc_id AS __key").distinct()
-    return keyed.join(leaked, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), _row(docs))
+    leaked = decontaminate.contained_items(keyed.selectExpr("key AS doc_id", "row.text AS text"), items).selectExpr("doc_id AS key").distinct()
+    return keyed.join(leaked, "key", "left_anti").select(*_columns(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
