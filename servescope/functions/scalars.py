@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,33 +86,9 @@ def unsafe_path(path: str) -> Column:
     return (F.col(path) == "") | F.arrays_overlap(parts, F.array(F.lit(""), F.lit("."), F.lit("..")))
 
 
-def _repeats(text: str) -> bool | None:
-    found = False
-
-    def pairs(items: list[tuple[str, object]]) -> dict:
-        nonlocal found
-        found = found or len({k for k, _ in items}) != len(items)
-        return dict(items)
-
-    try:
-        json.loads(text, object_pairs_hook=pairs)
-    except ValueError:
-        return None
-    return found
-
-
-@F.pandas_udf(T.BooleanType())
-def _nested_repeats(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else _repeats(t)).astype("object")
-
-
 def json_has_duplicate_keys(column: str) -> Column:
-    """A field name repeated in one object. Flat objects stay in the JVM; only nested ones use Python."""
-    key = '"((?:\\\\.|[^"\\\\])*)"\\s*:'
-    keys = F.regexp_extract_all(column, F.lit(key), F.lit(1))
-    flat = F.col(column).rlike('^\\s*\\{[^{}\\[\\]]*\\}\\s*$') & ~F.contains(column, F.lit("\\"))
-    nested = F.when(~flat, F.col(column))
-    return F.when(flat, F.size(F.array_distinct(keys)) != F.size(keys)).otherwise(_nested_repeats(nested))
+    """A field name repeated in one object at any depth; null for broken JSON. A variant takes no repeats."""
+    return F.when(F.get_json_object(column, "$").isNotNull(), F.try_parse_json(column).isNull())
 
 
 def exact_keys(column: str, names: Sequence[str]) -> Column:

@@ -162,7 +162,10 @@ def io_versioned(s, d):
         WHEN user_id % 11 = 0 THEN 'no json'
         WHEN blk % 3 = 0 THEN to_json(named_struct('schema_version', '0.1.0', 'outcome', outcome, 'timing', named_struct('dispatch_offset_ns', dispatch_ns)))
         WHEN blk % 3 = 1 THEN to_json(named_struct('schema_version', '0.2.0', 'terminal_class', terminal_class, 'timing', named_struct('dispatch_offset_ns', dispatch_ns)))
-        ELSE to_json(named_struct('schema_version', '9.9.9')) END AS content""")
+        ELSE to_json(named_struct('schema_version', '9.9.9')) END AS content""", "user_id").withColumn("content", F.expr("""CASE
+        WHEN user_id % 13 = 0 THEN replace(content, '"timing":{', '"timing":{"zone":1,') WHEN user_id % 17 = 0 THEN replace(content, '_ns":', '_ns":"x')
+        WHEN user_id % 19 = 0 THEN replace(content, '"timing":{', '"timing":{"dispatch_offset_ns":0,') ELSE content END""")).withColumn(
+        "content", F.expr("CASE WHEN user_id % 13 <> 0 AND user_id % 17 = 0 THEN replace(content, '}}', '\"}}') ELSE content END"))
     return ev.read_versioned(documents, VERSIONS).select(
         "request_id", "schema_version", "outcome", "terminal_class",
         F.col("timing.dispatch_offset_ns").alias("dispatch_ns"), "violation")
@@ -294,12 +297,15 @@ ORACLES = {
     "io_jsonl_roundtrip": sql("req", """WITH v AS (SELECT *, CASE WHEN user_id % 17 = 0 THEN 'MALFORMED_JSON' WHEN user_id % 19 = 0 THEN 'UNKNOWN_FIELD'
           WHEN user_id % 23 = 0 THEN 'MALFORMED_JSON' WHEN user_id % 29 = 0 THEN 'BLANK_LINE' WHEN user_id % 31 = 0 THEN 'MALFORMED_JSON' ELSE 'OK' END AS violation FROM req)
         SELECT violation, count(*) AS lines, CAST(CASE WHEN violation = 'OK' THEN sum(output_tokens) END AS BIGINT) AS output_tokens FROM v GROUP BY violation"""),
-    "io_versioned": sql("req", """SELECT request_id,
+    "io_versioned": sql("req", """SELECT request_id, schema_version, CASE WHEN violation IS NULL THEN outcome END AS outcome,
+        CASE WHEN violation IS NULL THEN terminal_class END AS terminal_class, CASE WHEN violation IS NULL THEN dispatch_ns END AS dispatch_ns, violation FROM (
+        SELECT request_id,
         CASE WHEN user_id % 11 = 0 THEN NULL ELSE ['0.1.0', '0.2.0', '9.9.9'][blk % 3 + 1] END AS schema_version,
         CASE WHEN user_id % 11 <> 0 AND blk % 3 = 0 THEN outcome END AS outcome,
         CASE WHEN user_id % 11 <> 0 AND blk % 3 = 1 THEN terminal_class END AS terminal_class,
         CASE WHEN user_id % 11 <> 0 AND blk % 3 < 2 THEN dispatch_ns END AS dispatch_ns,
-        CASE WHEN user_id % 11 = 0 THEN 'MALFORMED_JSON' WHEN blk % 3 = 2 THEN 'UNKNOWN_VERSION' END AS violation FROM req"""),
+        CASE WHEN user_id % 11 = 0 THEN 'MALFORMED_JSON' WHEN blk % 3 = 2 THEN 'UNKNOWN_VERSION' WHEN user_id % 13 = 0 THEN 'UNKNOWN_FIELD'
+          WHEN user_id % 17 = 0 THEN 'WRONG_TYPE' WHEN user_id % 19 = 0 THEN 'REPEATED_FIELD' END AS violation FROM req)"""),
     "content_sha": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "content_identity": """SELECT o_orderkey, sha256('{"o_note":' || CASE WHEN o_orderkey % 2 = 0 THEN '"é"' ELSE 'null' END
           || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') || '","o_orderkey":' || o_orderkey

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from servescope.operators import telemetry as tm
 from servescope.operators.sliced import SlicedOrder
 from servescope.plans import tables as t
 from servescope.plans.oracle import sql
-from servescope.session import cut
+from servescope.session import cut, shared_folder
 from servescope.sources import logs as lg
 from servescope.sources import scrapes as sc
+from servescope.sources.lines import read_lines
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 DAY = 86_400_000_000_000
@@ -107,6 +110,21 @@ def log_offsets(s, d):
     return kept.select("source_stream_id", "record_ordinal", "byte_start", "byte_end", "raw_record_sha256")
 
 
+LOG_ROWS = 1000
+
+
+def log_files(s, d):
+    """A run's log as files of ``LOG_ROWS`` lines each, as a server rotates them, read by byte range."""
+    folder = f"{shared_folder(s)}/logs-{uuid.uuid4().hex}"
+    lines = log_lines(s, d).withColumn("part", F.expr(f"record_ordinal div {LOG_ROWS}"))
+    lines.repartition("source_stream_id", "part").sortWithinPartitions("source_stream_id", "part", "record_ordinal").select(
+        "source_stream_id", "part", "raw_record").write.partitionBy("source_stream_id", "part").text(folder)
+    return read_lines(s, folder).select(
+        F.regexp_extract("source_file", "source_stream_id=([^/]*)/", 1).alias("source_stream_id"),
+        F.regexp_extract("source_file", "part=([0-9]+)/", 1).cast("long").alias("part"),
+        "line_ordinal", "byte_start", "byte_end", "terminated", F.sha2("value", 256).alias("raw_record_sha256"))
+
+
 def log_byte_gaps(s, d):
     """Records after a run's lines lost every 50th record: the byte positions show the holes."""
     kept = cut(lg.retain_records(cut(log_lines(s, d))))
@@ -218,6 +236,7 @@ QUERIES = {
     "counter_deltas": counter_deltas,
     "window_deltas": window_deltas,
     "counter_progression": lambda s, d: tm.counter_progression(scrapes(s, d), _samples(s, d)),
+    "log_files": log_files,
     "log_offsets": log_offsets,
     "log_byte_gaps": log_byte_gaps,
     "log_correlation": log_correlation,
@@ -329,8 +348,13 @@ ORACLES = {
             labels AS label_set, day, value, value - lag(value) OVER (PARTITION BY slot, day // 10, metric, labels ORDER BY day) AS step FROM smp)
         SELECT process_start_id, metric, label_set, count(*) AS scrapes, coalesce(bool_and(step >= 0), true) AS progresses,
           coalesce(bool_and(step = 0), true) AS stable, arg_max(value, day) - arg_min(value, day) AS net_change FROM p GROUP BY ALL"""),
+    "log_files": log_files,
     "log_offsets": sql("req", f"""WITH {_LOG} SELECT source_stream_id, record_ordinal, byte_end - size AS byte_start, byte_end,
         raw_record_sha256 FROM lo"""),
+    "log_files": sql("req", f"""WITH {_LOG}, p AS (SELECT *, record_ordinal // {LOG_ROWS} AS part FROM lo),
+        f AS (SELECT *, min(byte_end - size) OVER (PARTITION BY source_stream_id, part) AS base FROM p)
+        SELECT source_stream_id, part, record_ordinal % {LOG_ROWS} AS line_ordinal, byte_end - size - base AS byte_start, byte_end - base AS byte_end,
+          true AS terminated, raw_record_sha256 FROM f"""),
     "log_byte_gaps": sql("req", f"""WITH {_LOG} SELECT source_stream_id, record_ordinal, 'NOT_CONTIGUOUS' AS violation FROM lo
         WHERE record_ordinal > 0 AND record_ordinal % 50 = 0"""),
     "log_correlation": sql("req", f"SELECT run_id, request_id AS external_id, {_STATUS} AS status, {_INTERNAL} AS internal_id FROM req"),

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The raw records every request keeps, and the three files a repetition keeps once.
 RAW_REQUEST_FIELDS = (
@@ -109,16 +110,25 @@ def bundle_state(states: DataFrame, manifests: DataFrame) -> DataFrame:
     )
 
 
-def write_evidence(tables: Mapping[str, DataFrame], manifest: DataFrame, folder: str) -> None:
-    """Data first, partitioned by run; the manifest rows are appended only when all of it is there."""
+def write_evidence(tables: Mapping[str, DataFrame], manifest: DataFrame, folder: str, commit: str = "0") -> None:
+    """Data first, partitioned by run and commit; the manifest rows follow only when all of it is there.
+
+    Partitions are overwritten, so the same commit written again, after a failure or not, leaves the same
+    rows. The manifest has one partition for each run and names the commit that counts; what another
+    commit of the run has left stays invisible.
+    """
+    def put(df: DataFrame, path: str, *by: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
     for name, df in tables.items():
-        df.write.mode("append").partitionBy("run_id").parquet(f"{folder}/{name}")
-    manifest.write.mode("append").parquet(f"{folder}/manifests")
+        put(df.withColumn("commit_id", F.lit(f"c{commit}")), f"{folder}/{name}", "run_id", "commit_id")
+    put(manifest.withColumn("commit_id", F.lit(f"c{commit}")), f"{folder}/manifests", "run_id")
 
 
 def read_committed(spark: SparkSession, folder: str, name: str, schema, manifest_schema) -> DataFrame:
     """Only runs with a manifest row exist for the reader; a half-written run stays invisible."""
-    data = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    committed = spark.read.schema(manifest_schema).parquet(f"{folder}/manifests").where(
-        "state = 'COMMITTED'").select("run_id").distinct()
-    return data.join(committed, "run_id", "left_semi")
+    commit = T.StructField("commit_id", T.StringType())
+    data = spark.read.schema(T.StructType([*schema.fields, commit])).parquet(f"{folder}/{name}")
+    manifests = spark.read.schema(T.StructType([*manifest_schema.fields, commit])).parquet(f"{folder}/manifests")
+    committed = manifests.where("state = 'COMMITTED'").select("run_id", "commit_id").distinct()
+    return data.join(committed, ["run_id", "commit_id"], "left_semi").select(*schema.fieldNames())

@@ -15,6 +15,7 @@ from servescope.operators import safety as sy
 from servescope.operators import telemetry as tm
 from servescope.sources import evidence as ev
 from servescope.sources import files as fl
+from servescope.sources import lines as ls
 from servescope.sources import logs as lg
 from servescope.sources import scrapes as sc
 
@@ -23,11 +24,68 @@ SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.St
 
 def test_json_lines_against_a_closed_schema(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a":1,"b":"x"}\n\n{"a":1\n{"a":1,"c":2}\n{"b":"y"}\n{"a":2,"b":"last"}')
-    rows = ev.read_run_evidence(spark, str(tmp_path / "x.jsonl"), SCHEMA, ("a",)).collect()
+    rows = ev.read_run_evidence(spark, str(tmp_path / "x.jsonl"), SCHEMA, ("a",)).orderBy("line_ordinal").collect()
     assert [r.violation for r in rows] == [None, "BLANK_LINE", "MALFORMED_JSON", "UNKNOWN_FIELD", "MISSING_FIELD", None]
     assert ev.unterminated_files(spark, str(tmp_path / "x.jsonl")).count() == 1
 
 
+def test_lines_by_byte_range_know_their_place(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        data = {"a": b"one\n\n\xff\xfe\r\n" + b"x" * 500 + b"\n" + b"y\n" * 200, "b": b"\n", "c": b"no end", "d": b"", "e": "é\nlast".encode()}
+        for name, content in data.items():
+            (tmp_path / name).write_bytes(content)
+        lines = ls.read_lines(spark, str(tmp_path)).collect()
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = set()
+    for name, content in data.items():
+        at = 0
+        for i, part in enumerate(content.split(b"\n")[: None if content[-1:] != b"\n" else -1]):
+            if content:
+                want.add((name, i, at, at + len(part), at + len(part) < len(content)))
+            at += len(part) + 1
+    assert {(r.source_file.rsplit("/", 1)[1], r.line_ordinal, r.byte_start, r.byte_end, r.terminated) for r in lines} == want
+    assert {r.source_file.rsplit("/", 1)[1] for r in ls.unterminated_files(spark, str(tmp_path)).collect()} == {"c", "e"}
+
+
+VERSIONED = {
+    '{"schema_version":"1","a":{"b":1},"l":[{"c":2}]}': None, '{"schema_version":"2","a":{"b":1}}': None, '{"schema_version":"1"}': None,
+    '{"schema_version":"1","a":{"b":1,"z":2}}': "UNKNOWN_FIELD", '{"schema_version":"1","l":[{"c":2},{"d":3}]}': "UNKNOWN_FIELD",
+    '{"schema_version":"2","l":[]}': "UNKNOWN_FIELD", '{"schema_version":"1","a":{"b":"x"}}': "WRONG_TYPE", '{"schema_version":"1","l":{"c":2}}': "WRONG_TYPE",
+    '{"schema_version":"1","a":{"b":1,"b":1}}': "REPEATED_FIELD", '{"schema_version":"1","l":[{"c":2,"c":2}]}': "REPEATED_FIELD",
+    '{"schema_version":"3"}': "UNKNOWN_VERSION", '{"a":{"b":1}}': "UNKNOWN_VERSION", '{"schema_version":"1"': "MALFORMED_JSON", "": "MALFORMED_JSON",
+}
+
+
+def test_versioned_documents_are_closed_at_any_depth(spark):
+    inner = T.StructType([T.StructField("b", T.LongType())])
+    items = T.ArrayType(T.StructType([T.StructField("c", T.LongType())]))
+    schemas = {"1": T.StructType([T.StructField("a", inner), T.StructField("l", items)]), "2": T.StructType([T.StructField("a", inner)])}
+    rows = ev.read_versioned(spark.createDataFrame([(x,) for x in VERSIONED], "content string").withColumn("text", F.col("content")), schemas).collect()
+    assert {r.text: r.violation for r in rows} == VERSIONED
+    assert [(r.a.b, r.l) for r in rows if r.violation is None and r.a] == [(1, [(2,)]), (1, None)]
+
+
+def test_a_commit_written_again_changes_nothing(spark, tmp_path):
+    data = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "run_id long, v string")
+    manifest = spark.createDataFrame([(1, "COMMITTED"), (2, "COMMITTED")], "run_id long, state string")
+
+    def seen():
+        return sorted(tuple(r) for r in fl.read_committed(spark, str(tmp_path), "t", data.schema, manifest.schema).collect())
+
+    for _ in range(2):
+        fl.write_evidence({"t": data}, manifest, str(tmp_path), "first")
+        assert seen() == [(1, "x"), (1, "y"), (2, "z")]
+    # a later commit of one run counts alone, and half of one does not count
+    fl.write_evidence({"t": data.where("v = 'y'")}, manifest.where("run_id = 1"), str(tmp_path), "second")
+    data.withColumn("commit_id", F.lit("cthird")).write.mode("append").partitionBy("run_id", "commit_id").parquet(f"{tmp_path}/t")
+    assert seen() == [(1, "y"), (2, "z")]
+
+
 def test_file_inventory_and_audit(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.txt").write_bytes(b"hello")
