@@ -60,6 +60,20 @@ def request_event_consistency(requests: DataFrame, events: DataFrame) -> DataFra
     return check_rules(requests.join(tally, ["run_id", "request_id"], "left"), REQUEST_EVENT_RULES)
 
 
+def prompt_agreement(declared: DataFrame, sent: DataFrame, key: str = "case_id") -> DataFrame:
+    """Token lists (``declared``, ``sent``) case by case, the cases of one side only included."""
+    both = declared.select(key, "declared").join(sent.select(key, "sent"), key, "full_outer")
+    status = (
+        F.when(F.col("sent").isNull(), "NOT_SENT")
+        .when(F.col("declared").isNull(), "NOT_DECLARED")
+        .when(F.col("declared") == F.col("sent"), "AGREES")
+        .otherwise("DIFFERS")
+    )
+    return both.select(
+        key, F.array_size("declared").cast("long").alias("declared_tokens"), F.array_size("sent").cast("long").alias("sent_tokens"),
+        (status == "AGREES").alias("agrees"), status.alias("status"))
+
+
 def case_agreement(left: DataFrame, right: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Case by case: only on one side, or the fields that differ. Agreeing cases are dropped."""
     a = left.select("case_id", F.struct(*fields).alias("l"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from servescope.operators import request_metrics as rm
 from servescope.operators.order_statistics import exact_percentiles
-from servescope.operators.timeline import concurrency_by_interval
+from servescope.operators.timeline import concurrency_by_interval, concurrency_by_sequence
 
 V1_METRICS = ("TTFT_NS", "END_TO_END_SUCCESS_NS", "TPOT_NS", "ITL_NS")
 V2_METRICS = (*V1_METRICS, "OBSERVED_TOKEN_SPAN_PER_INTERVAL_NS")
@@ -276,8 +276,13 @@ def run_summary_v2(
     requested_concurrency: int = 2,
     digits: int | None = 6,
     satisfied: Column | None = None,
+    lifecycle: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts, window, totals and goodput in one aggregate; percentiles and peak beside it."""
+    """Counts, window, totals and goodput in one aggregate; percentiles and peak beside it.
+
+    The peak follows the ordered start and end events of ``lifecycle`` (run_id, sequence, request_id,
+    kind), as version 2 has it; only without an event log it is taken from the requests' intervals.
+    """
     base = requests.groupBy("run_id").agg(
         *_counts_v2(), *_window(), *_tokens(),
         _good(F.col("slo_satisfied") if satisfied is None else satisfied),
@@ -292,7 +297,8 @@ def run_summary_v2(
             "OBSERVED_TOKEN_SPAN_PER_INTERVAL_NS": "token_span",
         },
     )
-    peak = concurrency_by_interval(requests).select("run_id", "max_concurrency")
+    peaks = concurrency_by_interval(requests) if lifecycle is None else concurrency_by_sequence(lifecycle)
+    peak = peaks.select("run_id", "max_concurrency")
     summary = (
         base.join(peak, "run_id", "left")
         .join(wide, "run_id", "left")

@@ -93,7 +93,8 @@ def _hit(text: Column, lowered: Column, rule: tuple[str, tuple[str, ...]]) -> Co
     possible = F.lit(False)
     for needle in needles:
         possible = possible | F.contains(lowered, F.lit(needle))
-    return possible & text.rlike(pattern)
+    # only a line feed ends a line
+    return possible & text.rlike(f"(?d){pattern}")
 
 
 def scan_secrets(

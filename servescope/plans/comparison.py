@@ -65,11 +65,11 @@ def _summaries(s, d):
     return rs.run_summary_v1(cut(t.requests(s, d, USER)))
 
 
-def _report(s, d, summaries):
+def _report(s, d, summaries, failures_invalidate=False):
     return cp.comparison_report(
         pairs(s, d), run_compatibility(s, d),
-        cp.sample_minimum(summaries, ("ttft", "end_to_end", "tpot"), 2, 1), summaries,
-        failures_invalidate=False)
+        cp.sample_minimum(summaries, cp.METRICS, 2, 1), summaries,
+        failures_invalidate=failures_invalidate)
 
 
 def sample_minimum(s, d):
@@ -80,6 +80,11 @@ def comparison_report(s, d):
     return _report(s, d, cut(_summaries(s, d)))
 
 
+def comparison_report_strict(s, d):
+    """A failure on either side is a mismatch and forbids the comparison."""
+    return _report(s, d, cut(_summaries(s, d)), failures_invalidate=True)
+
+
 def metric_deltas(s, d):
     summaries = cut(_summaries(s, d))
     return cp.metric_deltas(summaries, _report(s, d, summaries))
@@ -184,6 +189,7 @@ QUERIES = {
     "policy_mismatches": policy_mismatches,
     "sample_minimum": sample_minimum,
     "comparison_report": comparison_report,
+    "comparison_report_strict": comparison_report_strict,
     "metric_deltas": metric_deltas,
     "semantic_checks": semantic_checks,
     "restart_compare": restart_compare,
@@ -224,9 +230,9 @@ _SUMMARY1 = f"""{_SAMPLES1},
 
 _REPORT = f"""{_PAIRS}, {_MISM}, {_SUMMARY1},
     ok1 AS (SELECT run_id, successful >= 2 AND coalesce(ttft_count, 0) >= 1 AND coalesce(end_to_end_count, 0) >= 1
-      AND coalesce(tpot_count, 0) >= 1 AS ok FROM summ),
+      AND coalesce(tpot_count, 0) >= 1 AND coalesce(itl_count, 0) >= 1 AS ok, failed FROM summ),
     report AS (SELECT p.baseline, p.candidate, coalesce(m.n, 0) AS mismatches, a.ok AS baseline_samples_met,
-      b.ok AS candidate_samples_met, coalesce(m.bad, 0) = 0 AND a.ok AND b.ok AS compatible
+      b.ok AS candidate_samples_met, coalesce(m.bad, 0) = 0 AND a.ok AND b.ok AS compatible, a.failed + b.failed > 0 AS failing
       FROM pairs p JOIN ok1 a ON a.run_id = p.baseline JOIN ok1 b ON b.run_id = p.candidate
       LEFT JOIN (SELECT baseline, candidate, count(*) AS n, count(*) FILTER (WHERE NOT allowed) AS bad
         FROM mism GROUP BY ALL) m ON m.baseline = p.baseline AND m.candidate = p.candidate)"""
@@ -280,7 +286,9 @@ ORACLES = {
     "sample_minimum": by_user(sql("req tev", f"""WITH {_SUMMARY1}
         SELECT run_id, successful >= 3 AND coalesce(ttft_count, 0) >= 1 AND coalesce(end_to_end_count, 0) >= 1
           AND coalesce(tpot_count, 0) >= 1 AND coalesce(itl_count, 0) >= 1 AS sample_minimum_met FROM summ""")),
-    "comparison_report": by_user(sql("req tev", f"WITH {_REPORT} SELECT * FROM report")),
+    "comparison_report": by_user(sql("req tev", f"WITH {_REPORT} SELECT * EXCLUDE (failing) FROM report")),
+    "comparison_report_strict": by_user(sql("req tev", f"""WITH {_REPORT} SELECT baseline, candidate, mismatches + CASE WHEN failing THEN 1 ELSE 0 END AS mismatches,
+        baseline_samples_met, candidate_samples_met, compatible AND NOT failing AS compatible FROM report""")),
     "metric_deltas": by_user(sql("req tev", f"""WITH {_REPORT}, long AS ({_LONG})
         SELECT baseline, candidate, l.x.m AS metric, l.x.v AS baseline_value, r.x.v AS candidate_value,
           r.x.v - l.x.v AS absolute_delta, CASE WHEN l.x.v <> 0 THEN (r.x.v - l.x.v) / l.x.v END AS relative_delta

@@ -99,9 +99,7 @@ def prompt_agreement(s, d):
     words = "split(trim(text), ' ')"
     left = t.table(s, d, "benchmark").selectExpr("item_id AS case_id", f"{words} AS declared")
     right = measured.selectExpr("conv_id AS case_id", f"{words} AS sent")
-    return left.join(right, "case_id").selectExpr(
-        "case_id", "CAST(size(declared) AS BIGINT) AS declared_tokens",
-        "CAST(size(sent) AS BIGINT) AS sent_tokens", "declared = sent AS agrees")
+    return ig.prompt_agreement(left, right)
 
 
 def id_overlap(s, d):
@@ -243,11 +241,12 @@ ORACLES = {
                WHEN l.prompt_class <> r.prompt_class THEN 'prompt_class'
                WHEN l.expected <> r.expected THEN 'expected' END AS fields
         FROM l FULL OUTER JOIN r ON l.case_id = r.case_id) WHERE status IS NOT NULL""",
-    "prompt_agreement": """SELECT item_id AS case_id, len(string_split(trim(b.text), ' ')) AS declared_tokens,
+    "prompt_agreement": """SELECT case_id, declared_tokens, sent_tokens, coalesce(same, false) AS agrees, CASE WHEN sent_tokens IS NULL THEN 'NOT_SENT' WHEN declared_tokens IS NULL THEN 'NOT_DECLARED'
+          WHEN same THEN 'AGREES' ELSE 'DIFFERS' END AS status FROM (SELECT coalesce(item_id, conv_id) AS case_id, len(string_split(trim(b.text), ' ')) AS declared_tokens,
         len(string_split(trim(c.text), ' ')) AS sent_tokens,
-        string_split(trim(b.text), ' ') = string_split(trim(c.text), ' ') AS agrees
-        FROM benchmark b JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations
-          WHERE role = 'user' GROUP BY conv_id) c ON c.conv_id = item_id""",
+        string_split(trim(b.text), ' ') = string_split(trim(c.text), ' ') AS same
+        FROM benchmark b FULL JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations
+          WHERE role = 'user' GROUP BY conv_id) c ON c.conv_id = item_id)""",
     "id_overlap": sql("req", """WITH g AS (
           SELECT run_id, request_id, 'excluded' AS g FROM req WHERE phase = 'WARMUP'
           UNION ALL SELECT run_id, request_id, 'cancellation' FROM req WHERE terminal_class = 'CANCELLED'

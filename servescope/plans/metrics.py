@@ -112,7 +112,8 @@ def run_summary_v1(spark, sf):
 
 
 def run_summary_v2(spark, sf):
-    return rs.run_summary_v2(cut(t.requests(spark, sf)), digits=None)
+    log = cut(t.sequenced(t.stream_events(spark, sf)).select("run_id", "sequence", "request_id", "kind"))
+    return rs.run_summary_v2(cut(t.requests(spark, sf)), digits=None, lifecycle=log)
 
 
 def failure_rates(spark, sf):
@@ -235,11 +236,9 @@ _COUNTS2 = f"""count(*) {_M}) AS attempted,
 _WINDOW = f"(max(terminal_ns) {_M}) - min(dispatch_ns) {_M}))"
 _SEC = f"({_WINDOW} / 1e9)"
 
-_CONC = """conc AS (
-  SELECT run_id, CAST(max(active) AS BIGINT) AS max_concurrency FROM (
-    SELECT run_id, sum(d) OVER (PARTITION BY run_id ORDER BY at_ns, d ROWS UNBOUNDED PRECEDING) AS active
-    FROM (SELECT run_id, dispatch_ns AS at_ns, 1 AS d FROM req
-          UNION ALL SELECT run_id, terminal_ns, -1 FROM req)) GROUP BY run_id)"""
+_PEAK = """conc AS (SELECT run_id, CAST(max(a) AS BIGINT) AS max_concurrency FROM (
+    SELECT run_id, sum(CASE kind WHEN 'CLIENT_REQUEST_STARTED' THEN 1 WHEN 'CLIENT_REQUEST_ENDED' THEN -1 ELSE 0 END)
+      OVER (PARTITION BY run_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS a FROM seq) GROUP BY run_id)"""
 
 ORACLES = {
     "latency_percentiles": sql(
@@ -375,7 +374,7 @@ ORACLES = {
           count(*) {_M} AND outcome = 'TIMEOUT') / count(*) {_M}) AS timeout_rate
           FROM req GROUP BY run_id)
         SELECT * FROM base JOIN wide USING (run_id)"""),
-    "run_summary_v2": sql("req tev", f"""WITH {_SAMPLES2}, {_CONC},
+    "run_summary_v2": sql("req tev seq", f"""WITH {_SAMPLES2}, {_PEAK},
         wide AS (SELECT run_id, {_wide('END_TO_END_SUCCESS_NS', 'end_to_end')}, {_wide('TTFT_NS', 'ttft')},
           {_wide('TPOT_NS', 'tpot')}, {_wide('ITL_NS', 'itl')},
           {_wide('OBSERVED_TOKEN_SPAN_PER_INTERVAL_NS', 'token_span')} FROM dist GROUP BY run_id),

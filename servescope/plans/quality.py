@@ -195,7 +195,7 @@ def rules_evidence_kind(s, d):
 
 
 def rules_timing_v3(s, d):
-    return _report(_req(s, d).where("first_token_ns IS NOT NULL").selectExpr(*TIMING_V3), q.TIMING_V3, "request_id")
+    return _report(_req(s, d).selectExpr(*TIMING_V3), q.TIMING_V3, "request_id")
 
 
 def rules_request_v3(s, d):
@@ -563,7 +563,7 @@ ORACLES = {
         **q.RUN, "created-not-utc": "regexp_matches(created_at, '(Z|[+]00:00)$')"})),
     "rules_request_v2": sql("req be", rules_sql(_ARRAYS2, "request_id", _REQUEST_V2_DUCK)),
     "rules_evidence_kind": sql("sev", rules_sql(_from(EVENT, "sev"), "event_id, kind", q.EVIDENCE_EVENT)),
-    "rules_timing_v3": sql("req", rules_sql(_from(TIMING_V3, "req WHERE first_token_ns IS NOT NULL"), "request_id", q.TIMING_V3)),
+    "rules_timing_v3": sql("req", rules_sql(_from(TIMING_V3, "req"), "request_id", q.TIMING_V3)),
     "rules_request_v3": sql("be req", f"WITH {_V3} " + rules_sql("v3", "request_id", _REQUEST_V3_DUCK)),
     "rules_exchange": sql("req", rules_sql(_from([*EXCHANGE, *_exchange_arrays(_duck_names)], "req"), "exchange_id", _EXCHANGE_DUCK)),
     "rules_header": f"WITH {HEADERS_CTE} " + rules_sql("hd", "message_id, ordinal", _HEADER_DUCK),

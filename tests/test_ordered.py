@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from servescope.operators import integrity as ig
 from servescope.operators import timeline as tl
 from servescope.operators.sliced import SlicedOrder
 
@@ -88,3 +89,11 @@ def test_as_of_join_takes_the_right_row_at_equal_times(spark, hot_rows):
     right = spark.createDataFrame([("u", 2, "r1"), ("u", 5, "r2"), ("v", 10, "r3")], "k string, seen long, scrape string")
     got = {r.name: r.scrape for r in tl.as_of_join(left, right, "k", "at", "seen", hot_rows, 2).collect()}
     assert got == {"l0": None, "l1": "r2", "l2": None}
+
+
+def test_prompts_of_one_side_are_told(spark):
+    declared = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, []), (5, ["x"])], "case_id long, declared array<string>")
+    sent = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, []), (4, ["z", "y"])], "case_id long, sent array<string>")
+    got = {r.case_id: (r.status, r.declared_tokens, r.sent_tokens, r.agrees) for r in ig.prompt_agreement(declared, sent).collect()}
+    assert got == {1: ("AGREES", 2, 2, True), 2: ("DIFFERS", 1, 1, False), 3: ("AGREES", 0, 0, True),
+                   4: ("NOT_DECLARED", None, 2, False), 5: ("NOT_SENT", 1, None, False)}

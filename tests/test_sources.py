@@ -211,3 +211,9 @@ def test_unknown_policy_field_is_refused(spark):
     df = spark.createDataFrame([(1,)], "run_id long")
     with pytest.raises(ValueError):
         cp.struct_path(df, "run_id.x")
+
+
+def test_only_a_line_feed_starts_a_line(spark):
+    texts = ["x\napi_key = 1", "x\rapi_key = 1", "x api_key = 1", "x\u0085cookie: a", "x\ncookie: a"]
+    found = sy.scan_secrets(spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "path string, content string"))
+    assert sorted((r.path, r.rule) for r in found.collect()) == [("0", "credential-file-content"), ("4", "cookie-header")]
