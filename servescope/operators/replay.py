@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from servescope.functions.keys import request_key
 from servescope.session import cut
@@ -505,6 +506,67 @@ def semantic_fingerprint(
     )
 
 
+#: What of a request has to repeat, besides its body and protocol shape.
+REQUEST_FIELDS = (
+    "request_id", "case_id", "phase", "terminal_class", "failure_kind", "input_tokens", "output_tokens", "token_count_source",
+    "token_deltas", "per_token_complete", "slo_satisfied",
+)
+#: What of a run has to repeat: the identities of its inputs, its rates as counts, and its peak.
+RUN_FIELDS = (
+    "workload_sha256", "configuration_sha256", "fixture_sha256", "failed", "timed_out", "attempted", "max_concurrency", "batch_observed",
+)
+
+
+def run_fingerprint(
+    requests: DataFrame, chunks: DataFrame, events: DataFrame, runs: DataFrame,
+    request_fields: Sequence[str] = REQUEST_FIELDS, run_fields: Sequence[str] = RUN_FIELDS, digits: int = 4,
+) -> DataFrame:
+    """The semantic fingerprint of each run over everything that has to repeat.
+
+    ``requests``: run_id and the request fields; ``chunks``: run_id, request_id, ordinal, bytes, of which
+    only the whole body counts; ``events``: the stream events of ``protocol_shape``; ``runs``: run_id and the
+    run fields. A request without chunks has the hash of an empty body. Rates are compared as
+    counts, so no rounding decides.
+    """
+    key = ["run_id", "request_id"]
+    bodies = body_hash(chunks.select(*key, "ordinal", "bytes")).select(*key, F.coalesce("body_sha256", F.lit("unsound")).alias("body_sha256"))
+    whole = requests.join(bodies, key, "left").join(protocol_shape(events), key, "left").fillna(
+        {"body_sha256": hashlib.sha256(b"").hexdigest(), "protocol_shape": ""})
+    shown = [F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in run_fields]
+    facts = runs.select("run_id", F.concat_ws("/", *shown).alias("facts"))
+    return semantic_fingerprint(whole, facts, [*request_fields, "body_sha256", "protocol_shape"], digits)
+
+
+def flat_fields(schema: T.StructType, prefix: str = "") -> list[tuple[str, Column]]:
+    """Path and text of every scalar in a record: structs are followed to any depth, lists and maps are
+    written as JSON, so their elements and order count."""
+    out: list[tuple[str, Column]] = []
+    for field in schema.fields:
+        path = f"{prefix}{field.name}"
+        column = F.col(".".join(f"`{p}`" for p in path.split(".")))
+        if isinstance(field.dataType, T.StructType):
+            # a missing struct is told apart from one of nulls
+            out += [(f"{path}?", F.when(column.isNotNull(), F.lit("present"))), *flat_fields(field.dataType, f"{path}.")]
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            out.append((path, F.to_json(column)))
+        else:
+            out.append((path, column.cast("string")))
+    return out
+
+
+def record_drift(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Every scalar of two tables of records, whatever their nesting: ``key, field, rebuilt, stored`` where
+    they differ. A field that one schema lacks is null on that side, and so is a missing record."""
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        fields = [(p, c) for p, c in flat_fields(df.schema) if p not in key]
+        pairs = F.array(*[F.struct(F.lit(p).alias("field"), c.alias("v")) for p, c in fields])
+        return df.select(*key, F.explode(pairs).alias("x")).where("x.v IS NOT NULL").select(*key, "x.field", F.col("x.v").alias(name))
+
+    both = long(left, "rebuilt").join(long(right, "stored"), [*key, "field"], "full_outer")
+    return both.where(~F.col("rebuilt").eqNullSafe(F.col("stored")))
+
+
 def drift(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Field by field: what was rebuilt against what was stored; one side missing counts too."""
 

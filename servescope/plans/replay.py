@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from servescope.operators import replay as rp
 from servescope.operators import run_summary as rs
+from servescope.operators import timeline as tl
 from servescope.operators.sliced import SlicedOrder
 from servescope.plans import tables as t
-from servescope.plans.oracle import sql
+from servescope.plans.comparison import _SUMMARY1
+from servescope.plans.metrics import _PEAK
+from servescope.plans.oracle import by_user, sql
 from servescope.session import cut
 
 
@@ -109,26 +112,43 @@ def cancellation_replay(s, d):
     return rp.cancellation_replay(requests, chunks, rp.sse_frames(chunks)).drop("delivery_frame")
 
 
-def semantic_fingerprint(s, d):
-    shapes = rp.protocol_shape(t.sequenced(t.stream_events(s, d)))
-    requests = t.requests(s, d).drop("stream_events").join(shapes, ["run_id", "request_id"], "left").withColumn(
-        "failure_kind", F.expr("CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END"))
-    facts = rs.counts_v2(t.requests(s, d)).selectExpr("run_id", "concat_ws('/', failed, timed_out, attempted) AS facts")
-    return rp.semantic_fingerprint(requests, facts, FINGERPRINT)
-
+def event_chunks(s, d):
+    """The body of a request, one frame an event, in reads that end inside a frame."""
+    frames = t.block_events(s, d).where("pos > 0").selectExpr(
+        "run_id", "request_id", "pos", "concat('data: ', event_type, ' ', toks, '\n\n') AS body")
+    return frames.selectExpr("run_id", "request_id", "stack(2, 2 * pos, substring(body, 1, 8), 2 * pos + 1, substring(body, 9)) AS (ordinal, part)").selectExpr(
+        "run_id", "request_id", "ordinal", "encode(part, 'UTF-8') AS bytes")
 
-FINGERPRINT = ("request_id", "case_id", "phase", "terminal_class", "failure_kind", "input_tokens", "output_tokens",
-               "slo_satisfied", "protocol_shape")
 
-STORED = ("attempted", "successful", "failed", "timed_out", "cancelled", "warmup")
+def semantic_fingerprint(s, d):
+    events = cut(t.sequenced(t.stream_events(s, d)))
+    blocks = t.block_events(s, d).where("token_bearing").groupBy("run_id", "request_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "toks"))), lambda x: x["toks"].cast("string")), ",").alias("token_deltas"))
+    requests = cut(t.requests(s, d).drop("stream_events"))
+    told = requests.join(blocks, ["run_id", "request_id"], "left").selectExpr(
+        "*", "CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END AS failure_kind",
+        "CASE WHEN output_tokens > 0 THEN 'stream' ELSE 'none' END AS token_count_source", "max_event_tokens <= 1 AS per_token_complete")
+    peaks = tl.concurrency_by_sequence(events).select("run_id", "max_concurrency")
+    runs = rs.counts_v2(requests).join(peaks, "run_id").selectExpr(
+        "*", "sha2(concat('workload-', run_id % 2), 256) AS workload_sha256", "sha2('configuration', 256) AS configuration_sha256",
+        "sha2('fixture', 256) AS fixture_sha256", "false AS batch_observed")
+    return rp.run_fingerprint(told, event_chunks(s, d), events, runs)
 
 
 def summary_drift(s, d):
-    """Stored summaries of some users are off by one or missing."""
-    rebuilt = rs.counts_v2(t.requests(s, d, "user_id"))
+    """Whole version-1 summaries, rates and distributions included; of some users the stored one is off in
+    a count or a percentile, or missing."""
+    rebuilt = cut(rs.run_summary_v1(cut(t.requests(s, d, "user_id"))).selectExpr(
+        "run_id", "named_struct('attempted', attempted, 'successful', successful, 'failed', failed) AS counts",
+        "named_struct('goodput', goodput, 'failure_rate', failure_rate) AS rates",
+        "named_struct('ttft', named_struct('count', ttft_count, 'p50', ttft_p50, 'p95', ttft_p95), "
+        "'end_to_end', named_struct('count', end_to_end_count, 'p99', end_to_end_p99)) AS distributions"))
     stored = rebuilt.where("run_id % 13 <> 5").withColumn(
-        "failed", F.expr("failed + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END"))
-    return rp.drift(rebuilt, stored, ["run_id"], STORED)
+        "counts", F.col("counts").withField("failed", F.expr("counts.failed + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END"))).withColumn(
+        "distributions", F.expr("CASE WHEN run_id % 11 = 0 THEN named_struct('ttft', named_struct('count', distributions.ttft.count, "
+                                "'p50', distributions.ttft.p50 + 0.5D, 'p95', distributions.ttft.p95), 'end_to_end', distributions.end_to_end) ELSE distributions END"))
+    number = "CASE WHEN {0} = 'present' THEN 1D ELSE CAST({0} AS DOUBLE) END AS {0}"
+    return rp.record_drift(rebuilt, stored, ["run_id"]).selectExpr("run_id", "field", number.format("rebuilt"), number.format("stored"))
 
 
 def derived_drift(s, d):
@@ -183,7 +203,18 @@ _SHAPE = """shp AS (SELECT run_id, request_id,
       string_agg(kind || ':' || coalesce(CAST(token_delta_count AS VARCHAR), '-'), ',' ORDER BY sequence) AS protocol_shape
     FROM seq WHERE kind IN ('SSE_COMMENT', 'SSE_TOKEN_EVENT', 'SSE_DONE') GROUP BY ALL)"""
 
-_SHOWN = ", ".join(f"'{f}=' || coalesce(CAST({f} AS VARCHAR), 'null')" for f in sorted(FINGERPRINT))
+_SHOWN = ", ".join(f"'{f}=' || coalesce(CAST({f} AS VARCHAR), 'null')" for f in sorted([*rp.REQUEST_FIELDS, "body_sha256", "protocol_shape"]))
+
+_DRIFT = ", ".join(f"{{'f': '{f}', 'r': CAST({r} AS DOUBLE), 's': CAST(CASE WHEN run_id % 13 <> 5 THEN {x} END AS DOUBLE)}}" for f, r, x in (
+    *[(f"{p}?", "1", "1") for p in ("counts", "rates", "distributions", "distributions.ttft", "distributions.end_to_end")],
+    ("counts.attempted", "attempted", "attempted"), ("counts.successful", "successful", "successful"),
+    ("counts.failed", "failed", "failed + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END"),
+    ("rates.goodput", "goodput", "goodput"), ("rates.failure_rate", "failure_rate", "failure_rate"),
+    ("distributions.ttft.count", "coalesce(ttft_count, 0)", "coalesce(ttft_count, 0)"),
+    ("distributions.ttft.p50", "ttft_p50", "ttft_p50 + CASE WHEN run_id % 11 = 0 THEN 0.5 ELSE 0 END"),
+    ("distributions.ttft.p95", "ttft_p95", "ttft_p95"),
+    ("distributions.end_to_end.count", "coalesce(end_to_end_count, 0)", "coalesce(end_to_end_count, 0)"),
+    ("distributions.end_to_end.p99", "end_to_end_p99", "end_to_end_p99")))
 
 ORACLES = {
     "chunk_integrity": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'NOT_BASE64'
@@ -203,15 +234,20 @@ ORACLES = {
           FROM tn GROUP BY conv_id)
         SELECT conv_id AS request_id, strlen(body) AS body_bytes, sha256(body) AS body_sha256 FROM bd""",
     "protocol_shape": sql("seq", f"WITH {_SHAPE} SELECT * FROM shp"),
-    "semantic_fingerprint": sql("req seq", f"""WITH {_SHAPE}, q AS (SELECT req.*, protocol_shape,
-            CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END AS failure_kind
-          FROM req LEFT JOIN shp ON shp.request_id = req.request_id),
+    "semantic_fingerprint": sql("req seq", f"""WITH {_SHAPE}, bod AS (SELECT request_id,
+            sha256(string_agg('data: ' || event_type || ' ' || toks || chr(10) || chr(10), '' ORDER BY pos)) AS sha FROM be WHERE pos > 0 GROUP BY request_id),
+        dl AS (SELECT request_id, string_agg(CAST(toks AS VARCHAR), ',' ORDER BY pos) AS token_deltas FROM be WHERE token_bearing GROUP BY request_id),
+        q AS (SELECT req.*, coalesce(protocol_shape, '') AS protocol_shape, token_deltas, coalesce(sha, sha256('')) AS body_sha256,
+            CASE WHEN terminal_class <> 'SUCCESS' THEN terminal_class END AS failure_kind,
+            CASE WHEN output_tokens > 0 THEN 'stream' ELSE 'none' END AS token_count_source, max_event_tokens <= 1 AS per_token_complete
+          FROM req LEFT JOIN shp ON shp.request_id = req.request_id LEFT JOIN bod ON bod.request_id = req.request_id
+          LEFT JOIN dl ON dl.request_id = req.request_id),
         h AS (SELECT run_id, sha256(concat_ws('|', {_SHOWN})) AS h FROM q),
         l AS (SELECT run_id, h[1:4] AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh FROM h GROUP BY ALL),
-        r AS (SELECT run_id, sha256(string_agg(bh, '' ORDER BY b)) AS root FROM l GROUP BY run_id),
-        f AS (SELECT run_id, concat_ws('/', count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'FAILED'),
-            count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'TIMEOUT'),
-            count(*) FILTER (WHERE phase = 'MEASURED')) AS facts FROM req GROUP BY run_id)
+        r AS (SELECT run_id, sha256(string_agg(bh, '' ORDER BY b)) AS root FROM l GROUP BY run_id), {_PEAK},
+        f AS (SELECT req.run_id, concat_ws('/', sha256('workload-' || (req.run_id % 2)), sha256('configuration'), sha256('fixture'),
+            count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'FAILED'), count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'TIMEOUT'),
+            count(*) FILTER (WHERE phase = 'MEASURED'), max(max_concurrency), 'false') AS facts FROM req JOIN conc ON conc.run_id = req.run_id GROUP BY req.run_id)
         SELECT r.run_id, sha256(root || '|' || facts) AS semantic_fingerprint FROM r JOIN f ON f.run_id = r.run_id"""),
     "completion_replay": sql("req be", """WITH x AS (SELECT request_id, string_agg(event_type, '' ORDER BY pos) AS txt FROM be
           WHERE pos > 0 GROUP BY request_id)
@@ -247,16 +283,8 @@ ORACLES = {
           CAST(CASE WHEN NOT whole AND ahead THEN 20 ELSE 0 END AS BIGINT) AS pending_bytes,
           CASE WHEN NOT whole AND ahead THEN 'INCOMPLETE_TRAILING_SSE_BYTES' ELSE 'AT_SSE_FRAME_BOUNDARY' END AS state_at_close
         FROM z"""),
-    "summary_drift": sql("req", """WITH c AS (SELECT user_id AS run_id, unnest([
-          {'f': 'attempted', 'v': count(*) FILTER (WHERE phase = 'MEASURED')},
-          {'f': 'successful', 'v': count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'SUCCESS')},
-          {'f': 'failed', 'v': count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'FAILED')},
-          {'f': 'timed_out', 'v': count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'TIMEOUT')},
-          {'f': 'cancelled', 'v': count(*) FILTER (WHERE phase = 'MEASURED' AND terminal_class = 'CANCELLED')},
-          {'f': 'warmup', 'v': count(*) FILTER (WHERE phase = 'WARMUP')}]) AS x FROM req GROUP BY user_id)
-        SELECT run_id, x.f AS field, CAST(x.v AS VARCHAR) AS rebuilt,
-          CASE WHEN run_id % 13 <> 5 THEN CAST(x.v + 1 AS VARCHAR) END AS stored FROM c
-        WHERE run_id % 13 = 5 OR (run_id % 7 = 0 AND x.f = 'failed')"""),
+    "summary_drift": by_user(sql("req tev", f"""WITH {_SUMMARY1}, long AS (SELECT run_id, unnest([{_DRIFT}]) AS x FROM summ)
+        SELECT run_id, x.f AS field, x.r AS rebuilt, x.s AS stored FROM long WHERE x.r IS DISTINCT FROM x.s""")),
     "derived_drift": f"""WITH {_FR} SELECT 'derived/' || request_id || '.txt' AS path, 'content' AS field,
           concat_ws(' ', status, data_frames, comment_frames, done_frames) AS rebuilt,
           CASE WHEN request_id % 14 <> 3 THEN concat_ws(' ', status, data_frames, comment_frames, done_frames) || '!' END AS stored

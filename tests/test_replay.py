@@ -106,3 +106,33 @@ def test_chunk_integrity(spark):
     df = spark.createDataFrame(rows, "raw_bytes_base64 string, raw_byte_count long, raw_bytes_sha256 string")
     got = [r.integrity for r in rp.decode_chunks(df).collect()]
     assert got == [None, "NOT_BASE64", "SIZE_DIFFERS", "HASH_DIFFERS", "NOT_CANONICAL", "NOT_BASE64"]
+
+
+def fingerprint(spark, body=(b"data: a\n", b"\ndata: [DONE]\n\n"), shape=2, klass="SUCCESS", failed=0, peak=2, source="w", at=0):
+    request = [("r", i, "case", "MEASURED", klass, None, 3, 2, "stream", "1,1", True, True) for i in ("a", "b")]
+    requests = spark.createDataFrame(request, "run_id string, request_id string, case_id string, phase string, terminal_class string, failure_kind string, "
+                                     "input_tokens long, output_tokens long, token_count_source string, token_deltas string, per_token_complete boolean, slo_satisfied boolean")
+    pieces = spark.createDataFrame([("r", "a", o, o + at, bytearray(c)) for o, c in enumerate(body)],
+                                   "run_id string, request_id string, ordinal long, observation_offset_ns long, bytes binary")
+    events = spark.createDataFrame([("r", "a", k, "SSE_TOKEN_EVENT", 1, at + k) for k in range(shape)],
+                                   "run_id string, request_id string, sequence long, kind string, token_delta_count long, off_ns long")
+    runs = spark.createDataFrame([("r", source, "c", "f", failed, 0, 2, peak, False)], "run_id string, workload_sha256 string, configuration_sha256 string, "
+                                 "fixture_sha256 string, failed long, timed_out long, attempted long, max_concurrency long, batch_observed boolean")
+    return rp.run_fingerprint(requests, pieces, events, runs).first().semantic_fingerprint
+
+
+def test_fingerprint_repeats_under_other_chunks_and_clocks_only(spark):
+    same = fingerprint(spark)
+    assert fingerprint(spark, body=(b"data: a\n\nda", b"ta: [DONE]", b"\n\n"), at=500) == same
+    changed = [{"body": (b"data: b\n", b"\ndata: [DONE]\n\n")}, {"shape": 3}, {"klass": "FAILED"}, {"failed": 1}, {"peak": 3}, {"source": "v"}]
+    assert len({same, *[fingerprint(spark, **c) for c in changed]}) == len(changed) + 1
+
+
+def test_record_drift_names_every_differing_scalar(spark):
+    schema = "k int, a struct<b: double, c: struct<d: long, e: string>>, l array<int>, extra string"
+    left = spark.createDataFrame([(1, (1.5, (2, "x")), [1, 2], None), (2, (None, None), [], "p"), (3, None, None, None), (5, (1.0, (1, "y")), [3], "q")], schema)
+    right = spark.createDataFrame([(1, (1.5, (3, "x")), [2, 1], None), (2, (None, (None, None)), [], "p"), (3, None, None, None), (4, None, [7], None)], schema)
+    got = {(r.k, r.field): (r.rebuilt, r.stored) for r in rp.record_drift(left, right, ["k"]).collect()}
+    assert got == {(1, "a.c.d"): ("2", "3"), (1, "l"): ("[1,2]", "[2,1]"), (2, "a.c?"): (None, "present"), (4, "l"): (None, "[7]"),
+                   (5, "a?"): ("present", None), (5, "a.b"): ("1.0", None), (5, "a.c?"): ("present", None), (5, "a.c.d"): ("1", None),
+                   (5, "a.c.e"): ("y", None), (5, "l"): ("[3]", None), (5, "extra"): ("q", None)}
