@@ -8,9 +8,11 @@ over sources ordered by ``size / weight``.
 Blocks: the documents of a source are shuffled by a hash, laid end to end and cut into blocks of equal
 numbers of words, ``BLOCK`` at most. Slots: the i-th slot is the i-th point of the golden-ratio sequence,
 mapped through the cumulative shares of slots to a source, and the slots of a source are ranked. The
-r-th slot of a source takes its block r modulo the number of its blocks. A source whose slots fall
-short by the discrepancy gets the missing ones at the end, one that has too many drops its last, and its
-last block is cut at the target, so each source takes its target rounded to a word. No block is taken
+r-th slot of a source takes its block r modulo the number of its blocks, so the schedule decides which
+words stand where in the mix, and every stretch of it is near the targets. A source whose slots fall
+short by the discrepancy gets the missing ones at the end (slots of the same number, ordered by source and
+rank), one that has too many drops its last, and its last block is cut at the target, so each source takes
+its target rounded to a word. No block is taken
 more than twice, so no document is.
 
 Running sums within a source are cut into ranges of the hash, and those over slots into ranges of the
@@ -18,7 +20,8 @@ index, so a source with a third of all rows is spread over tasks. Windows over a
 per range; those over sources one row per source. All of it is DataFrame work.
 
 Null or wordless texts have size 0 and take 0. Null sources are one source, the last. Rows with a null or
-repeated id are documents of their own. Other columns are ignored. An empty table gives an empty result.
+repeated id are documents of their own; those of equal id and size are laid in any order. Texts of any
+length are counted whole. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,8 +62,8 @@ def source_targets(sizes: DataFrame, percent: int = 150) -> DataFrame:
         "source", "source_size", F.expr("CAST(coalesce(least(2 * source_size, w * found.level), 0) AS DOUBLE)").alias("target"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` per row of ``docs(doc_id, text, source)``."""
+def _laid_out(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document with its place (``start``, ``end`` in words) in its source, and the targets."""
     sizes = cut(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.expr(r"CAST(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) AS BIGINT)").alias("size")).withColumn(
@@ -69,9 +72,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         "words", F.expr("CAST(round(target) AS BIGINT)")).withColumn(
         "slots", F.expr("CASE WHEN source_size = 0 THEN 0L ELSE CAST(ceil(words * blocks / source_size) AS BIGINT) END")).withColumn(
         "key", F.expr("coalesce(source, '')")).withColumn("none", F.col("source").isNull()))
-    taken = block_takes(targets)
 
-    # where each document lies in its source
     on = ["key", "none", "range"]
     placed = sizes.select("*", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"),
                           F.expr(f"CAST(pmod(shiftright(h, 40), {RANGES}) AS INT)").alias("range"))
@@ -81,17 +82,38 @@ def mixed(docs: DataFrame) -> DataFrame:
     laid = placed.withColumn("upto", F.sum("size").over(inside)).join(ranges, on).join(
         targets.select("key", "none", "source_size", "target", "blocks"), ["key", "none"]).withColumn(
         "end", F.expr("base + upto")).withColumn("start", F.expr("end - size")).withColumn("row", F.monotonically_increasing_id())
-    laid = cut(laid)
+    return cut(laid), targets
+
+
+def _parts(laid: DataFrame, targets: DataFrame) -> DataFrame:
+    """``slot, rank, block, row, doc_id, source, start, end``: the words of each document in each slot."""
     # block b of n covers the words from floor(b L / n) to floor((b + 1) L / n)
     first = "CAST(floor(((start + 1) * CAST(blocks AS DECIMAL(20, 0)) - 1) / source_size) AS BIGINT)"
     last = "CAST(floor((end * CAST(blocks AS DECIMAL(20, 0)) - 1) / source_size) AS BIGINT)"
-    pieces = laid.where("size > 0").select("row", "key", "none", "start", "end", F.expr(f"explode(sequence({first}, {last}))").alias("block"))
-    own = pieces.join(taken, ["key", "none", "block"]).select("row", F.expr(
-        "times * greatest(0L, least(end, block_end) - greatest(start, block_start))"
-        " + greatest(0L, least(end, block_start + part) - greatest(start, block_start))").alias("take"))
-    sums = own.groupBy("row").agg(F.sum("take").alias("taken"))
+    pieces = laid.where("size > 0").select(
+        "row", "doc_id", "source", "key", "none", "start", "end", F.expr(f"explode(sequence({first}, {last}))").alias("block"))
+    return pieces.join(slot_blocks(targets), ["key", "none", "block"]).select(
+        "slot", "rank", "block", "row", "doc_id", "source", F.expr("greatest(start, block_start) - start").alias("from"),
+        F.expr("least(end, block_start + taken) - start").alias("to")).where("to > from").selectExpr(
+        "slot", "rank", "block", "row", "doc_id", "source", "from AS start", "to AS end")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The mix itself, ``slot, rank, block, source, doc_id, start, end``: slots in the order of the schedule,
+    each with one block of its source, as the words from ``start`` to ``end`` of documents."""
+    return _parts(*_laid_out(docs)).select("slot", "rank", "block", "source", "doc_id", "start", "end")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, slots`` per row of ``docs(doc_id, text, source)``;
+    ``slots`` lists where the document's words stand in the mix, at most twice each."""
+    laid, targets = _laid_out(docs)
+    sums = _parts(laid, targets).groupBy("row").agg(
+        F.sum(F.expr("end - start")).alias("taken"), F.sort_array(F.collect_list(F.struct("slot", "rank", "start", "end"))).alias("slots"))
+    nowhere = F.array().cast("array<struct<slot:bigint,rank:bigint,start:bigint,end:bigint>>")
     return laid.join(sums, "row", "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        F.coalesce("slots", nowhere).alias("slots"))
 
 
 def schedule(targets: DataFrame) -> DataFrame:
@@ -122,15 +144,15 @@ def schedule(targets: DataFrame) -> DataFrame:
         "slot", "key", "none", "rank").unionByName(short)
 
 
-def block_takes(targets: DataFrame) -> DataFrame:
-    """Per block of a source how often it is taken whole, and how many words the cut last slot takes."""
+def slot_blocks(targets: DataFrame) -> DataFrame:
+    """``slot, key, none, rank, block, block_start, taken``: the block of each slot, and its words from the
+    start; the slot in which a source reaches its target takes only what is left."""
     edges = lambda b: f"CAST(floor({b} * CAST(source_size AS DECIMAL(20, 0)) / blocks) AS BIGINT)"
     slots = schedule(targets.select("key", "none", "slots")).join(
-        targets.select("key", "none", "blocks", "source_size", "words", "slots"), ["key", "none"]).select(
-        "key", "none", "source_size", "blocks", F.expr("rank % blocks").alias("block"),
-        # words of all slots before this one, and of this one as far as the target goes
-        F.expr(f"words - ((rank div blocks) * source_size + {edges('(rank % blocks)')})").alias("left"))
+        targets.select("key", "none", "blocks", "source_size", "words"), ["key", "none"]).withColumn("block", F.expr("rank % blocks"))
     framed = slots.withColumn("block_start", F.expr(edges("block"))).withColumn("block_end", F.expr(edges("(block + 1)")))
-    whole = F.expr("left >= block_end - block_start")
-    return framed.groupBy("key", "none", "block", "block_start", "block_end").agg(
-        F.count_if(whole).alias("times"), F.sum(F.when(whole, 0).otherwise(F.greatest(F.col("left"), F.lit(0)))).cast("long").alias("part"))
+    # the words of all slots of the source before this one are known from its rank
+    left = "words - ((rank div blocks) * source_size + block_start)"
+    return framed.select(
+        "slot", "key", "none", "rank", "block", "block_start",
+        F.expr(f"greatest(0L, least({left}, block_end - block_start))").alias("taken"))

@@ -6,12 +6,12 @@ import random
 import re
 import textwrap
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
-from servescope.llm import licenses, quality_rules, secrets, urls
+from servescope.llm import licenses, mixing, quality_rules, secrets, urls
 
 
 # --- urls --------------------------------------------------------------------------------------
@@ -148,6 +148,38 @@ def test_short_references_stand_on_their_own_line(spark):
     assert got == {1: "mit_title", 2: "mit_ref", 3: "", 4: ""}
 
 
+# --- the mix -----------------------------------------------------------------------------------
+
+def mix_table(spark):
+    texts = [(i, " ".join(["w"] * (17 + 31 * i % 400)), ("a", "b", "c", None)[i % 4], 1) for i in range(240)]
+    texts += [(7, "w " * 90_000, "a", 1), (None, "w w", "b", 1), (None, "w w", "b", 1), (9, None, "c", 1), (10, "", "d", 1)]
+    return spark.createDataFrame(texts, "doc_id long, text string, source string, slot int")
+
+
+def test_mix_follows_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    table = mix_table(spark)
+    parts = mixing.mix(table).orderBy("slot", "source", "rank").collect()
+    docs = mixing.mixed(table).collect()
+    # what the slots hold is what the documents say
+    taken = Counter()
+    for r in parts:
+        taken[r.source] += r.end - r.start
+    target = {r.source: r.target for r in docs}
+    assert sum(r.taken for r in docs) == sum(taken.values()) and all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert Counter((s.slot, s.start, s.end, r.doc_id) for r in docs for s in r.slots) == Counter((r.slot, r.start, r.end, r.doc_id) for r in parts)
+    assert all(0 <= r.start < r.end for r in parts)
+    # every stretch of the mix is near the targets
+    total, seen, so_far = sum(taken.values()), Counter(), 0
+    for r in parts:
+        seen[r.source] += r.end - r.start
+        so_far += r.end - r.start
+        assert all(abs(seen[s] - so_far * taken[s] / total) <= 64 * 8 for s in taken)
+    # other points are another mix
+    monkeypatch.setattr(mixing, "_GOLDEN", 1)
+    assert {(r.slot, r.doc_id, r.start) for r in mixing.mix(table).collect()} != {(r.slot, r.doc_id, r.start) for r in parts}
+
+
 # --- secrets -----------------------------------------------------------------------------------
 
 def test_the_rest_of_a_secret_stays(spark):
