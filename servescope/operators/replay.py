@@ -182,16 +182,8 @@ def sse_pieces(
     return frames.where("NOT over").select(*out).unionByName(joined.select(*out))
 
 
-def sse_frames(
-    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, limit: int | None = None,
-    size: int = SEGMENT_BYTES,
-) -> DataFrame:
-    """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``.
-
-    A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data.
-    """
-    key = key or request_key(chunks)
-    pieces = sse_pieces(chunks, key, width, size).where("raw_frame <> ''")
+def _shaped(pieces: DataFrame) -> DataFrame:
+    """Frames with their lines read: ``kind``, ``data`` and ``error``."""
     raw_bytes = F.encode("raw_frame", "ISO-8859-1")
     utf8 = F.try_validate_utf8(raw_bytes.cast("string"))
     read = pieces.withColumn("text", utf8).withColumn("lines", F.split("text", "\n"))
@@ -221,10 +213,26 @@ def sse_frames(
         .when(F.col("data") == DONE, "done")
         .otherwise("data")
     )
-    framed = shaped.withColumn("kind", kind).withColumn(
+    return shaped.withColumn("kind", kind).withColumn(
         "error", F.when(F.col("frame_end").isNotNull(), error)
     )
-    first_done = framed.where("kind = 'done'").groupBy(*key).agg(F.min("frame_index").alias("__done"))
+
+
+def sse_frames(
+    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, limit: int | None = None,
+    size: int = SEGMENT_BYTES,
+) -> DataFrame:
+    """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``.
+
+    A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data.
+    """
+    key = key or request_key(chunks)
+    pieces = sse_pieces(chunks, key, width, size).where("raw_frame <> ''")
+    framed = _shaped(pieces)
+    # only frames that hold the marker can be the end, so few are read twice
+    marked = _shaped(pieces.where(F.contains("raw_frame", F.lit(DONE))))
+    first_done = marked.where("kind = 'done'").groupBy(*key).agg(F.min("frame_index").alias("__done"))
+    raw_bytes = F.encode("raw_frame", "ISO-8859-1")
     late = (
         F.when((F.col("kind") == "done") & (F.col("frame_index") > F.col("__done")), "DUPLICATE_DONE")
         .when((F.col("kind") == "data") & (F.col("frame_index") > F.col("__done")), "DATA_AFTER_DONE")

@@ -89,19 +89,19 @@ def chunk_integrity(s, d):
 
 
 def sse_frames(s, d):
-    return rp.sse_frames(cut(conversation_chunks(s, d))).select(
+    return rp.sse_frames(conversation_chunks(s, d)).select(
         "request_id", "frame_index", "kind", "data", "completing_chunk", "error")
 
 
 def stream_status(s, d):
-    return rp.stream_status(rp.sse_frames(cut(conversation_chunks(s, d))))
+    return rp.stream_status(rp.sse_frames(conversation_chunks(s, d)))
 
 
 def completion_replay(s, d):
     requests = t.requests(s, d).selectExpr(
         "run_id", "request_id", "array(n) AS sent_prompt", "output_tokens AS expected_output_tokens",
         "terminal_ns + 3000 AS transport_terminal_ns")
-    return rp.completion_replay(requests, rp.sse_frames(cut(completion_chunks(s, d))))
+    return rp.completion_replay(requests, rp.sse_frames(completion_chunks(s, d)))
 
 
 def cancellation_replay(s, d):
@@ -153,7 +153,7 @@ def summary_drift(s, d):
 
 def derived_drift(s, d):
     """The derived record of each body, as stored text, against the one rebuilt from its bytes."""
-    rebuilt = rp.stream_status(rp.sse_frames(cut(conversation_chunks(s, d)))).selectExpr(
+    rebuilt = cut(rp.stream_status(rp.sse_frames(conversation_chunks(s, d)))).selectExpr(
         "concat('derived/', request_id, '.txt') AS path", "request_id",
         "concat_ws(' ', status, data_frames, comment_frames, done_frames) AS content")
     stored = rebuilt.where("request_id % 14 <> 3").withColumn(
