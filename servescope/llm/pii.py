@@ -21,6 +21,7 @@ from servescope.llm.spans import matches, sql_text
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.6
 NEAR = 40
+PIECE = 1024
 _DIGITS = "regexp_replace({m}.found, '[^0-9]', '')"
 
 
@@ -70,12 +71,19 @@ KINDS = {
 }
 
 
+def _cut(start: str, length: str) -> str:
+    """Characters of the text from ``start``, from the two pieces that hold them: a place in a long text is
+    found by walking to it."""
+    at = f"CAST(({start}) div {PIECE} AS INT)"
+    two = f"concat(coalesce(get(pieces, {at}), ''), coalesce(get(pieces, {at} + 1), ''))"
+    return f"substring({two}, CAST(({start}) % {PIECE} AS INT) + 1, CAST({length} AS INT))"
+
+
 def pii_spans(text: str) -> str:
     """``array<struct<kind, rank, start, end, score>>`` of a text column, ordered by start, then kind."""
     parts = []
     for rank, (kind, (pattern, guard, valid, score, words)) in enumerate(KINDS.items()):
-        around = (f"concat(substring(t, greatest(m.start - {NEAR}, 0) + 1, least(m.start, {NEAR})), ' ', "
-                  f"substring(t, m.end + 1, {NEAR}))")
+        around = f"concat({_cut(f'greatest(m.start - {NEAR}, 0)', f'least(m.start, {NEAR})')}, ' ', {_cut('m.end', str(NEAR))})"
         scored = f"CAST({score} AS DOUBLE) + CASE WHEN lower({around}) RLIKE {sql_text(words)} THEN 0.3D ELSE 0D END"
         parts.append(
             f"transform(filter({matches('t', pattern, guard.replace('{t}', 't'))}, m -> {valid.replace('{m}', 'm')}), "
@@ -83,9 +91,10 @@ def pii_spans(text: str) -> str:
     base = f"filter(a, s -> s.rank < {len(BASE)})"
     clear = "NOT exists(b, x -> x.start < s.end AND s.start < x.end)"
     kept = f"filter(a, s -> s.rank < {len(BASE)} OR (s.score >= {LEAST} AND {clear}))"
-    return (f"transform(array(coalesce(CAST({text} AS STRING), '')), t -> transform(array(concat({', '.join(parts)})), a -> "
+    pieces = f"regexp_extract_all(t, '(?s).{{1,{PIECE}}}', 0)"
+    return (f"transform(array(coalesce(CAST({text} AS STRING), '')), t -> transform(array({pieces}), pieces -> transform(array(concat({', '.join(parts)})), a -> "
             f"transform(array({base}), b -> transform(array_sort({kept}), "
-            "s -> struct(s.kind AS kind, s.rank AS rank, s.start AS start, s.end AS end, s.score AS score)))[0])[0])[0]")
+            "s -> struct(s.kind AS kind, s.rank AS rank, s.start AS start, s.end AS end, s.score AS score)))[0])[0])[0])[0]")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

@@ -21,16 +21,16 @@ def running(values: str) -> str:
     """Running sums before each element of an array of bigint, with the total as the last element.
 
     Runs of 256 are summed one by one and then shifted by what lies before them, so that a text with
-    a million matches costs no quadratic copying.
+    a million matches costs no quadratic copying. ``values`` is bound once, not evaluated for each run.
     """
     part = "aggregate({a}, struct({zero} AS s, array({zero}) AS o), (p, x) -> struct(p.s + x AS s, array_append(p.o, p.s + x) AS o)).o"
-    runs = f"transform(sequence(0, greatest(size({values}) - 1, 0) div {_RUN}), c -> slice({values}, c * {_RUN} + 1, {_RUN}))"
+    runs = f"transform(sequence(0, greatest(size(vals) - 1, 0) div {_RUN}), c -> slice(vals, c * {_RUN} + 1, {_RUN}))"
     inner = f"transform({runs}, r -> {part.format(a='r', zero='0L')})"
     return (
-        f"transform(array({inner}), i -> "
+        f"transform(array({values}), vals -> transform(array({inner}), i -> "
         f"transform(array({part.format(a='transform(i, r -> element_at(r, -1))', zero='0L')}), b -> "
         "concat(flatten(zip_with(slice(i, 1, size(i)), slice(b, 1, size(i)), "
-        "(r, before) -> transform(slice(r, 1, size(r) - 1), x -> x + before))), array(element_at(b, -1))))[0])[0]"
+        "(r, before) -> transform(slice(r, 1, size(r) - 1), x -> x + before))), array(element_at(b, -1))))[0])[0])[0]"
     )
 
 
