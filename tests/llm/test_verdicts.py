@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from servescope.llm import licenses, mixing, quality_rules, secrets, urls
+from servescope.llm import licenses, mixing, pii, quality_rules, secrets, urls
 
 
 # --- urls --------------------------------------------------------------------------------------
@@ -219,3 +219,12 @@ def test_clashing_columns_come_through_every_stage(spark, tmp_path):
             assert r.text in [x[1] for x in rows], name
         assert sum(r.doc_id is None for r in got.collect()) == 2, name
     assert quality_rules.good_documents(docs).count() == 4
+
+
+def test_many_addresses_in_one_text(spark):
+    text = " ".join(f"user{i}@mail{i}.example.org é" for i in range(20_000)) + " my ssn 123-45-6789 is far in"
+    start = time.perf_counter()
+    spans = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert len(spans) == 20_001 and time.perf_counter() - start < 60
+    assert all(text[s.start : s.end] == f"user{i}@mail{i}.example.org" for i, s in enumerate(spans[:-1]))
+    assert spans[-1].kind == "ssn" and text[spans[-1].start : spans[-1].end] == "123-45-6789"
