@@ -36,9 +36,13 @@ def _starts(s, d):
     return t.stream_events(s, d).where("kind = 'CLIENT_REQUEST_STARTED'").selectExpr("run_id", "request_id", SEEN)
 
 
+def _groups(s, d):
+    return jobs.groups_for(t.table(s, d, "events").count())
+
+
 def stream_duplicates(s, d):
     """Every start of a request; some requests start twice."""
-    told = jobs.duplicate_report(jobs.as_stream(_starts(s, d), by="request_id", closing="seen_at"))
+    told = jobs.duplicate_report(jobs.as_stream(_starts(s, d), by="request_id", closing="seen_at"), groups=_groups(s, d))
     return jobs.run_to_table(told).selectExpr("run_id", "request_id", "status", "unix_micros(seen_at) AS seen_us", "copy")
 
 
@@ -63,7 +67,8 @@ def stream_lifecycle(s, d):
     again = events.where(f"{user} % 47 = 0 AND kind = 'REQUEST_TERMINAL'").selectExpr(
         "run_id", "request_id", "'SSE_TOKEN_EVENT' AS kind", "2 AS kind_rank", "off_ns + 1000000 AS off_ns", "1L AS token_delta_count",
         "CAST(NULL AS STRING) AS terminal_class")
-    told = jobs.stream_requests(jobs.as_stream(events.unionByName(again).selectExpr("*", SEEN), by="request_id", closing="seen_at"))
+    rows = events.unionByName(again).selectExpr("*", SEEN)
+    told = jobs.stream_requests(jobs.as_stream(rows, by="request_id", closing="seen_at"), groups=_groups(s, d))
     return jobs.run_to_table(told)
 
 

@@ -128,36 +128,82 @@ def dedup_requests(arrivals: DataFrame, key: Sequence[str] | None = None, at: st
     return watermarked(arrivals, at, delay).dropDuplicatesWithinWatermark([*(key or request_key(arrivals))])
 
 
-COPIES = "status string, seen_at timestamp, copy long"
+#: Groups of requests unless the caller knows the rate; the state of a group is a row.
+GROUPS = 1024
+GROUP_ROWS = 8192
+
+
+def groups_for(rows: int) -> int:
+    """Groups for a bounded stream of so many rows, about ``GROUP_ROWS`` each."""
+    return max(32, -(-rows // GROUP_ROWS))
+
+
+def _grouped(rows: DataFrame, delay: str, groups: int, *columns: str) -> DataFrame:
+    """Rows with their request as one text, dealt to ``groups`` by its hash.
+
+    A state function is called once for each group that has news, not once for each request: a call costs
+    milliseconds whatever it holds. The group's state keeps a deadline for each of its requests.
+    """
+    dealt = watermarked(rows, "seen_at", delay).withColumn("request", F.to_json(F.struct(*request_key(rows))))
+    return dealt.selectExpr(f"pmod(xxhash64(request), {groups}) AS dealt", "request", *columns, "seen_at")
+
+
+def _named(told: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The request's columns again, as the rows had them."""
+    types = dict(rows.dtypes)
+    key = F.from_json("request", ", ".join(f"{k} {types[k]}" for k in request_key(rows))).alias("request")
+    return told.select(key, *columns).selectExpr(*[f"request.{k}" for k in request_key(rows)], *columns)
+
+
+def _arrived(batches: Iterator[pd.DataFrame], state: GroupState, columns: Sequence[str]) -> list[tuple]:
+    """The rows of a call in order; none if the deadline has come."""
+    if state.hasTimedOut:
+        return []
+    return sorted(row for b in batches for row in zip(*[b[c].tolist() for c in columns]))
+
+
+def _open(state: GroupState) -> dict[str, list]:
+    """What is kept of each request, its deadline first."""
+    return {request: kept for request, *kept in zip(*state.get)} if state.exists else {}
+
+
+def _expired(kept: dict[str, list], state: GroupState) -> list[tuple[str, list]]:
+    """Take out the requests whose deadline the watermark has passed, and store the others."""
+    now = state.getCurrentWatermarkMs()
+    gone = [(request, kept.pop(request)) for request in [r for r, values in kept.items() if values[0] < now]]
+    if kept:
+        state.update(tuple(list(column) for column in zip(*[(request, *values) for request, values in kept.items()])))
+        state.setTimeoutTimestamp(max(min(values[0] for values in kept.values()), now + 1))
+    elif state.exists:
+        state.remove()
+    return gone
+
+
+COPIES = "request string, status string, seen_us long, copy long"
+COPIES_STATE = "request array<string>, due_ms array<long>, arrived array<long>"
 
 
 def _report_copies(wait_ms: int):
     def report(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Every arrival of an id, numbered in the order of arrival."""
-        columns = [*REQUEST_KEY[-len(key):], "status", "seen_at", "copy"]
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get[0] if state.exists else 0
-        arrived = sorted(at for b in batches for at in b["seen_at"].tolist())
-        yield pd.DataFrame([(*key, "FIRST" if before + i == 0 else "DUPLICATE", at, before + i) for i, at in enumerate(arrived)], columns=columns)
-        state.update((before + len(arrived),))
-        state.setTimeoutTimestamp(max(int(arrived[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + wait_ms)
+        kept, now, rows = _open(state), state.getCurrentWatermarkMs(), []
+        for request, at in _arrived(batches, state, ["request", "seen_us"]):
+            values = kept.setdefault(request, [0, 0])
+            rows.append((request, "DUPLICATE" if values[1] else "FIRST", at, values[1]))
+            values[:] = max(values[0], max(at // 1000, now) + wait_ms), values[1] + 1
+        _expired(kept, state)
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COPIES.split(", ")])
 
     return report
 
 
-def duplicate_report(arrivals: DataFrame, delay: str = "1 hour", wait_ms: int = 3_600_000) -> DataFrame:
+def duplicate_report(arrivals: DataFrame, delay: str = "1 hour", wait_ms: int = 3_600_000, groups: int = GROUPS) -> DataFrame:
     """FIRST and DUPLICATE rows for every arrival of a run and id; an id is forgotten once the watermark
     is ``wait_ms`` past its last copy. Columns of ``arrivals``: run_id, request_id, seen_at."""
-    key = request_key(arrivals)
-    return (
-        watermarked(arrivals, "seen_at", delay)
-        .groupBy(*key)
-        .applyInPandasWithState(
-            _report_copies(wait_ms), _with_key(arrivals, COPIES), "arrived long", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    told = _grouped(arrivals, delay, groups, "unix_micros(seen_at) AS seen_us").groupBy("dealt").applyInPandasWithState(
+        _report_copies(wait_ms), COPIES, COPIES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _named(told.withColumn("seen_at", F.timestamp_micros("seen_us")), arrivals, "status", "seen_at", "copy")
 
 
 def activity_spans(events: DataFrame, key: str, at: str = "seen_at", gap: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
@@ -256,7 +302,9 @@ def stream_frames(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 LIFECYCLE = ("status string, dispatch_ns long, first_token_ns long, last_token_ns long, "
              "terminal_ns long, output_tokens long, terminal_class string, late_events long")
-LIFECYCLE_STATE = "dispatch_ns long, first_token_ns long, last_token_ns long, output_tokens long, closed boolean"
+LIFECYCLE_STATE = ("request array<string>, due_ms array<long>, dispatch_ns array<long>, first_token_ns array<long>, "
+                   "last_token_ns array<long>, output_tokens array<long>, closed array<boolean>")
+REQUEST_WAIT_MS = 3_600_000
 
 
 def assemble_requests(
@@ -264,53 +312,39 @@ def assemble_requests(
 ) -> Iterator[pd.DataFrame]:
     """Events to one closed record at the terminal; a request without one closes at the timeout;
     events after the close are counted in a LATE row."""
-    columns = [*REQUEST_KEY[-len(key):], *[c.split()[0] for c in LIFECYCLE.split(", ")]]
-    dispatch, first, last, tokens, closed = state.get if state.exists else (None, None, None, 0, False)
-    if state.hasTimedOut:
-        state.remove()
-        if not closed:
-            yield pd.DataFrame(
-                [(*key, "TIMEOUT", dispatch, first, last, None, tokens, "TIMEOUT", 0)], columns=columns
-            )
-        return
-    arrived = sorted(
-        (off, rank, kind, tokens_of, cls, seen)
-        for b in batches
-        for off, rank, kind, tokens_of, cls, seen in zip(
-            b["off_ns"].tolist(), b["kind_rank"].tolist(), b["kind"].tolist(),
-            b["token_delta_count"].fillna(0).tolist(), b["terminal_class"].fillna("").tolist(), b["seen_at"].tolist(),
-        )
-    )
-    latest = int(max(a[5] for a in arrived).timestamp() * 1000)
-    late, rows = 0, []
-    for off, _, kind, tokens_of, cls, _ in arrived:
+    kept, now, rows, late = _open(state), state.getCurrentWatermarkMs(), [], {}
+    columns = ["request", "off_ns", "kind_rank", "kind", "token_delta_count", "terminal_class", "seen_ms"]
+    for request, off, _, kind, tokens, cls, seen in _arrived(batches, state, columns):
+        values = kept.setdefault(request, [0, None, None, None, 0, False])
+        due, dispatch, first, last, total, closed = values
+        due = max(due, max(seen, now) + REQUEST_WAIT_MS)
         if closed:
-            late += 0 if kind == "CLIENT_REQUEST_ENDED" else 1
+            if kind != "CLIENT_REQUEST_ENDED":
+                late[request] = late.get(request, 0) + 1
         elif kind == "CLIENT_REQUEST_STARTED" and dispatch is None:
             dispatch = off
         elif kind == "SSE_TOKEN_EVENT":
-            first, last = off if first is None else first, off
-            tokens += int(tokens_of)
+            first, last, total = off if first is None else first, off, total + tokens
         elif kind == "REQUEST_TERMINAL":
             closed = True
-            rows.append((*key, "CLOSED", dispatch, first, last, off, tokens, cls, 0))
-    if late:
-        rows.append((*key, "LATE", None, None, None, None, None, None, late))
-    state.update((dispatch, first, last, tokens, closed))
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)
-    yield pd.DataFrame(rows, columns=columns, dtype="object")
+            rows.append((request, "CLOSED", dispatch, first, last, off, total, cls, 0))
+        values[:] = due, dispatch, first, last, total, closed
+    rows += [(request, "LATE", None, None, None, None, None, None, n) for request, n in late.items()]
+    for request, (_, dispatch, first, last, total, closed) in _expired(kept, state):
+        if not closed:
+            rows.append((request, "TIMEOUT", dispatch, first, last, None, total, "TIMEOUT", 0))
+    if rows:
+        yield pd.DataFrame(rows, columns=["request", *[c.split()[0] for c in LIFECYCLE.split(", ")]], dtype="object")
 
 
-def stream_requests(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_requests(events: DataFrame, delay: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """``events``: run_id, request_id, kind, kind_rank, off_ns, token_delta_count, terminal_class, seen_at."""
-    key = request_key(events)
-    return (
-        watermarked(events, "seen_at", delay)
-        .groupBy(*key)
-        .applyInPandasWithState(
-            assemble_requests, _with_key(events, LIFECYCLE), LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    told = _grouped(
+        events, delay, groups, "kind", "kind_rank", "off_ns", "coalesce(CAST(token_delta_count AS BIGINT), 0L) AS token_delta_count",
+        "coalesce(terminal_class, '') AS terminal_class", "unix_millis(seen_at) AS seen_ms",
+    ).groupBy("dealt").applyInPandasWithState(
+        assemble_requests, f"request string, {LIFECYCLE}", LIFECYCLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _named(told, events, *[c.split()[0] for c in LIFECYCLE.split(", ")])
 
 
 DELTAS = ("slot long, metric string, label_set string, scrape_offset_ns long, status string, delta double")

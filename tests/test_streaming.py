@@ -105,3 +105,29 @@ def test_duplicates_inside_the_watermark_are_dropped(spark):
     assert jobs.run_to_table(jobs.dedup_requests(jobs.as_stream(df, 1))).count() == 2
     two = df.withColumn("run_id", F.lit(1)).union(df.withColumn("run_id", F.lit(2)))
     assert jobs.run_to_table(jobs.dedup_requests(jobs.as_stream(two, 1))).count() == 4
+
+
+def test_state_rows_are_groups_of_requests(spark, tmp_path):
+    df = at(spark.range(300).selectExpr("id div 3 AS run_id", "concat('r\"', id % 3) AS request_id", "id AS us"))
+    events = df.selectExpr("*", "'CLIENT_REQUEST_STARTED' AS kind", "0 AS kind_rank", "1L AS off_ns", "1L AS token_delta_count", "'' AS terminal_class")
+    for name, told in (("copies", jobs.duplicate_report(jobs.as_stream(df, 1), groups=4)),
+                       ("requests", jobs.stream_requests(jobs.as_stream(events, 1), groups=4))):
+        query = told.writeStream.format("parquet").option("path", str(tmp_path / name)).option(
+            "checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 4
+    got = spark.read.parquet(str(tmp_path / "copies"))
+    assert sorted(got.select("run_id", "request_id").collect()) == sorted(df.select("run_id", "request_id").collect())
+
+
+def test_requests_of_one_group_keep_their_own_deadlines(spark, tmp_path):
+    hour = 3_600_000_000
+    # a trigger each; a and b are forgotten at the third, while c of the same group goes on
+    triggers = [[("a", 0), ("b", 0), ("c", hour), ("b", hour // 2)], [("d", 4 * hour)], [("c", 4 * hour)], [("a", 5 * hour), ("c", 5 * hour)]]
+    for rows in triggers:
+        df = at(spark.createDataFrame(rows, "request_id string, us long")).withColumn("run_id", F.lit(1))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arrivals = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+    told = jobs.run_to_table(jobs.duplicate_report(arrivals, groups=1)).collect()
+    assert sorted((r.request_id, r["copy"]) for r in told) == [
+        ("a", 0), ("a", 0), ("b", 0), ("b", 1), ("c", 0), ("c", 1), ("c", 2), ("d", 0)]
