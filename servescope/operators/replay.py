@@ -13,7 +13,10 @@ Bytes are handled as ISO-8859-1 text, one character per byte, and decoded as UTF
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +31,11 @@ SEGMENT = 1024
 SEGMENT_BYTES = 1 << 20
 #: More parts than a span of chunks can have.
 PARTS = 1 << 30
+#: What a task sorts at a time, and what a row of it takes besides its text. Tables of fewer tasks than
+#: ``OWN_TASKS`` are left to the session's partitions.
+TASK_BYTES = 1 << 26
+ROW_BYTES = 250
+OWN_TASKS = 16
 # Fixed value: the end-of-stream marker.
 DONE = "[DONE]"
 
@@ -47,13 +55,23 @@ def decode_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("bytes", F.when(alphabet, raw)).withColumn("integrity", reason)
 
 
-def _segments(chunks: DataFrame, key: Sequence[str], width: int, size: int) -> DataFrame:
+def tasks_for(rows: int, size: int = 0) -> int:
+    """Tasks among which so many rows of so many bytes in all are sorted, so that none of them grows with the table."""
+    return math.ceil((ROW_BYTES * rows + size) / TASK_BYTES)
+
+
+def _dealt(df: DataFrame, tasks: int, *by: str) -> DataFrame:
+    return df if tasks < OWN_TASKS else df.repartition(tasks, *by)
+
+
+def _segments(chunks: DataFrame, key: Sequence[str], width: int, size: int, tasks: int = 0) -> DataFrame:
     text = F.decode("bytes", "ISO-8859-1")
-    rows = (
+    spans = (
         chunks.where(F.octet_length("bytes") > 0)
-        .select(*key, "ordinal", "observation_offset_ns", text.alias("t"))
+        .select(*key, "ordinal", "observation_offset_ns", "bytes")
         .withColumn("span", F.floor(F.col("ordinal") / width))
     )
+    rows = _dealt(spans, tasks, *key, "span").withColumn("bytes", text).withColumnRenamed("bytes", "t")
     upto = (Window.unboundedPreceding, Window.currentRow)
     in_span = Window.partitionBy(*key, "span").orderBy("ordinal")
     # the bytes before a chunk decide its part of the span, so a part exceeds ``size`` by one chunk at most
@@ -122,11 +140,10 @@ def _carried(segments: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def _stitched(chunks: DataFrame, key: Sequence[str], width: int, size: int) -> DataFrame:
-    segments = cut(_segments(chunks, key, width, size))
+def _stitched(segments: DataFrame, key: Sequence[str], tasks: int) -> DataFrame:
     whole = """concat(CASE WHEN takes = 1 THEN '\\n' ELSE '' END, CASE WHEN stray THEN '\\r' ELSE '' END, r)"""
     return (
-        segments.select(*key, "seg", "r", "ends")
+        _dealt(segments.select(*key, "seg", "r", "ends"), tasks, *key, "seg")
         .join(_carried(segments, key), [*key, "seg"])
         .withColumn("x", F.expr(whole))
         .withColumn("x", F.expr("CASE WHEN leaves = 1 THEN substring(x, 1, length(x) - 1) ELSE x END"))
@@ -134,21 +151,25 @@ def _stitched(chunks: DataFrame, key: Sequence[str], width: int, size: int) -> D
 
 
 def sse_pieces(
-    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, size: int = SEGMENT_BYTES
+    chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, size: int = SEGMENT_BYTES, tasks: int = 0
 ) -> DataFrame:
     """All frames of all bodies, the unfinished tail included (``closed`` false).
 
     The frames of a segment and the ends of its chunks become rows first; running sums place the frames,
     and the chunk that completes a frame is the last chunk end seen on the way back to the frame's end.
-    Only frames that reach over a segment's border are put together by a group.
+    Only frames that reach over a segment's border are put together by a group. The tasks follow the size of
+    the segments; those that fold the segments follow ``tasks``, as the chunks have not been counted yet.
     """
     key = key or request_key(chunks)
+    segments = cut(_segments(chunks, key, width, size, tasks))
+    tasks = tasks_for(*segments.select(
+        F.coalesce(F.sum(F.size("ends") + F.col("n0") + 1), F.lit(0)), F.coalesce(F.sum("len"), F.lit(0))).first())
     items = """concat(
         transform(split(x, '\n\n'), (p, i) -> named_struct('chunk', false, 'i', CAST(i AS BIGINT), 'piece', p,
             'size', CAST(length(p) + 2 AS BIGINT), 'ordinal', CAST(NULL AS BIGINT), 'at', CAST(NULL AS BIGINT))),
         transform(ends, c -> named_struct('chunk', true, 'i', c.e + takes + CAST(stray AS INT), 'piece', CAST(NULL AS STRING),
             'size', 0L, 'ordinal', CAST(c.ordinal AS BIGINT), 'at', CAST(c.at AS BIGINT))))"""
-    rows = _stitched(chunks, key, width, size).select(
+    rows = _stitched(segments, key, tasks).select(
         *key, "seg", "frames_before", "x_before", "earlier", "later",
         F.expr(items).alias("items"), F.size(F.split("x", "\n\n")).alias("k"))
     # the segment's text and arrays stay behind; a row carries its own frame only
@@ -179,7 +200,7 @@ def sse_pieces(
         F.max("observation_offset_ns").alias("observation_offset_ns"),
         F.max("frame_end").alias("frame_end"),
     )
-    return frames.where("NOT over").select(*out).unionByName(joined.select(*out))
+    return _dealt(frames.where("NOT over").select(*out).unionByName(joined.select(*out)), tasks, *key)
 
 
 def _shaped(pieces: DataFrame) -> DataFrame:
@@ -220,14 +241,14 @@ def _shaped(pieces: DataFrame) -> DataFrame:
 
 def sse_frames(
     chunks: DataFrame, key: Sequence[str] | None = None, width: int = SEGMENT, limit: int | None = None,
-    size: int = SEGMENT_BYTES,
+    size: int = SEGMENT_BYTES, tasks: int = 0,
 ) -> DataFrame:
     """Frames with kind, data and error; empty frames are skipped, the open tail is ``kind='tail'``.
 
-    A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data.
+    A frame of more than ``limit`` bytes is flagged ``over_limit`` and keeps its data. ``tasks``: see ``sse_pieces``.
     """
     key = key or request_key(chunks)
-    pieces = sse_pieces(chunks, key, width, size).where("raw_frame <> ''")
+    pieces = sse_pieces(chunks, key, width, size, tasks).where("raw_frame <> ''")
     framed = _shaped(pieces)
     # only frames that hold the marker can be the end, so few are read twice
     marked = _shaped(pieces.where(F.contains("raw_frame", F.lit(DONE))))
@@ -392,28 +413,38 @@ def completion_replay(requests: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFrame) -> DataFrame:
+def cancellation_replay(requests: DataFrame, chunks: DataFrame, frames: DataFrame, tasks: int = 0) -> DataFrame:
     """Up to the client's close: the first generation delivery, the closing read, what was pending.
 
     ``requests``: run_id, request_id, close_ns. Chunks observed after the close are not the client's.
+    ``tasks``: among how many the chunks are sorted, see ``sse_pieces``.
     """
     key = request_key(requests)
-    seen = chunks.join(requests.select(*key, "close_ns"), key).where("observation_offset_ns <= close_ns")
-    last = seen.groupBy(*key).agg(
+    # the bytes stay behind, only their number is sorted; one join each for chunks and frames, as every side of
+    # a join is sorted in memory of its own
+    slim = _dealt(chunks.select(*key, "ordinal", "observation_offset_ns", F.octet_length("bytes").alias("n_bytes")), tasks, *key)
+
+    def joined_left(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+        named = right.withColumnsRenamed({k: f"__{k}" for k in key})
+        same = reduce(and_, [F.col(k) == F.col(f"__{k}") for k in key])
+        return left.join(named, same & condition, "left")
+
+    last = joined_left(requests.select(*key, "close_ns"), slim, F.col("observation_offset_ns") <= F.col("close_ns")).groupBy(*key).agg(
         F.max("ordinal").alias("last_chunk"),
-        F.sum(F.octet_length("bytes")).alias("received_bytes"),
+        F.sum("n_bytes").alias("received_bytes"),
     )
-    within = completion_events(frames).join(last, key).where(F.col("completing_chunk") <= F.col("last_chunk"))
+    within = joined_left(last, completion_events(frames), F.col("completing_chunk") <= F.col("last_chunk"))
     bearing = (F.col("event") == "GENERATION") & (F.size("token_ids") > 0)
     first = F.struct("frame_index", "completing_chunk", "observation_offset_ns", F.size("token_ids").alias("tokens"))
-    folded = within.groupBy(*key).agg(
+    joined = within.groupBy(*key).agg(
+        F.max("last_chunk").alias("last_chunk"),
+        F.max("received_bytes").alias("received_bytes"),
         F.min(F.when(bearing, first)).alias("d"),
         F.count_if(F.col("event") == "USAGE").alias("usages"),
         F.count_if(F.col("event") == "DONE").alias("dones"),
         F.count_if(F.col("finish_reason").isNotNull()).alias("terminals"),
         F.max("frame_end").alias("last_end"),
     )
-    joined = requests.select(*key, "close_ns").join(last, key, "left").join(folded, key, "left")
     pending = F.coalesce("received_bytes", F.lit(0)) - F.coalesce("last_end", F.lit(0))
     status = (
         F.when(F.col("d").isNull(), "NO_GENERATION_DELIVERED")

@@ -97,19 +97,25 @@ def stream_status(s, d):
     return rp.stream_status(rp.sse_frames(conversation_chunks(s, d)))
 
 
+def _completion_tasks(s, d):
+    """An event is about one frame of two chunks of some hundred bytes."""
+    n = t.table(s, d, "events").count()
+    return rp.tasks_for(3 * n, 300 * n)
+
+
 def completion_replay(s, d):
     requests = t.requests(s, d).selectExpr(
         "run_id", "request_id", "array(n) AS sent_prompt", "output_tokens AS expected_output_tokens",
         "terminal_ns + 3000 AS transport_terminal_ns")
-    return rp.completion_replay(requests, rp.sse_frames(completion_chunks(s, d)))
+    return rp.completion_replay(requests, rp.sse_frames(completion_chunks(s, d), tasks=_completion_tasks(s, d)))
 
 
 def cancellation_replay(s, d):
     requests = t.requests(s, d).selectExpr(
         "run_id", "request_id", """CASE WHEN user_id % 3 = 2 THEN terminal_ns + 5000 WHEN first_token_ns IS NULL THEN terminal_ns - 600
             WHEN token_events >= 2 AND user_id % 5 = 1 THEN last_token_ns - 500 ELSE first_token_ns END AS close_ns""")
-    chunks = cut(completion_chunks(s, d))
-    return rp.cancellation_replay(requests, chunks, rp.sse_frames(chunks)).drop("delivery_frame")
+    chunks, tasks = cut(completion_chunks(s, d)), _completion_tasks(s, d)
+    return rp.cancellation_replay(requests, chunks, rp.sse_frames(chunks, tasks=tasks), tasks).drop("delivery_frame")
 
 
 def event_chunks(s, d):

@@ -136,3 +136,22 @@ def test_record_drift_names_every_differing_scalar(spark):
     assert got == {(1, "a.c.d"): ("2", "3"), (1, "l"): ("[1,2]", "[2,1]"), (2, "a.c?"): (None, "present"), (4, "l"): (None, "[7]"),
                    (5, "a?"): ("present", None), (5, "a.b"): ("1.0", None), (5, "a.c?"): ("present", None), (5, "a.c.d"): ("1", None),
                    (5, "a.c.e"): ("y", None), (5, "l"): ("[3]", None), (5, "extra"): ("q", None)}
+
+
+def test_sorted_bytes_of_a_task_do_not_grow_with_the_table(spark, monkeypatch):
+    rows = chunks(spark, [[b"data: a\r\n\r", b"\n: c\n\ndata: b\n\n"], [b"data: [DONE]\n\ndata: late\n\n"], [b"data: open"]] * 20)
+    want = rp.sse_frames(rows).collect()
+    monkeypatch.setattr(rp, "TASK_BYTES", 1000)
+    pieces = rp.sse_pieces(rows)
+    assert rp.tasks_for(120) == 30 <= pieces.rdd.getNumPartitions()
+    key = lambda r: (r.request_id, r.frame_index)
+    assert sorted(rp.sse_frames(rows, tasks=20).collect(), key=key) == sorted(want, key=key)
+
+
+def test_cancellation_of_requests_without_chunks_or_frames(spark):
+    rows = chunks(spark, [[b'data: {"id":"x","choices":[{"index":0,"token_ids":[1]}]}\n\n', b"data: cut"], [b"dat", b"a: x"]])
+    requests = spark.createDataFrame([(0, 10**9), (1, 10**9), (7, 10**9)], "request_id long, close_ns long")
+    got = {r.request_id: r for r in rp.cancellation_replay(requests, rows, rp.sse_frames(rows), tasks=16).collect()}
+    assert [(got[i].status, got[i].pending_bytes) for i in (0, 1, 7)] == [
+        ("READ_AFTER_FIRST_DELIVERY", 9), ("NO_GENERATION_DELIVERED", 7), ("NO_GENERATION_DELIVERED", 0)]
+    assert got[0].delivered_tokens == 1 and got[7].state_at_close == "AT_SSE_FRAME_BOUNDARY"
