@@ -30,12 +30,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group; of several rows of that id, the
     first by text. Rows with a null id stay."""
-    dropped = near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    dropped = cut(near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("id")).distinct())
     rows = docs.select(F.col("doc_id").alias("id"), _row(docs))
-    rest = rows.where("id IS NOT NULL").join(dropped, "id", "left_anti")
-    # the join has dealt the rows by id already; rows without an id are not numbered, they would be one group
-    first = rest.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("row.text"))).where("n = 1")
-    return first.select("row").union(rows.where("id IS NULL").select("row")).select(*_columns(docs))
+    ids = docs.select(F.col("doc_id").alias("id")).where("id IS NOT NULL")
+    repeated = cut(ids.groupBy("id").count().where("count > 1").select("id").join(dropped, "id", "left_anti"))
+    # only the texts of repeated ids are dealt by id; the lists of ids are stored, so their size is known
+    alone = rows.join(dropped.union(repeated), "id", "left_anti")
+    several = rows.join(repeated, "id", "left_semi")
+    first = several.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("row.text"))).where("n = 1")
+    return alone.select("row").union(first.select("row")).select(*_columns(docs))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,9 +283,10 @@ def _across(forest: DataFrame, docs: DataFrame, per_mille: int) -> DataFrame:
     placed = rows.join(by_label.select("region", "label", "large", "own"), ["region", "label"]).join(parts, on).withColumn(
         "block", F.expr("CAST(pmod(xxhash64(doc), parts) AS INT)"))
     work = placed.join(sides, [*on, "block"]).select("unit", "side", "tree", "doc", "label")
-    near = forest.join(rows.select("doc").distinct(), "doc")
+    # stored, so that its size is known before the texts are dealt
+    near = cut(forest.join(rows.select("doc").distinct(), "doc").select("doc", "digest", "mins"))
     sets = docs.join(near.selectExpr("doc AS doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "digest binary, shingles binary")
-    held = cut(near.select("doc", "digest", "mins").join(sets.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").drop("digest"))
+    held = cut(near.join(sets.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").drop("digest"))
     dealt = work.join(held, "doc").repartition("unit").sortWithinPartitions("unit", "side", "doc")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

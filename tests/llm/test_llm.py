@@ -265,3 +265,9 @@ def test_leaks_in_rows_without_id(spark):
     table = spark.createDataFrame([(None, item), (None, "clean words of our own"), (1, item), (2, "clean words of our own")], "doc_id long, text string")
     rows = corpus_pipeline.without_leaks(spark, table, FOLDER).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter([(None, "clean words of our own"), (2, "clean words of our own")])
+
+
+def test_texts_stay_where_they_are_when_copies_are_dropped(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plan = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
