@@ -121,6 +121,22 @@ def test_bad_branches_are_found_at_any_depth(spark):
     assert {r.template for r in got if r.path[13] == "g"} == {"/*/*/*/*/*/*/g/{n}"}
 
 
+def test_untested_branches_are_judged_by_the_other_hosts(spark):
+    pages = [f"http://h{i}.{d}/{s}/{k}" for i in range(8) for d in ("example.org", "example.com", "example.net") for s in ("de", "en", "es", "fr") for k in range(20, 26)]
+    pages += [f"http://big.example.net/{s}/{k}" for s in ("es", "new") for k in range(400)] + ["http://other.net/es/20", "http://other.net/", "http://other.net"]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = [r for r in urls.url_verdicts(table).collect() if r.rule is None]
+    # es is blocked on all hosts that have a rule for it, de on half of them; nobody has a label for new
+    assert {r.host[-4:] for r in got if r.verdict == "block"} == {".com", ".net"}
+    assert all((r.verdict == "block") == r.path.startswith("/es/") for r in got)
+    assert {r.learned_from for r in got if r.path.startswith("/es/")} == {"all hosts"}
+    assert {(r.blocked_share, r.learned_from) for r in got if r.path.startswith("/new/")} == {(None, None)}
+    assert {r.blocked_share for r in got if r.path.startswith("/de/")} == {0.5}
+    # one host counts once, however large
+    alone = [(i, f"http://h{i % 4}.example.org/es/{i}") for i in range(4_000)] + [(4_000, "http://h.net/es/1")]
+    assert urls.url_verdicts(spark.createDataFrame(alone, "page_id long, url string")).where("page_id = 4000").first().verdict == "allow"
+
+
 # --- licences ----------------------------------------------------------------------------------
 
 TEXTS = {
