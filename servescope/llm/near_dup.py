@@ -12,7 +12,8 @@
 3. Regions: rows with the same two values at an order's start. A region with more than one
    component is compared in full, without any window: it is cut into blocks of about ``BLOCK`` rows,
    each pair of blocks is one unit of work, and every pair of rows of different components that
-   reaches ``AGREE`` is tested on its full sets there. Blocks of one large component are not
+   reaches ``AGREE`` is tested on its full sets there. Signatures are dealt to the units first; full
+   sets only follow for rows that have such a pair in the unit. Blocks of one large component are not
    compared with each other. A unit gives at most one link for each component it joins; a pair is
    tested in the first order only that has it in one region.
 
@@ -285,11 +286,17 @@ def _across(forest: DataFrame, docs: DataFrame, per_mille: int) -> DataFrame:
     work = placed.join(sides, [*on, "block"]).select("unit", "side", "tree", "doc", "label")
     # stored, so that its size is known before the texts are dealt
     near = cut(forest.join(rows.select("doc").distinct(), "doc").select("doc", "digest", "mins"))
-    sets = docs.join(near.selectExpr("doc AS doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "digest binary, shingles binary")
-    held = cut(near.join(sets.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").drop("digest"))
-    dealt = work.join(held, "doc").repartition("unit").sortWithinPartitions("unit", "side", "doc")
+    alike = cut(_by_unit(work.join(near.drop("digest"), "doc"), _alike, "unit long, side int, tree int, doc long, label long, mins binary"))
+    wanted = cut(near.join(alike.select("doc").distinct(), "doc").select("doc", "digest"))
+    sets = docs.join(wanted.selectExpr("doc AS doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "digest binary, shingles binary")
+    held = cut(wanted.join(sets.groupBy("digest").agg(F.first("shingles").alias("shingles")), "digest").drop("digest"))
+    return cut(_by_unit(alike.join(held, "doc"), lambda unit: _linked(unit, per_mille), "a long, b long").distinct())
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _by_unit(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` makes of the rows of each unit, which come by side and doc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         for batch in batches:
             unit = batch.column("unit").to_numpy()
@@ -297,14 +304,14 @@ def _across(forest: DataFrame, docs: DataFrame, per_mille: int) -> DataFrame:
             for low, high in zip(starts, starts[1:]):
                 part = batch.slice(low, high - low)
                 if high > low and kept and kept[0].column("unit")[0] != part.column("unit")[0]:
-                    yield from _linked(pa.Table.from_batches(kept), per_mille)
+                    yield from work(pa.Table.from_batches(kept))
                     kept = []
                 if high > low:
                     kept.append(part)
         if kept:
-            yield from _linked(pa.Table.from_batches(kept), per_mille)
+            yield from work(pa.Table.from_batches(kept))
 
-    return cut(dealt.mapInArrow(links, "a long, b long").distinct())
+    return rows.repartition("unit").sortWithinPartitions("unit", "side", "doc").mapInArrow(run, schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,32 +321,47 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
 
-def _linked(unit: pa.Table, per_mille: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the confirmed links between labels of one unit of work."""
-    doc, side, tree = (unit.column(c).to_numpy() for c in ("doc", "side", "tree"))
-    label = np.unique(unit.column("label").to_numpy(), return_inverse=True)[1]
-    n, head = len(doc), ORDERS * _PREFIX
+def _agreeing(unit: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A row of a unit and the rows that it is to be tested with: those of another ``label`` (as it stands
+    then) that reach ``AGREE`` and meet the row in this region first."""
+    side, tree = (unit.column(c).to_numpy() for c in ("side", "tree"))
+    n, head = len(side), ORDERS * _PREFIX
     signature = np.frombuffer(b"".join(unit.column("mins").to_pylist()), np.uint8).reshape(n, -1)
     prefix = np.ascontiguousarray(signature[:, :head].reshape(n, ORDERS, _PREFIX)[:, :, :8]).view(np.uint64).reshape(n, ORDERS)
     # the four bits of all values as four planes
     bits = np.unpackbits(signature[:, head:], axis=1).reshape(n, VALUES, 4).transpose(0, 2, 1)
     planes = np.packbits(bits, axis=2).view(np.uint64).reshape(n, 4, -1)
     planes = [np.ascontiguousarray(planes[:, k]) for k in range(4)]
-    sets = [np.frombuffer(s, np.uint64) for s in unit.column("shingles").to_pylist()]
     crossed = side[0] != 2
     second = int(np.searchsorted(side, 1)) if crossed else 0
-    a, b = [], []
     for i in range(second if crossed else n):
         start = second if crossed else i + 1
         apart = (planes[0][start:] ^ planes[0][i]) | (planes[1][start:] ^ planes[1][i]) | (planes[2][start:] ^ planes[2][i]) | (
             planes[3][start:] ^ planes[3][i])
         at = start + np.flatnonzero((np.bitwise_count(apart).sum(1, dtype=np.int64) <= VALUES - AGREE) & (label[start:] != label[i]))
-        if not len(at):
-            continue
         same = prefix[at] == prefix[i]
         at = at[same.any(1) & (same.argmax(1) == tree[i]) & (tree[at] == tree[i])]
-        if not len(at):
-            continue
+        if len(at):
+            yield i, at
+
+
+def _alike(unit: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of a unit that have a pair to be tested."""
+    wanted = np.zeros(unit.num_rows, bool)
+    for i, at in _agreeing(unit, unit.column("label").to_numpy()):
+        wanted[i] = True
+        wanted[at] = True
+    if wanted.any():
+        yield from unit.filter(pa.array(wanted)).select(["unit", "side", "tree", "doc", "label", "mins"]).to_batches()
+
+
+def _linked(unit: pa.Table, per_mille: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the confirmed links between labels of one unit of work."""
+    doc = unit.column("doc").to_numpy()
+    label = np.unique(unit.column("label").to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(s, np.uint64) for s in unit.column("shingles").to_pylist()]
+    a, b = [], []
+    for i, at in _agreeing(unit, label):
         sizes = np.array([len(sets[j]) for j in at])
         whole = np.concatenate([sets[j] for j in at])
         place = np.minimum(np.searchsorted(sets[i], whole), len(sets[i]) - 1)

@@ -65,6 +65,25 @@ def test_near_duplicates_among_texts_that_share_half_their_words(spark, monkeypa
     assert {i for i in got if got[i] != i} == {i + 1 for i in alike}
 
 
+def test_full_sets_follow_for_alike_signatures_only(spark, monkeypatch):
+    # any two texts are alike by about a half: they meet in regions, but hardly any pair is to be tested
+    draw, stored = random.Random(6), {}
+    rows = [(i, " ".join(f"l{n}w{w}" for n in sorted(draw.sample(range(120), 80)) for w in range(10))) for i in range(200)]
+    cut = near_dup.cut
+
+    def counting(table):
+        table = cut(table)
+        for c in ("region", "shingles"):
+            if c in table.columns:
+                stored.setdefault(c, table.count())
+        return table
+
+    monkeypatch.setattr(near_dup, "cut", counting)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id == r.doc_id for r in got} == {True}
+    assert stored["region"] >= 200 and stored["shingles"] < 50
+
+
 def tokens_of(text):
     return (text or "").encode().lower().split()
 
