@@ -129,6 +129,40 @@ def test_katz_against_brute_force(spark, docs, monkeypatch):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("numbered", [300, None])
+def test_katz_keeps_the_pairs_of_every_word(spark, docs, monkeypatch, numbered):
+    if numbered:
+        monkeypatch.setattr(katz, "NUMBERED", numbered, raising=False)
+    table = docs.unionByName(spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"), allowMissingColumns=True)
+    many = [(9000 + i, " ".join(f"v{(i // 2 * 997 + k) % 40_000}" for k in range(2000))) for i in range(90)]
+    table = table.unionByName(spark.createDataFrame(many, "doc_id long, text string"), allowMissingColumns=True).repartition(3).cache()
+    rows = [(r.doc_id, [*tokens_of(r.text), None]) for r in table.select("doc_id", "text").collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [t for i, t in rows if not held(i)]
+    c = Counter(w for t in train for w in t)
+    assert len(c) > 65_001
+    total, distinct = sum(c.values()), len(c)
+    pairs = Counter(p for t in train for p in zip(["^", *t], t))
+    d = katz.discounts(dict(Counter(pairs.values())))
+    keep = {p: (d[n] if n <= katz.DISCOUNTED else 1) * n for p, n in pairs.items()}
+    size, mass, after = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        size[a] += n
+        mass[a] += keep[a, b]
+        after[a] += c[b]
+    for a in size:
+        size[a] += mass[a] >= size[a]
+    alpha = {a: (1 - mass[a] / size[a]) * (total + 1) / (total + 1 - after[a]) for a in size}
+    want = []
+    for i, t in rows:
+        base = sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in t)
+        score = sum(math.log10(keep[a, b] / size[a] if (a, b) in keep else alpha.get(a, 1) * max(c[b], 1) / (total + 1)) for a, b in zip(["^", *t], t))
+        want.append((i or -1, held(i), len(t), sum(c[w] > 0 for w in t), total, base, score))
+    got = [(r.doc_id or -1, *r[1:]) for r in katz.katz_scores(table).collect()]
+    for g, w in zip(sorted(got), sorted(want), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
 def test_mixing_meets_targets(spark):
     table = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "source")
     table = table.union(spark.sql("SELECT -1L, 'one two', NULL")).union(spark.sql("SELECT -2L, CAST(NULL AS STRING), 'empty'"))
